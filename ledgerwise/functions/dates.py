@@ -15,9 +15,14 @@ def day(as_of: date | str) -> Column:
     return F.lit(date.fromisoformat(as_of) if isinstance(as_of, str) else as_of)
 
 
-def parse_date(value: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """First format that fits; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(fmt)) for fmt in formats]).cast("date")
+def parse_date(value: Column) -> Column:
+    """Text in one of the three statement formats to a date, NULL for anything else.
+
+    The separators tell which format alone can fit, so each value is parsed once.
+    """
+    by_day, by_year, with_time = [F.try_to_timestamp(value, F.lit(fmt)) for fmt in DATE_FORMATS]
+    parsed = F.when(value.contains("/"), by_day).when(value.contains(":"), with_time).otherwise(by_year)
+    return parsed.cast("date")
 
 
 def repair_date(value: Column) -> Column:
@@ -38,7 +43,7 @@ def or_unknown(value: Column) -> Column:
 
 
 def is_date_name(name: str) -> bool:
-    """Columns that the unknown-date rule applies to."""
+    """Columns that the unknown-date rule applies to, by their name."""
     return "fecha" in name or "date" in name
 
 

@@ -187,14 +187,13 @@ def pending_uploads(account_cutoffs: DataFrame, flags: DataFrame, files: DataFra
 def documents_to_sync(
     account_cutoffs: DataFrame, flags: DataFrame, files: DataFrame, only_if_files: bool = True
 ) -> DataFrame:
-    """Documents a sync writes: every cutoff without PDF, with its file's columns where there is one.
+    """Documents a sync writes: every cutoff without PDF, with ``file_name`` where its file is there.
 
     With ``only_if_files`` nothing is written as long as not one expected file is there.
     """
-    waiting = without_pdf(account_cutoffs, flags)
-    keyed = parse_document_names(files)
-    rows = keyed_join(waiting, keyed, DOCUMENT_KEY)
+    named = without_pdf(account_cutoffs, flags).withColumn("_name", document_file_name("pdf"))
+    arrived = files.select(F.col("file_name").alias("_name"), "file_name").distinct()
+    rows = keyed_join(named, arrived, ["_name"]).drop("_name")
     if only_if_files:
-        found = pending_uploads(account_cutoffs, flags, files).agg(F.count(F.lit(1)) > 0).scalar()
-        rows = rows.filter(found)
+        rows = rows.filter(rows.agg(F.count("file_name") > 0).scalar())
     return rows

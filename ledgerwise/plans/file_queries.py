@@ -79,7 +79,7 @@ _CLOSED = f""", {_NATIONS} SELECT {_STATEMENT}, '2001-06' AS period, '2001-06 '
 def _scan(spark, sf, estado, as_of=None):
     folder, people = write_statements(spark, sf, estado), nation_accounts(spark, sf)
     manifest = staged(fs.statement_manifest(spark, folder, people, as_of), "manifest")
-    return [statement_movements(spark, folder, manifest, kind, estado, v.AS_OF) for kind in KINDS]
+    return statement_movements(spark, folder, manifest, estado, v.AS_OF)
 
 
 def _today(spark) -> date:
@@ -89,7 +89,7 @@ def _today(spark) -> date:
 @query(_CLOSED, "movements", "accounts")
 def statement_scan(spark, sf):
     """All closed statements of both kinds; the files of the third sort are skipped."""
-    return concat_files(_scan(spark, sf, "cerrado")).select(*_OUT)
+    return _scan(spark, sf, "cerrado").select(*_OUT)
 
 
 @query(
@@ -101,7 +101,7 @@ def statement_scan(spark, sf):
 )
 def today_statements(spark, sf):
     """Open statements are those written on the day of the run."""
-    return concat_files(_scan(spark, sf, "abierto", _today(spark))).select(*_OUT)
+    return _scan(spark, sf, "abierto", _today(spark)).select(*_OUT)
 
 
 @query(

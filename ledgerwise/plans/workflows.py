@@ -15,6 +15,7 @@ from ledgerwise.contracts import ACCOUNT_CUTOFFS, CONCEPTS, DOCUMENTS, KINDS
 from ledgerwise.operators import manifests as m
 from ledgerwise.operators.calendar import refresh_account_cutoffs
 from ledgerwise.operators.enrich import enriched_table, state_changes, sync_concepts
+from ledgerwise.operators.joins import keyed_join
 from ledgerwise.operators.keyed import document_attach, document_upsert, loadable, rejected
 from ledgerwise.shared import staged
 from ledgerwise.sources import store
@@ -68,27 +69,24 @@ def load_statements(
     Returns, per kind and state, the loaded movements; and the rejects.
     """
     spark, loaded, refused = ledger.spark, {}, []
-    closed = staged(statement_manifest(spark, closed_folder, ledger.accounts), "manifest-closed")
-    opened = staged(statement_manifest(spark, open_folder, ledger.accounts, as_of), "manifest-open")
-    for estado, folder, manifest in (("cerrado", closed_folder, closed), ("abierto", open_folder, opened)):
+    for estado, folder, day in (("cerrado", closed_folder, None), ("abierto", open_folder, as_of)):
+        manifest = staged(statement_manifest(spark, folder, ledger.accounts, day), f"manifest-{estado}")
+        rows = statement_movements(spark, folder, manifest, estado, as_of, null_date)
+        both = staged(last_of_each_key(rows), f"load-{estado}", by="kind")
+        refused.append(rejected(both))
         for kind in KINDS:
-            rows = statement_movements(spark, folder, manifest, kind, estado, as_of, null_date)
-            movements = staged(last_of_each_key(rows), f"load-{kind}-{estado}")
+            movements = loadable(both.filter(F.col("kind") == kind).drop("kind"))
             path = ledger.path(f"{PREFIX[kind]}_{estado}")
-            keyed = loadable(movements)
             if estado == "cerrado":
-                before = store.read_parts(spark, path, only=store.parts_of(keyed))
-                to_sync = staged(state_changes(before, keyed), f"sync-{kind}")
-                store.upsert_movements(keyed, path, on_conflict)
+                before = store.read_parts(spark, path, only=store.parts_of(movements))
+                to_sync = staged(state_changes(before, movements), f"sync-{kind}")
+                store.upsert_movements(movements, path, on_conflict)
             else:
-                to_sync = keyed
-                store.overwrite_parts(keyed, path)
+                to_sync = movements
+                store.overwrite_parts(movements, path)
             sync_classification(ledger.path(f"{PREFIX[kind]}_conceptos"), to_sync, ledger.accounts, kind, run_ts)
             loaded[f"{PREFIX[kind]}_{estado}"] = movements
-            refused.append(rejected(movements))
-    loaded["rejects"] = refused[0]
-    for part in refused[1:]:
-        loaded["rejects"] = loaded["rejects"].unionByName(part)
+    loaded["rejects"] = refused[0].unionByName(refused[1])
     return loaded
 
 
@@ -124,10 +122,8 @@ def sync_pdf_documents(ledger: Ledger, folder: str) -> None:
     spark = ledger.spark
     flags = m.document_flags(ledger.documents())
     waiting = m.documents_to_sync(ledger.cutoffs(), flags, list_files(spark, folder, "*.pdf").select("file_name"))
-    payloads = keyed_payloads(binary_files(spark, folder, "*.pdf"), "pdf").select(
-        "cutoff_period", "account_number", "type", "pdf_file"
-    )
-    incoming = waiting.drop("file_name").join(payloads, ["cutoff_period", "account_number", "type"], "left")
+    payloads = binary_files(spark, folder, "*.pdf").select("file_name", F.col("content").alias("pdf_file"))
+    incoming = keyed_join(waiting, payloads, ["file_name"]).drop("file_name")
     incoming = staged(incoming, "documents")
     store.merge_parts(
         incoming,

@@ -23,12 +23,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ledgerwise/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``by`` names a column that later filters select on.
 
     The result survives lost executors, is not computed twice by a plan that uses it twice, and carries its real
     size, so Catalyst broadcasts it exactly when it is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -124,16 +124,17 @@ def tag_accounts(files: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def statement_manifest(spark: SparkSession, folder: str, accounts: DataFrame, as_of=None) -> DataFrame:
-    """Accepted statements: exact header of a known contract and a known account in the name.
-
-    ``as_of`` limits it to files of that day, for the open statements.
-    """
+    """Accepted statements of a folder; ``as_of`` limits them to files of that day, for the open statements."""
     files = list_files(spark, folder)
-    if as_of is not None:
-        files = created_on(files, as_of)
-    known = with_headers(files).withColumn("contract", exact_contract(F.col("header"))).filter("contract IS NOT NULL")
+    return accepted(files if as_of is None else created_on(files, as_of), accounts)
+
+
+def accepted(files: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Files with a known account in their name and exactly the header of a known contract."""
+    # the account comes from the name alone, so only files that have one are opened
+    tagged = with_headers(tag_accounts(files, accounts)).withColumn("contract", exact_contract(F.col("header")))
     return (
-        tag_accounts(known, accounts)
+        tagged.filter(F.col("contract").isNotNull())
         .withColumn("file_date", F.to_date("file_modification_time"))
-        .select("file_path", "file_name", "file_date", "file_modification_time", "contract", "cuenta")
+        .select("file_path", "file_name", "file_date", "contract", "cuenta")
     )

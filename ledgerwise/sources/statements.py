@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwise.contracts import DERIVED_COLUMNS, HEADERS, MOVEMENT_KEY, MOVEMENTS, RENAMES
+from ledgerwise.contracts import HEADERS, MOVEMENT_KEY, MOVEMENTS, RENAMES
 from ledgerwise.functions.dates import is_date_name, open_period, or_unknown, parse_date
 from ledgerwise.functions.text import amount, clean_text, period_from_name, unique_concept
 from ledgerwise.operators.joins import keyed_join
@@ -38,11 +38,15 @@ def with_files(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     return keyed_join(raw, manifest, ["file_path"], "inner")
 
 
-def under_contract(rows: DataFrame, contract: str) -> DataFrame:
-    """Rows of one contract with their header's column names."""
-    named = [F.col(f"c{i}").alias(name) for i, name in enumerate(HEADERS[contract])]
-    others = [c for c in rows.columns if c not in RAW.names and c != "contract"]
-    return rows.filter(F.col("contract") == contract).select(*named, *others)
+def by_meaning(rows: DataFrame, column: str) -> Column:
+    """Raw column that holds a movement column, which depends on the contract of the row's file."""
+    places = [
+        F.when(F.col("contract") == kind, F.col(f"c{HEADERS[kind].index(name)}"))
+        for kind, names in RENAMES.items()
+        for name, target in names.items()
+        if target == column and name in HEADERS[kind]
+    ]
+    return F.coalesce(*places)
 
 
 def normalize_columns(df: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, list[str], list[str]]:
@@ -62,41 +66,41 @@ def concat_files(frames: list[DataFrame], spark: SparkSession | None = None, sch
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def typed_movements(rows: DataFrame, kind: str, estado: str, as_of=None, null_date: bool = True) -> DataFrame:
-    """Typed movements out of text rows that carry file_name, file_date and cuenta.
+def typed_movements(rows: DataFrame, estado: str, as_of=None, null_date: bool = True) -> DataFrame:
+    """Typed movements of all kinds out of raw rows with their file's contract, name, date and account.
 
     Closed rows take their period from the file name, open rows from ``as_of``.  Credit statements have no balance.
     ``null_date`` writes unknown dates as the fixed unknown date; without it such rows end up among the rejects.
     """
-    mapping = RENAMES[kind] | {c: c for c in DERIVED_COLUMNS}
-    opened = F.col("period") if "period" in rows.columns else F.lit(None).cast("string")
-    rows = rows.withColumns(
-        {
-            "unique_concept": F.nullif(unique_concept(F.col("Concepto")), F.lit("")),
-            "estado": F.lit(estado),
-            "period": F.coalesce(opened, period_from_name(F.col("file_name")))
-            if estado == "cerrado"
-            else open_period(kind, as_of),
-            "Fecha": parse_date(clean_text(F.col("Fecha"))),
-        }
-    )
-    if "saldo" not in mapping or kind == "credit":
-        rows = rows.withColumn("saldo", F.lit(None).cast("string"))
-    named, _, _ = normalize_columns(rows, mapping)
-    typed = {c: amount(F.col(c)) for c in ("cargo", "abono", "saldo")} | {"concepto": clean_text(F.col("concepto"))}
+    movements = rows.filter(F.col("contract").isin(*RENAMES))
+    kind, concepto = F.col("contract"), by_meaning(rows, "concepto")
+    if estado == "cerrado":
+        period = period_from_name(F.col("file_name"))
+    else:
+        period = F.coalesce(*[F.when(kind == k, open_period(k, as_of)) for k in RENAMES])
+    columns = {
+        "fecha": parse_date(clean_text(by_meaning(rows, "fecha"))),
+        "concepto": clean_text(concepto),
+        **{c: amount(by_meaning(rows, c)) for c in ("cargo", "abono", "saldo")},
+        "file_date": F.col("file_date"),
+        "file_name": F.col("file_name"),
+        "estado": F.lit(estado),
+        "cuenta": F.col("cuenta"),
+        "unique_concept": F.nullif(unique_concept(concepto), F.lit("")),
+        "period": period,
+    }
     if null_date:
-        typed |= {c: or_unknown(F.col(c)) for c in named.columns if is_date_name(c) and c != "file_name"}
-    return named.withColumns(typed).select(*MOVEMENTS.names)
+        columns |= {c: or_unknown(columns[c]) for c in MOVEMENTS.names if is_date_name(c)}
+    return movements.select(kind.alias("kind"), *[columns[c].alias(c) for c in MOVEMENTS.names])
 
 
 def last_of_each_key(movements: DataFrame) -> DataFrame:
-    """One movement per key: the one from the newest file."""
-    return keep_last(movements, MOVEMENT_KEY, ["file_date", "file_name"])
+    """One movement per kind and key: the one from the newest file."""
+    return keep_last(movements, ["kind", *MOVEMENT_KEY], ["file_date", "file_name"])
 
 
 def statement_movements(
-    spark: SparkSession, folder: str, manifest: DataFrame, kind: str, estado: str, as_of=None, null_date: bool = True
+    spark: SparkSession, folder: str, manifest: DataFrame, estado: str, as_of=None, null_date: bool = True
 ) -> DataFrame:
-    """All movements of one kind in the accepted files of a folder."""
-    rows = under_contract(with_files(raw_rows(spark, folder), manifest), kind)
-    return typed_movements(rows, kind, estado, as_of, null_date)
+    """All movements in the accepted files of a folder, in one pass over the files."""
+    return typed_movements(with_files(raw_rows(spark, folder), manifest), estado, as_of, null_date)

@@ -9,20 +9,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerwise.operators.keyed import loadable
 from ledgerwise.plans.workflows import sync_classification
 from ledgerwise.shared import staged
-from ledgerwise.sources.files import exact_contract, file_name_of, tag_accounts, with_headers
-from ledgerwise.sources.statements import raw_reader, typed_movements, under_contract, with_files
+from ledgerwise.sources.files import accepted, file_name_of
+from ledgerwise.sources.statements import raw_reader, typed_movements, with_files
 from ledgerwise.sources.store import upsert_movements
 
 
-def _manifest(batch: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Manifest of the files in one micro-batch."""
+def _files(batch: DataFrame) -> DataFrame:
+    """Files of one micro-batch, as a listing would give them."""
     files = batch.select("file_path", "file_modification_time").distinct()
-    named = files.withColumn("file_name", file_name_of(F.col("file_path"))).withColumn(
-        "raw_path", F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
-    )
-    known = with_headers(named).withColumn("contract", exact_contract(F.col("header"))).filter("contract IS NOT NULL")
-    return tag_accounts(known, accounts).select(
-        "file_path", "file_name", F.to_date("file_modification_time").alias("file_date"), "contract", "cuenta"
+    return files.withColumns(
+        {
+            "raw_path": F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B"))),
+            "file_name": file_name_of(F.col("file_path")),
+        }
     )
 
 
@@ -45,13 +44,14 @@ def ingest_statements(
     def load(batch: DataFrame, batch_id: int) -> None:
         # the batch is read twice, for its files and for its rows
         rows = staged(batch, f"batch-{batch_id}")
-        manifest = staged(_manifest(rows, accounts), f"manifest-{batch_id}")
+        manifest = staged(accepted(_files(rows), accounts), f"manifest-{batch_id}")
         tagged = with_files(rows.drop("file_modification_time"), manifest)
+        movements = staged(typed_movements(tagged, "cerrado"), f"movements-{batch_id}", by="kind")
         for kind, path in tables.items():
-            movements = staged(typed_movements(under_contract(tagged, kind), kind, "cerrado"), f"movements-{kind}")
-            upsert_movements(movements, path)
+            of_kind = movements.filter(F.col("kind") == kind).drop("kind")
+            upsert_movements(of_kind, path)
             if concepts and kind in concepts:
-                sync_classification(concepts[kind], loadable(movements), accounts, kind, run_ts)
+                sync_classification(concepts[kind], loadable(of_kind), accounts, kind, run_ts)
 
     reader = raw_reader(spark.readStream.format("csv"))
     if max_files:
