@@ -12,6 +12,7 @@ from ledgerwise.functions.text import period_from_name
 from ledgerwise.operators.joins import keyed_join
 from ledgerwise.operators.ranking import keep_last
 
+AMOUNTS = ("cargo", "abono")
 CLASSIFICATION = ("category_group", "category_subgroup", "beneficiario")
 # columns that some classification tables hold in addition; carried through when present
 OPTIONAL = ("id_presupuesto", "concepto_procesado", "ubicacion")
@@ -27,9 +28,10 @@ def enrich(
     """Movements with their classification, matched on the whole movement key.
 
     ``null_safe`` lets a missing amount match a missing amount; plain equality never does.  fecha and unique_concept
-    are part of a key that is never NULL, so null-safe and plain equality agree on them.
+    are always compared by plain equality.
     """
-    return keyed_join(movements, concepts.select(*MOVEMENT_KEY, *columns), MOVEMENT_KEY, how, null_safe)
+    lenient = AMOUNTS if null_safe else ()
+    return keyed_join(movements, concepts.select(*MOVEMENT_KEY, *columns), MOVEMENT_KEY, how, lenient)
 
 
 def enriched_table(movements: DataFrame, concepts: DataFrame) -> DataFrame:

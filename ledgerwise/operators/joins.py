@@ -6,7 +6,7 @@ shuffle size at run time) and otherwise sorts and merges, where adaptive executi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,19 +17,24 @@ SALTS = 32
 
 
 def keyed_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    null_safe: bool | Collection[str] = False,
 ) -> DataFrame:
     """Equi-join on same-named keys, keeping the left side's key columns.
 
-    ``null_safe`` matches NULL with NULL and stays an equi-join in the plan.
+    ``null_safe`` matches NULL with NULL, on all keys or on those named, and stays an equi-join in the plan.
     """
     marked = right.select(
         *[F.col(k).alias(f"_right_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
     )
-    pairs = [(F.col(k), F.col(f"_right_{k}")) for k in keys]
-    condition = reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
-    return left.join(marked, condition, how).drop(*[f"_right_{k}" for k in keys])
+    lenient = keys if null_safe is True else null_safe or ()
+    pairs = {k: (F.col(k), F.col(f"_right_{k}")) for k in keys}
+    matches = [a.eqNullSafe(b) if k in lenient else a == b for k, (a, b) in pairs.items()]
+    return left.join(marked, reduce(and_, matches), how).drop(*[f"_right_{k}" for k in keys])
 
 
 def salted_lookup(

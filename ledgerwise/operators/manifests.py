@@ -184,16 +184,8 @@ def pending_uploads(account_cutoffs: DataFrame, flags: DataFrame, files: DataFra
     return present_in(named, files.select(F.col("file_name").alias("filename")), ["filename"])
 
 
-def documents_to_sync(
-    account_cutoffs: DataFrame, flags: DataFrame, files: DataFrame, only_if_files: bool = True
-) -> DataFrame:
-    """Documents a sync writes: every cutoff without PDF, with ``file_name`` where its file is there.
-
-    With ``only_if_files`` nothing is written as long as not one expected file is there.
-    """
+def documents_to_sync(account_cutoffs: DataFrame, flags: DataFrame, files: DataFrame) -> DataFrame:
+    """Documents a sync writes: every cutoff without PDF, with ``file_name`` where its file is there."""
     named = without_pdf(account_cutoffs, flags).withColumn("_name", document_file_name("pdf"))
     arrived = files.select(F.col("file_name").alias("_name"), "file_name").distinct()
-    rows = keyed_join(named, arrived, ["_name"]).drop("_name")
-    if only_if_files:
-        rows = rows.filter(rows.agg(F.count("file_name") > 0).scalar())
-    return rows
+    return keyed_join(named, arrived, ["_name"]).drop("_name")

@@ -69,7 +69,8 @@ def mtd_by_concept(spark, sf):
 def _classified(spark, sf):
     """Movements with a classification, matched by equality, and their one amount."""
     both = en.enrich(v.movements(spark, sf), v.concepts(spark, sf), null_safe=False, how="inner")
-    return r.with_amount(both).withColumnRenamed("category_group", "categoria")
+    columns = ("fecha", "unique_concept", "cuenta", "estado", "monto", F.col("category_group").alias("categoria"))
+    return r.with_amount(both).select(*columns)
 
 
 @query(

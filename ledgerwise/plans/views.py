@@ -241,7 +241,7 @@ SQL_VIEWS = {
     "enriched": """
         SELECT m.*, k.beneficiario, k.category_group AS categoria, k.category_subgroup AS grupo
         FROM movements m LEFT JOIN concepts k
-          ON m.fecha IS NOT DISTINCT FROM k.fecha AND m.unique_concept IS NOT DISTINCT FROM k.unique_concept
+          ON m.fecha = k.fecha AND m.unique_concept = k.unique_concept
          AND m.cargo IS NOT DISTINCT FROM k.cargo AND m.abono IS NOT DISTINCT FROM k.abono""",
     "stored": f"SELECT * FROM movements WHERE fecha < DATE '{STORED_UNTIL}'",
     "loaded": f"""

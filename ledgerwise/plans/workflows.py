@@ -117,14 +117,19 @@ def plan_downloads(ledger: Ledger, days: DataFrame, as_of, run_ts: Column, rule:
     )
 
 
-def sync_pdf_documents(ledger: Ledger, folder: str) -> None:
-    """Documents for all cutoffs without PDF, with the bytes of those whose file has arrived."""
+def sync_pdf_documents(ledger: Ledger, folder: str, only_if_files: bool = True) -> bool:
+    """Documents for all cutoffs without PDF, with the bytes of those whose file has arrived.
+
+    With ``only_if_files`` nothing is written as long as not one expected file is there; tells whether it wrote.
+    """
     spark = ledger.spark
     flags = m.document_flags(ledger.documents())
-    waiting = m.documents_to_sync(ledger.cutoffs(), flags, list_files(spark, folder, "*.pdf").select("file_name"))
+    names = list_files(spark, folder, "*.pdf").select("file_name")
+    waiting = staged(m.documents_to_sync(ledger.cutoffs(), flags, names), "waiting")
+    if only_if_files and waiting.filter(F.col("file_name").isNotNull()).isEmpty():
+        return False
     payloads = binary_files(spark, folder, "*.pdf").select("file_name", F.col("content").alias("pdf_file"))
-    incoming = keyed_join(waiting, payloads, ["file_name"]).drop("file_name")
-    incoming = staged(incoming, "documents")
+    incoming = staged(keyed_join(waiting, payloads, ["file_name"]).drop("file_name"), "documents")
     store.merge_parts(
         incoming,
         ledger.path("documents"),
@@ -132,6 +137,7 @@ def sync_pdf_documents(ledger: Ledger, folder: str) -> None:
         STORED_DOCUMENTS,
         store.PERIOD_OF_DOCUMENT,
     )
+    return True
 
 
 def attach_documents(ledger: Ledger, folder: str, as_of, run_ts: Column) -> DataFrame:
