@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerwise.contracts import MOVEMENT_KEY, STATES
 from ledgerwise.functions.text import period_from_name
-from ledgerwise.operators.joins import keyed_join
+from ledgerwise.operators.joins import keyed_join, salted_lookup
 from ledgerwise.operators.ranking import keep_last
 
 AMOUNTS = ("cargo", "abono")
+MOVEMENT_ID = "movement_id"
 CLASSIFICATION = ("category_group", "category_subgroup", "beneficiario")
 # columns that some classification tables hold in addition; carried through when present
 OPTIONAL = ("id_presupuesto", "concepto_procesado", "ubicacion")
@@ -28,10 +29,18 @@ def enrich(
     """Movements with their classification, matched on the whole movement key.
 
     ``null_safe`` lets a missing amount match a missing amount; plain equality never does.  fecha and unique_concept
-    are always compared by plain equality.
+    are always compared by plain equality.  Where both tables carry ``movement_id`` (``store.save_bucketed``), it joins
+    too, and tables bucketed by it meet without a shuffle.
     """
-    lenient = AMOUNTS if null_safe else ()
-    return keyed_join(movements, concepts.select(*MOVEMENT_KEY, *columns), MOVEMENT_KEY, how, lenient)
+    stored_id = [MOVEMENT_ID] if MOVEMENT_ID in movements.columns and MOVEMENT_ID in concepts.columns else []
+    keys = [*stored_id, *MOVEMENT_KEY]
+    return keyed_join(movements, concepts.select(*keys, *columns), keys, how, AMOUNTS if null_safe else ())
+
+
+def with_movement_id(df: DataFrame) -> DataFrame:
+    """Hash of the movement key: equal keys have equal ids, and ids spread evenly whatever the keys look like."""
+    amounts = [F.col(c).cast("decimal(14,2)") for c in AMOUNTS]
+    return df.withColumn(MOVEMENT_ID, F.xxhash64("fecha", "unique_concept", *amounts))
 
 
 def enriched_table(movements: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def ignored_movements(movements: DataFrame, accounts: DataFrame, kind: str) -> D
         .filter(~F.coalesce("_fits", F.lit(False)))
         .select("cuenta", F.when(F.col("_known"), "wrong type").otherwise("unknown account").alias("reason"))
     )
-    return keyed_join(movements, bad, ["cuenta"], "inner", null_safe=True)
+    return salted_lookup(movements, bad, ["cuenta"], "inner", null_safe=True)
 
 
 def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -38,7 +38,12 @@ def keyed_join(
 
 
 def salted_lookup(
-    left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS
+    left: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    null_safe: bool | Collection[str] = False,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join rows to a table with one row per key, when one key may hold a large share of the rows.
 
@@ -48,7 +53,8 @@ def salted_lookup(
     """
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return keyed_join(left.withColumn("_salt", spread), repeated, [*keys, "_salt"], how).drop("_salt")
+    lenient = keys if null_safe is True else null_safe or ()
+    return keyed_join(left.withColumn("_salt", spread), repeated, [*keys, "_salt"], how, lenient).drop("_salt")
 
 
 def not_in(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_runs: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path nobody has written yet, so that a retried job never meets its own leftovers."""
-    return f"{shared_dir(spark)}/ledgerwise/{label}-{uuid.uuid4().hex}"
+    folder = _runs[-1] if _runs else f"{shared_dir(spark)}/ledgerwise"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Staged tables of a job in a folder of their own, removed when the job ends, well or badly.
+
+    What the job returns lazily may read them: use it inside.
+    """
+    folder = new_path(spark, "job")
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerwise.operators.keyed import loadable
 from ledgerwise.plans.workflows import sync_classification
-from ledgerwise.shared import staged
+from ledgerwise.shared import job_folder, staged
 from ledgerwise.sources.files import accepted, file_name_of
 from ledgerwise.sources.statements import raw_reader, typed_movements, with_files
 from ledgerwise.sources.store import upsert_movements
@@ -42,6 +42,10 @@ def ingest_statements(
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        with job_folder(spark):
+            load_staged(batch, batch_id)
+
+    def load_staged(batch: DataFrame, batch_id: int) -> None:
         # the batch is read twice, for its files and for its rows
         rows = staged(batch, f"batch-{batch_id}")
         manifest = staged(accepted(_files(rows), accounts), f"manifest-{batch_id}")

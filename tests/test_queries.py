@@ -121,8 +121,39 @@ def test_salted_lookup_spreads_a_hot_key(spark, no_broadcast):
     joined = salted_lookup(hot, lookup, ["k"], salts=16)
     assert joined.count() == 3000
     assert joined.filter(F.col("twice") != F.col("k") * 2).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     sizes = [r["count"] for r in joined.filter("k = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()]
-    assert len(sizes) > 1
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) < 1500
+
+
+def test_bucketed_tables_enrich_without_a_shuffle(spark, sf, no_broadcast):
+    from ledgerwise.operators.enrich import enrich
+    from ledgerwise.shared import new_path
+    from ledgerwise.sources.store import COLOCATED_JOINS, save_bucketed
+
+    for name, df in (("moves", v.movements(spark, sf)), ("known", v.concepts(spark, sf))):
+        save_bucketed(df, f"bucketed_{name}", new_path(spark, name), 4)
+    columns = ("fecha", "unique_concept", "cargo", "abono", "category_group")
+    want = Counter(map(tuple, enrich(v.movements(spark, sf), v.concepts(spark, sf)).select(*columns).collect()))
+    spark.conf.set(*COLOCATED_JOINS)
+    try:
+        joined = enrich(spark.table("bucketed_moves"), spark.table("bucketed_known")).select(*columns)
+        assert "Exchange" not in plan_of(joined)
+        assert Counter(map(tuple, joined.collect())) == want
+    finally:
+        spark.conf.unset(COLOCATED_JOINS[0])
+
+
+def test_job_folder_removes_what_it_staged(spark):
+    import os
+
+    from ledgerwise.shared import job_folder, staged
+
+    with job_folder(spark) as folder:
+        assert staged(spark.range(3), "x").count() == 3
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
 
 
 def test_shared_folder_comes_from_the_session(spark):
