@@ -77,23 +77,30 @@ def load_statements(
         for kind in KINDS:
             movements = loadable(both.filter(F.col("kind") == kind).drop("kind"))
             path = ledger.path(f"{PREFIX[kind]}_{estado}")
-            if estado == "cerrado":
-                before = store.read_parts(spark, path, only=store.parts_of(movements))
-                to_sync = staged(state_changes(before, movements), f"sync-{kind}")
-                store.upsert_movements(movements, path, on_conflict)
-            else:
-                to_sync = movements
+            months, to_sync = store.parts_of(movements), movements
+            if estado == "cerrado" and months:
+                to_sync = staged(state_changes(store.read_parts(spark, path, only=months), movements), f"sync-{kind}")
+                store.upsert_unique(movements, path, on_conflict, months)
+            if estado == "abierto":
                 store.overwrite_parts(movements, path)
-            sync_classification(ledger.path(f"{PREFIX[kind]}_conceptos"), to_sync, ledger.accounts, kind, run_ts)
+            sync_classification(
+                ledger.path(f"{PREFIX[kind]}_conceptos"), to_sync, ledger.accounts, kind, run_ts, months
+            )
             loaded[f"{PREFIX[kind]}_{estado}"] = movements
     loaded["rejects"] = refused[0].unionByName(refused[1])
     return loaded
 
 
-def sync_classification(path: str, movements: DataFrame, accounts: DataFrame, kind: str, run_ts: Column) -> None:
+def sync_classification(
+    path: str, movements: DataFrame, accounts: DataFrame, kind: str, run_ts: Column, months: list[str] | None = None
+) -> None:
     """Bring a stored classification table in step with loaded movements, in the months they touch."""
     store.merge_parts(
-        movements, path, lambda stored: sync_concepts(stored, movements, accounts, kind, run_ts), CONCEPTS
+        movements,
+        path,
+        lambda stored: sync_concepts(stored, movements, accounts, kind, run_ts),
+        CONCEPTS,
+        touched=months,
     )
 
 

@@ -53,13 +53,24 @@ def _by_part(df: DataFrame, part: str) -> DataFrame:
 
 
 def read_parts(
-    spark: SparkSession, path: str, schema: T.StructType = MOVEMENTS, only: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = MOVEMENTS,
+    only: Sequence[str] | None = None,
+    since: str | None = None,
 ) -> DataFrame:
-    """Partitioned table without the storage column, or only some of its partitions."""
+    """Partitioned table without the storage column: all of it, the named partitions, or those from one on.
+
+    A report over the last months asks for ``since`` the first of them; the scan then lists no earlier folder.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.StringType())])).parquet(path)
-    return (stored if only is None else stored.filter(F.col(PART).isin(list(only)))).drop(PART)
+    if only is not None:
+        stored = stored.filter(F.col(PART).isin(list(only)))
+    if since is not None:
+        stored = stored.filter(F.col(PART) >= since)
+    return stored.drop(PART)
 
 
 def overwrite_parts(df: DataFrame, path: str, part: str = MONTH_OF_ROW) -> None:
@@ -85,13 +96,15 @@ def merge_parts(
     merge: Callable[[DataFrame], DataFrame],
     schema: T.StructType = MOVEMENTS,
     part: str = MONTH_OF_ROW,
+    touched: Sequence[str] | None = None,
 ) -> None:
     """Replace the partitions ``source`` touches by ``merge`` of their rows; the other partitions are not read.
 
-    The merged rows are staged before they replace the old ones, so no plan overwrites what it reads.
+    The merged rows are staged before they replace the old ones, so no plan overwrites what it reads.  ``touched``
+    saves the look at ``source`` where its partitions are known.
     """
     spark = source.sparkSession
-    touched = parts_of(source, part)
+    touched = parts_of(source, part) if touched is None else touched
     if not touched:
         return
     merged = staged(merge(read_parts(spark, path, schema, touched)), "merged")
@@ -110,8 +123,14 @@ def upsert_movements(source: DataFrame, path: str, on_conflict: str = "update")
 
     Running it again with the same source changes nothing.
     """
-    unique = unique_rows(source)
-    merge_parts(unique, path, lambda stored: upsert(stored, unique, MOVEMENT_KEY, on_conflict), unique.schema)
+    upsert_unique(unique_rows(source), path, on_conflict)
+
+
+def upsert_unique(unique: DataFrame, path: str, on_conflict: str = "update", touched: Sequence[str] | None = None) -> None:
+    """Upsert of rows that are staged already, keyed and one per key."""
+    merge_parts(
+        unique, path, lambda stored: upsert(stored, unique, MOVEMENT_KEY, on_conflict), unique.schema, touched=touched
+    )
 
 
 def count_load(source: DataFrame, path: str) -> DataFrame:
@@ -153,9 +172,11 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}/{name}")
 
 
-def export_sets(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
-    """One data set per table."""
+def export_sets(tables: dict[str, DataFrame], root: str, fmt: str = "parquet", skip_empty: bool = False) -> None:
+    """One data set per table; ``skip_empty`` leaves out tables without rows."""
     for name, df in tables.items():
+        if skip_empty and df.isEmpty():
+            continue
         writer = df.write.mode("overwrite")
         writer.option("header", True).csv(f"{root}/{name}") if fmt == "csv" else writer.parquet(f"{root}/{name}")
 
@@ -182,6 +203,18 @@ def load_latest_snapshot(spark: SparkSession, root: str, as_of: date) -> DataFra
     return None
 
 
+def read_daily_file(spark: SparkSession, root: str, as_of: date, suffix: str) -> DataFrame | None:
+    """CSV of ``as_of`` (``{yyyy-MM}/{yyyy-MM-dd}{suffix}``), else of the day before, else None; all columns text."""
+    for day in (as_of, as_of - timedelta(days=1)):
+        name = f"{day.isoformat()}{suffix}"
+        try:
+            found = spark.read.option("header", True).csv(f"{root}/{day:%Y-%m}/{name}")
+        except AnalysisException:
+            continue
+        return found.withColumns({"file_date": F.lit(day), "file_name": F.lit(name)})
+    return None
+
+
 def feed_snapshot(source: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Append to a stored snapshot what it does not hold yet."""
     spark = source.sparkSession

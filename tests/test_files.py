@@ -192,6 +192,29 @@ def test_snapshots(spark, rows):
     assert store.load_latest_snapshot(spark, root, date(2024, 3, 4)) is None
 
 
+def test_daily_file_of_today_or_yesterday(spark, rows, tmp_path):
+    root = str(tmp_path)
+    write(f"{root}/2024-02", "2024-02-29_debito.csv", DEBIT, "05/03/2024,x,1,,1")
+    got = store.read_daily_file(spark, root, date(2024, 3, 1), "_debito.csv")
+    assert rows(got, "Concepto", "file_date", "file_name") == [("x", D("2024-02-29"), "2024-02-29_debito.csv")]
+    assert store.read_daily_file(spark, root, date(2024, 3, 2), "_debito.csv") is None
+    assert store.read_daily_file(spark, root, date(2024, 2, 29), "_credito.csv") is None
+
+
+def test_reports_over_the_last_months_skip_older_partitions(spark, rows):
+    path = new_path(spark, "test-since")
+    store.overwrite_parts(movements(spark, movement("2024-01-01", "1"), movement("2024-03-01", "2")), path)
+    recent = store.read_parts(spark, path, since="2024-02")
+    assert "PartitionFilters: [isnotnull(part" in recent._jdf.queryExecution().executedPlan().toString()
+    assert rows(recent, "unique_concept") == [("2",)]
+
+
+def test_empty_sets_are_not_exported(spark):
+    root = new_path(spark, "test-export")
+    store.export_sets({"full": spark.range(1), "none": spark.range(0)}, root, skip_empty=True)
+    assert store.exists(spark, f"{root}/full") and not store.exists(spark, f"{root}/none")
+
+
 def test_publish_switches_all_tables(spark):
     root = new_path(spark, "test-publish")
     for version, n in (("1", 1), ("2", 2)):
