@@ -56,19 +56,20 @@ def same_content(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def summary(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: sizes, columns added and removed, distinct rows added and removed."""
+    """One row: sizes, columns added and removed, distinct rows added and removed; each version is read once."""
     names = schema_diff(old, new)
-    changes = row_changes(old, new).agg(
-        F.count_if(F.col("change") == "added").alias("rows_added"),
-        F.count_if(F.col("change") == "removed").alias("rows_removed"),
-    )
-    sizes = {f"rows_{k}": df.agg(F.count(F.lit(1))).scalar() for k, df in (("new", new), ("old", old))}
-    return changes.withColumns(
-        {
-            **sizes,
-            "columns_added": F.lit(",".join(names["added"])),
-            "columns_removed": F.lit(",".join(names["removed"])),
-        }
+    columns = names["common"]
+    both = _as_text(old, columns).withColumn("_old", F.lit(1)).withColumn("_new", F.lit(0)).unionByName(
+        _as_text(new, columns).withColumn("_old", F.lit(0)).withColumn("_new", F.lit(1))
+    )
+    counts = both.groupBy(*columns).agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    return counts.agg(
+        F.count_if(F.col("_old") == 0).alias("rows_added"),
+        F.count_if(F.col("_new") == 0).alias("rows_removed"),
+        F.coalesce(F.sum("_new"), F.lit(0)).alias("rows_new"),
+        F.coalesce(F.sum("_old"), F.lit(0)).alias("rows_old"),
+    ).withColumns(
+        {"columns_added": F.lit(",".join(names["added"])), "columns_removed": F.lit(",".join(names["removed"]))}
     )
 
 

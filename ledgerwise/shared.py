@@ -27,6 +27,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at ``path``, on whatever file system the cluster uses?  Lists nothing."""
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
 @contextmanager
 def job_folder(spark: SparkSession) -> Iterator[str]:
     """Staged tables of a job in a folder of their own, removed when the job ends, well or badly.
@@ -39,8 +50,8 @@ def job_folder(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _runs.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _file_system(spark, folder)
+        system.delete(path, True)
 
 
 def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:

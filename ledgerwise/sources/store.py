@@ -19,7 +19,7 @@ from ledgerwise.contracts import MOVEMENT_KEY, MOVEMENTS
 from ledgerwise.operators.enrich import MOVEMENT_ID, with_movement_id
 from ledgerwise.operators.keyed import append_new, loadable, load_counters, upsert
 from ledgerwise.operators.ranking import keep_last
-from ledgerwise.shared import staged
+from ledgerwise.shared import exists, staged
 
 PART = "part"
 # partition of a row, as SQL over its key columns
@@ -27,14 +27,6 @@ MONTH_OF_ROW = "date_format(fecha, 'yyyy-MM')"
 PERIOD_OF_DOCUMENT = "cutoff_period"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Whole table; empty with ``schema`` where it was never written."""
     if schema is not None and not exists(spark, path):
@@ -160,15 +152,20 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 # --- sets of tables that change together ---------------------------------------------------------------------------
 def publish(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write all tables into a new version folder, then point ``root/current`` at it: readers see all or nothing."""
+    """Write all tables into a new version folder, then note the version as published.
+
+    The note is appended last, in one file: readers see all tables of a version or none.  Versions sort by name.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
-    spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{root}/current")
+    note = spark.range(1).select(F.lit(version).alias("version"))
+    note.coalesce(1).write.mode("append").parquet(f"{root}/published")
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/current").first()["version"]
+    """Table of the newest published version."""
+    version = spark.read.parquet(f"{root}/published").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root}/version={version}/{name}")
 
 
