@@ -54,7 +54,7 @@ def job_folder(spark: SparkSession) -> Iterator[str]:
         system.delete(path, True)
 
 
-def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, by: str | None = None, session: SparkSession | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; ``by`` names a column that later filters select on.
 
     The result survives lost executors, is not computed twice by a plan that uses it twice, and carries its real
@@ -63,4 +63,4 @@ def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = new_path(df.sparkSession, label)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)

@@ -46,8 +46,9 @@ def ingest_statements(
             load_staged(batch, batch_id)
 
     def load_staged(batch: DataFrame, batch_id: int) -> None:
-        # the batch is read twice, for its files and for its rows
-        rows = staged(batch, f"batch-{batch_id}")
+        # the batch is read twice, for its files and for its rows; read back in the caller's session, the load plans
+        # adaptively like any batch job
+        rows = staged(batch, f"batch-{batch_id}", session=spark)
         manifest = staged(accepted(_files(rows), accounts), f"manifest-{batch_id}")
         tagged = with_files(rows.drop("file_modification_time"), manifest)
         movements = staged(typed_movements(tagged, "cerrado"), f"movements-{batch_id}", by="kind")
