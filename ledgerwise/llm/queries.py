@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import decontaminate, language_id, packing, simhash
+from ledgerwise.llm import decontaminate, language_id, packing, pii, quality_classifier, quality_rules, simhash
 from ledgerwise.llm.common import fold, read_table
+from ledgerwise.llm.text_stats import with_stats
+from ledgerwise.shared import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +25,15 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
+@query
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
+    counts = [f"n_{k}" for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; learned outside fold 1 of 3."""
@@ -44,9 +55,34 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), 2048)
 
 
+@query
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents to keep; cutoffs by language, learned from all quality labels."""
+    docs = documents(spark, sf_dir, "doc_id", "text", F.col("lang").alias("stratum"))
+    counts = staged(with_stats(docs, keep=["doc_id", "stratum"]), "counts")
+    made = quality_rules.judged(counts, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    wanted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return made.select(*wanted)
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over four words, linked within four bits."""
     found = simhash.near_duplicates(documents(spark, sf_dir), words=4, max_distance=4)
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op10_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; learned outside fold 1 of 3."""
+    counts = staged(with_stats(documents(spark, sf_dir), keep=["doc_id"]), "counts")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    train = counts.join(labels.where(fold(F.col("doc_id"), 3) != 1), "doc_id")
+    made = quality_classifier.scored(counts, quality_classifier.fit(train), ["doc_id"])
+    return made.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
