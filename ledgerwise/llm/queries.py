@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import decontaminate, language_id, packing, pii, quality_classifier, quality_rules, simhash
+from ledgerwise.llm import decontaminate, language_id, packing, pii, quality_classifier, quality_rules, simhash, suffix_tree
 from ledgerwise.llm.common import fold, read_table
 from ledgerwise.llm.text_stats import with_stats
 from ledgerwise.shared import staged
@@ -65,6 +65,14 @@ def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*wanted)
 
 
+@query
+def op7_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and suffix-tree scores of all documents; learned outside fold 2 of 7."""
+    made = suffix_tree.scored(documents(spark, sf_dir), fold(F.col("doc_id"), 7) != 2)
+    wanted = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return made.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), *wanted)
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over four words, linked within four bits."""
