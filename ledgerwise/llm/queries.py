@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import decontaminate, language_id, packing, pii, quality_classifier, quality_rules, simhash, suffix_tree
+from ledgerwise.llm import decontaminate, language_id, packing, pii, quality_classifier, quality_rules, simhash, suffix_tree, token_counts, toxicity
 from ledgerwise.llm.common import fold, read_table
 from ledgerwise.llm.text_stats import with_stats
 from ledgerwise.shared import staged
@@ -43,6 +43,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by encoded length, with sums from each length on."""
+    return token_counts.suffix_sums(token_counts.histogram(documents(spark, sf_dir)))
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, exactly or paraphrased."""
@@ -81,6 +87,21 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; learned outside fold 1 of 3."""
+    docs = documents(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    train = docs.join(labels.where(fold(F.col("doc_id"), 3) != 1), "doc_id")
+    made = toxicity.scored(docs, toxicity.fit(train), keep=["doc_id"])
+    return made.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; learned outside fold 1 of 3."""
