@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import decontaminate, language_id, packing, pii, quality_classifier, quality_rules, simhash, suffix_tree, token_counts, toxicity
+from ledgerwise.llm import (
+    decontaminate,
+    language_id,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    suffix_tree,
+    token_counts,
+    toxicity,
+)
 from ledgerwise.llm.common import fold, read_table
 from ledgerwise.llm.text_stats import with_stats
 from ledgerwise.shared import staged

@@ -96,7 +96,8 @@ def links(prints: DataFrame, max_distance: int = 4, groups: int | None = None) -
     keyed = prints.select(
         "fingerprint", embedding(F.col("fingerprint")).alias("code"), F.posexplode(listed([m for m, _ in grid]))
     )
-    keyed = keyed.select("fingerprint", "code", F.col("pos").alias("layout"), F.col("code").bitwiseAND(F.col("col")).alias("cell"))
+    cell = F.col("code").bitwiseAND(F.col("col"))
+    keyed = keyed.select("fingerprint", "code", F.col("pos").alias("layout"), cell.alias("cell"))
     left, right = keyed.alias("l"), keyed.alias("r")
     codes = F.col("l.code").bitwiseXOR(F.col("r.code"))
     near = (
@@ -127,6 +128,6 @@ def near_duplicates(
     grouped = staged(found.join(distinct, found["node"] == distinct["fingerprint"]), "grouped")
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_print = grouped.join(smallest, "component").select("fingerprint", "component_id")
-    return prints.join(of_print.join(distinct, "fingerprint", "right").select(
-        "fingerprint", F.coalesce("component_id", "first_id").alias("component_id")
-    ), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = of_print.join(distinct, "fingerprint", "right")
+    named = named.select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
+    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")

@@ -44,9 +44,8 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     the corpus if every document is cut to that length.  ``rank``: share of documents of that length or less.  Sums run
     within spans of ``SPAN`` lengths, and over the spans' totals: the one ordered task gets a row per span only.
     """
-    rows = counts.select(
-        "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / SPAN).alias("span")
-    )
+    tokens, span = F.col("length") * F.col("n_docs"), F.floor(F.col("length") / SPAN)
+    rows = counts.select("length", "n_docs", tokens.alias("n_tokens"), span.alias("span"))
     after = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = rows.groupBy("span").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
@@ -74,14 +73,15 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: ``context_limit, docs_longer, kept_tokens, cut_tokens``; one row a limit, zeros without documents."""
+    """``context_limit, docs_longer, kept_tokens, cut_tokens``, a row for each limit; zeros without documents."""
     parts = []
     for limit in limits:
         longer = F.col("length") > limit
         docs = F.coalesce(F.sum(F.when(longer, F.col("n_docs"))), F.lit(0))
         whole = F.coalesce(F.sum("n_tokens"), F.lit(0))
         cut = F.coalesce(F.sum(F.when(longer, F.col("n_tokens") - limit * F.col("n_docs"))), F.lit(0))
-        parts.append(F.struct(F.lit(limit).alias("context_limit"), docs.alias("docs_longer"), (whole - cut).alias("kept_tokens"), cut.alias("cut_tokens")))
+        found = {"docs_longer": docs, "kept_tokens": whole - cut, "cut_tokens": cut}
+        parts.append(F.struct(F.lit(limit).alias("context_limit"), *(v.alias(n) for n, v in found.items())))
     return sums.agg(F.array(*parts).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
 
 
