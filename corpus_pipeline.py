@@ -24,13 +24,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one that names the group.
 
-    Of rows with one id a single one stays; rows without id are no group's name and stay.
+    Of rows with one id a single one stays, chosen by a hash; rows without id are no group's name and stay.
     """
     found = simhash.near_duplicates(docs, words=4, max_distance=4)
-    away = found.where("component_id <> doc_id").select("doc_id").distinct()
-    rest = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    named = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.where("doc_id is null"))
+    away = found.where("component_id <> doc_id").select("doc_id")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    single = docs.join(away.union(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    several = docs.join(repeated.join(away.distinct(), "doc_id", "left_anti"), "doc_id", "left_semi")
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    chosen = several.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(chosen)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
