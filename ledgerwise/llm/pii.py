@@ -338,7 +338,7 @@ def redact(docs: DataFrame, least: float = 0.95) -> DataFrame:
 
         return of_texts
 
-    named = docs.withColumnsRenamed({c: f"kept_{c}" for c in docs.columns})
+    named = docs.toDF(*(f"kept_{c}" for c in docs.columns))
     made = per_batch(named, work, [T.StructField("redacted_text", T.StringType())], text="kept_text")
     out = {c: F.col(f"kept_{c}") for c in docs.columns} | {"text": F.col("redacted_text")}
     if "n_chars" in out:
