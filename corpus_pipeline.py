@@ -16,7 +16,7 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without letters, and null or empty ones, go."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    marks = language_id.identify(docs.withColumnsRenamed({c: f"kept_{c}" for c in docs.columns}), model, text="kept_text")
+    marks = language_id.identify(docs.toDF(*(f"kept_{c}" for c in docs.columns)), model, text="kept_text")
     known = marks.where(F.col("lang_pred") != language_id.UNDETERMINED)
     return known.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
