@@ -20,7 +20,6 @@ HEADERS = {
 }
 
 # --- fixed values: header name -> movement column ---------------------------------------------------------------
-DERIVED_COLUMNS = ("file_date", "file_name", "estado", "cuenta", "unique_concept", "period")
 RENAMES = {
     "debit": {"Fecha": "fecha", "Concepto": "concepto", "Cargos": "cargo", "Abonos": "abono", "Saldos": "saldo"},
     "credit": {"Fecha": "fecha", "Concepto": "concepto", "Cargo": "cargo", "Abono": "abono", "saldo": "saldo"},

@@ -24,6 +24,11 @@ def clean_text(value: Column) -> Column:
     return F.when(~F.lower(trimmed).isin(*NULL_MARKERS), trimmed)
 
 
+def unreadable(value: Column, read: Column) -> Column:
+    """True where there is text, but nothing could be read from it."""
+    return clean_text(value).isNotNull() & read.isNull()
+
+
 def amount(value: Column, precision: int = 12) -> Column:
     """Text to decimal(precision, 2); NULL where it is no number."""
     return clean_text(value).try_cast(f"decimal({precision},2)")
@@ -36,13 +41,8 @@ def period_from_name(file_name: Column) -> Column:
 
 def masked_uri(uri: Column) -> Column:
     """``scheme://user:password@host`` with the password as ``***``; anything else unchanged, NULL as empty."""
-    scheme = F.substring_index(uri, "://", 1)
-    rest = F.substring(uri, F.length(scheme) + 4, F.length(uri))
-    credentials = F.substring_index(rest, "@", 1)
-    user = F.substring_index(credentials, ":", 1)
-    host = F.substring(rest, F.length(credentials) + 1, F.length(rest))
-    holds_password = uri.contains("://") & rest.contains("@") & credentials.contains(":")
-    return F.coalesce(F.when(holds_password, F.concat(scheme, F.lit("://"), user, F.lit(":***"), host)), uri, F.lit(""))
+    masked = F.regexp_replace(uri, r"(?s)^((?:(?!://).)*://[^:@]*):[^@]*@", "$1:***@")
+    return F.coalesce(masked, F.lit(""))
 
 
 def is_present(payload: Column) -> Column:

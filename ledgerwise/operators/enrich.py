@@ -71,9 +71,8 @@ def export_rows(closed: DataFrame, opened: DataFrame, concepts: DataFrame) -> Da
 
 
 def newest_first(df: DataFrame) -> DataFrame:
-    """Newest day first, undated rows before all; the other columns split and order the rows of one day."""
-    rest = [c for c in df.columns if c not in MOVEMENT_KEY]
-    return df.orderBy(F.col("fecha").desc_nulls_first(), *MOVEMENT_KEY[1:], *rest)
+    """Newest day first, undated rows before all; a hash of the row splits and orders the rows of one day."""
+    return df.orderBy(F.col("fecha").desc_nulls_first(), F.xxhash64(*df.columns))
 
 
 def of_known_accounts(movements: DataFrame, accounts: DataFrame, kind: str) -> DataFrame:

@@ -59,7 +59,12 @@ def load_counters(target: DataFrame, source: DataFrame, keys: Sequence[str] = MO
 
 
 def append_new(target: DataFrame, source: DataFrame, columns: Sequence[str], file: str = "file_name") -> DataFrame:
-    """Target plus the source rows whose ``columns`` it does not hold yet (NULLs equal).
+    """Target plus the source rows whose ``columns`` it does not hold yet (NULLs equal)."""
+    return target.unionByName(new_rows(target, source, columns, file), allowMissingColumns=True)
+
+
+def new_rows(target: DataFrame, source: DataFrame, columns: Sequence[str], file: str = "file_name") -> DataFrame:
+    """The source rows whose ``columns`` the target does not hold yet (NULLs equal).
 
     Files count one after the other in name order: copies inside one file all go in, a row that an earlier file
     brought does not come again.
@@ -73,8 +78,7 @@ def append_new(target: DataFrame, source: DataFrame, columns: Sequence[str], fil
         .filter(~F.col("_held"))
         .drop("_held")
     )
-    added = keyed_join(source, fresh, [*columns, file], "left_semi", null_safe=True)
-    return target.unionByName(added, allowMissingColumns=True)
+    return keyed_join(source, fresh, [*columns, file], "left_semi", null_safe=True)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,8 +111,11 @@ def classify(concepts: DataFrame, edits: DataFrame, order: Sequence[str] = ()) -
 
 
 def rename_cascade(df: DataFrame, renames: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Follow a parent rename: ``renames`` holds ``columns`` and their ``new_`` values."""
-    edits = renames.select(*columns, F.lit(True).alias("_hit"), *[F.col(f"new_{c}").alias(f"_new_{c}") for c in columns])
+    """Follow a parent rename: ``renames`` holds ``columns`` and their ``new_`` values, one of them if a parent repeats."""
+    last = keep_last(renames, columns, [f"new_{c}" for c in columns])
+    edits = last.select(
+        *columns, F.lit(True).alias("_hit"), *[F.col(f"new_{c}").alias(f"_new_{c}") for c in columns]
+    )
     joined = salted_lookup(df, edits, columns)
     renamed = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(renamed).select(*df.columns)
@@ -116,7 +123,7 @@ def rename_cascade(df: DataFrame, renames: DataFrame, columns: Sequence[str]) ->
 
 def delete_set_null(df: DataFrame, deleted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Follow a parent deletion: the reference becomes NULL, the row stays."""
-    joined = salted_lookup(df, deleted.select(*columns, F.lit(True).alias("_hit")), columns)
+    joined = salted_lookup(df, deleted.select(*columns).distinct().withColumn("_hit", F.lit(True)), columns)
     cleared = {c: F.when(F.col("_hit").isNull(), F.col(c)) for c in columns}
     return joined.withColumns(cleared).select(*df.columns)
 

@@ -32,7 +32,8 @@ def latest_cutoffs(account_cutoffs: DataFrame, n: int = 2) -> DataFrame:
 
 
 def newest_file(manifest: DataFrame, known: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Newest file (last name on a tie) among those not known before, per group of ``by``."""
+    """Newest file (last name on a tie) among those not known before, per group of ``by``; none if nothing is new."""
     fresh = manifest.join(known.select("file_name").distinct(), "file_name", "left_anti")
     newest = F.max(F.struct("file_modification_time", "file_name")).alias("newest")
-    return fresh.groupBy(*by).agg(newest).select(*by, "newest.file_name", "newest.file_modification_time")
+    found = fresh.groupBy(*by).agg(newest).filter(F.col("newest").isNotNull())
+    return found.select(*by, "newest.file_name", "newest.file_modification_time")

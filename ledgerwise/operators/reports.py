@@ -122,7 +122,7 @@ def latest_file_date(movements: DataFrame) -> DataFrame:
     return movements.groupBy("cuenta").agg(F.max("file_date").alias("max_date"))
 
 
-def newest_page(concepts: DataFrame, n: int = 1000) -> DataFrame:
+def newest_page(concepts: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` classified movements; the movement key decides between rows of one day."""
     return concepts.orderBy(
         F.col("fecha").desc_nulls_first(), *[F.col(k).asc_nulls_first() for k in MOVEMENT_KEY[1:]]

@@ -120,6 +120,46 @@ def header_contract(spark, sf):
     ).distinct()
 
 
+def write_odd_statements(spark, sf) -> str:
+    """Closed debit statements as banks write them: by the last digit of the number, thousands separators, quotes and
+    commas inside the concept, a null marker for a concept, or a column too many."""
+    folder, digit = new_path(spark, "statements-odd"), F.right(F.col("unique_concept"), F.lit(1))
+    quoted = F.concat(F.lit('PAGO "A, B" '), F.col("unique_concept"))
+    concept = F.when(digit == "2", quoted).when(digit == "3", "NaN").otherwise(F.col("concepto"))
+    charge = F.when(digit == "1", F.format_number("cargo", 2)).otherwise(F.col("cargo").cast("string"))
+    rows = _by_nation(spark, sf, "debit", "cerrado").select(
+        F.date_format("fecha", "dd/MM/yyyy").alias("Fecha"),
+        concept.alias("Concepto"),
+        charge.alias("Cargos"),
+        F.col("abono").cast("string").alias("Abonos"),
+        F.lit(None).cast("string").alias("Saldos"),
+        F.concat(F.lit("2001-06 "), F.col("account"), F.lit(".csv")).alias("file"),
+    )
+    rows.write.partitionBy("file").options(header=True, escape='"').csv(folder)
+    return folder
+
+
+@query(
+    f""", {_NATIONS}, odd AS (SELECT *, right(unique_concept, 1) AS digit FROM nations
+            WHERE estado = 'cerrado' AND type = 'debit')
+        SELECT account AS cuenta, CASE WHEN digit = '1' AND cargo >= 1000 THEN 'cargo' WHEN digit = '3' THEN 'unique_concept'
+               ELSE 'loaded' END AS reason, count(*) AS n_rows,
+               sum(CASE WHEN digit = '3' OR digit = '1' AND cargo >= 1000 THEN 0 ELSE cargo END)::DOUBLE AS loaded_cargo
+        FROM odd GROUP BY ALL""",
+    "movements",
+    "accounts",
+)
+def load_rejects(spark, sf):
+    """What becomes of every written line: loaded, or refused with a reason."""
+    folder, people = write_odd_statements(spark, sf), nation_accounts(spark, sf)
+    manifest = staged(fs.statement_manifest(spark, folder, people), "manifest")
+    rows = statement_movements(spark, folder, manifest, "cerrado")
+    reason = F.coalesce("reason", F.when(F.col("unique_concept").isNull(), "unique_concept"), F.lit("loaded"))
+    cargo = F.when(reason == "loaded", F.col("cargo")).otherwise(0)
+    counted = rows.groupBy("cuenta", reason.alias("reason"))
+    return counted.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(cargo).cast("double").alias("loaded_cargo"))
+
+
 @query()
 def today_files(spark, sf):
     """Files of the day out of the listing, with their provenance."""

@@ -240,6 +240,7 @@ def enrich_inner(spark, sf):
 
 _PAGE = """SELECT * FROM concepts
            ORDER BY fecha DESC, unique_concept, cargo NULLS FIRST, abono NULLS FIRST LIMIT 1000"""
+_PAGE_OF_CLOSED = _PAGE.replace("FROM concepts", "FROM concepts WHERE estado = 'cerrado'")
 _PAGE_OUT = """fecha::VARCHAR AS fecha, unique_concept, concepto, cuenta, estado, cargo::DOUBLE AS cargo,
                abono::DOUBLE AS abono, category_group, category_subgroup, beneficiario"""
 _PAGE_COLUMNS = ("fecha", "unique_concept", "concepto", "cuenta", "estado", "cargo", "abono", *_CLASS_COLUMNS)
@@ -247,13 +248,13 @@ _PAGE_COLUMNS = ("fecha", "unique_concept", "concepto", "cuenta", "estado", "car
 
 @query(f"SELECT {_PAGE_OUT} FROM ({_PAGE}) p", "concepts")
 def top_newest(spark, sf):
-    return r.newest_page(v.concepts(spark, sf)).select(*_PAGE_COLUMNS)
+    return r.newest_page(v.concepts(spark, sf), 1000).select(*_PAGE_COLUMNS)
 
 
-@query(f"SELECT {_PAGE_OUT} FROM ({_PAGE}) p WHERE estado = 'cerrado'", "concepts")
+@query(f"SELECT {_PAGE_OUT} FROM ({_PAGE_OF_CLOSED}) p", "concepts")
 def filtered_page(spark, sf):
-    """The page first, then the filter."""
-    return r.pick(r.newest_page(v.concepts(spark, sf)), "cerrado", "Todas").select(*_PAGE_COLUMNS)
+    """The filter first, then the page, so that no matching row is lost to others."""
+    return r.newest_page(r.pick(v.concepts(spark, sf), "cerrado", "Todas"), 1000).select(*_PAGE_COLUMNS)
 
 
 @query(f"SELECT {_PAGE_OUT} FROM concepts WHERE estado = 'abierto'", "concepts")

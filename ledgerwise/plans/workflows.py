@@ -16,12 +16,12 @@ from ledgerwise.operators import manifests as m
 from ledgerwise.operators.calendar import refresh_account_cutoffs
 from ledgerwise.operators.enrich import enriched_table, state_changes, sync_concepts
 from ledgerwise.operators.joins import keyed_join
-from ledgerwise.operators.keyed import document_attach, document_upsert, loadable, rejected
-from ledgerwise.shared import staged
+from ledgerwise.operators.keyed import document_attach, document_upsert, loadable
+from ledgerwise.shared import job_folder, staged
 from ledgerwise.sources import store
 from ledgerwise.sources.documents import binary_files, keyed_payloads, with_stored_flags
 from ledgerwise.sources.files import list_files, statement_manifest
-from ledgerwise.sources.statements import last_of_each_key, statement_movements
+from ledgerwise.sources.statements import last_of_each_key, readable, refused, statement_movements
 
 # stored documents hold their flags, so that plans over keys and flags never touch payloads
 STORED_DOCUMENTS = T.StructType(
@@ -68,29 +68,42 @@ def load_statements(
 
     Returns, per kind and state, the loaded movements; and the rejects.
     """
-    spark, loaded, refused = ledger.spark, {}, []
+    spark, loaded, away = ledger.spark, {}, []
     for estado, folder, day in (("cerrado", closed_folder, None), ("abierto", open_folder, as_of)):
         manifest = staged(statement_manifest(spark, folder, ledger.accounts, day), f"manifest-{estado}")
         rows = statement_movements(spark, folder, manifest, estado, as_of, null_date)
         both = staged(last_of_each_key(rows), f"load-{estado}", by="kind")
-        refused.append(rejected(both))
+        away.append(refused(both))
         for kind in KINDS:
-            movements = loadable(both.filter(F.col("kind") == kind).drop("kind"))
+            movements = loadable(readable(both.filter(F.col("kind") == kind)).drop("kind"))
             path = ledger.path(f"{PREFIX[kind]}_{estado}")
-            months, to_sync = store.parts_of(movements), movements
-            if estado == "cerrado" and months:
-                to_sync = staged(state_changes(store.read_parts(spark, path, only=months), movements), f"sync-{kind}")
-                store.upsert_unique(movements, path, on_conflict, months)
-            if estado == "abierto":
+            concepts = ledger.path(f"{PREFIX[kind]}_conceptos")
+            if estado == "cerrado":
+                load_closed(movements, path, concepts, ledger.accounts, kind, run_ts, on_conflict)
+            else:
+                sync_classification(concepts, movements, ledger.accounts, kind, run_ts)
                 store.overwrite_parts(movements, path)
-            sync_classification(
-                ledger.path(f"{PREFIX[kind]}_conceptos"), to_sync, ledger.accounts, kind, run_ts, months
-            )
             loaded[f"{PREFIX[kind]}_{estado}"] = movements
-    loaded["rejects"] = refused[0].unionByName(refused[1])
+    loaded["rejects"] = away[0].unionByName(away[1])
     return loaded
 
 
+def load_closed(
+    movements: DataFrame, path: str, concepts: str, accounts: DataFrame, kind: str, run_ts: Column, on_conflict: str = "update"
+) -> None:
+    """Closed movements (staged, one per key) into their table, and what changes by that into the classification.
+
+    The classification comes first: as long as the movements are not in their table, a run that is repeated after a
+    crash finds the same changes again.
+    """
+    months = store.parts_of(movements)
+    if months:
+        stored = store.read_parts(movements.sparkSession, path, only=months)
+        changes = staged(state_changes(stored, movements), f"sync-{kind}")
+        sync_classification(concepts, changes, accounts, kind, run_ts, months)
+        store.upsert_unique(movements, path, on_conflict, months)
+
+
 def sync_classification(
     path: str, movements: DataFrame, accounts: DataFrame, kind: str, run_ts: Column, months: list[str] | None = None
 ) -> None:
@@ -129,9 +142,14 @@ def sync_pdf_documents(ledger: Ledger, folder: str, only_if_files: bool = True)
 
     With ``only_if_files`` nothing is written as long as not one expected file is there; tells whether it wrote.
     """
+    with job_folder(ledger.spark):
+        return _sync_pdf_documents(ledger, folder, only_if_files)
+
+
+def _sync_pdf_documents(ledger: Ledger, folder: str, only_if_files: bool) -> bool:
     spark = ledger.spark
     flags = m.document_flags(ledger.documents())
-    names = list_files(spark, folder, "*.pdf").select("file_name")
+    names = list_files(spark, folder, "*.pdf").select("file_name").distinct()
     waiting = staged(m.documents_to_sync(ledger.cutoffs(), flags, names), "waiting")
     if only_if_files and waiting.filter(F.col("file_name").isNotNull()).isEmpty():
         return False
@@ -162,7 +180,7 @@ def attach_documents(ledger: Ledger, folder: str, as_of, run_ts: Column) -> Data
         store.PERIOD_OF_DOCUMENT,
     )
     flags = m.document_flags(ledger.documents())
-    listing = list_files(spark, folder, "*").select("file_name")
+    listing = list_files(spark, folder, "*").select("file_name").distinct()
     wanted = staged(m.files_to_attach(flags, listing, as_of), "attach")
     files = None
     for kind in ("csv", "pdf"):

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: dict[str, str] = {}
-_runs: list[str] = []
+_local_folder: str | None = None
+_job: ContextVar[str | None] = ContextVar("job", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where the cluster names none (tests)."""
+    """``spark.checkpoint.dir`` of the session, or the folder given to ``setCheckpointDir``.
+
+    Only a local master may do without one: its executors are this process, and a temporary folder serves.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _fallback.setdefault("dir", tempfile.mkdtemp(prefix="ledgerwise-"))
+    given = spark.sparkContext.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="ledgerwise-")
+    return _local_folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path nobody has written yet, so that a retried job never meets its own leftovers."""
-    folder = _runs[-1] if _runs else f"{shared_dir(spark)}/ledgerwise"
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    return f"{_job.get() or shared_dir(spark) + '/ledgerwise'}/{label}-{uuid.uuid4().hex}"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -42,14 +54,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def job_folder(spark: SparkSession) -> Iterator[str]:
     """Staged tables of a job in a folder of their own, removed when the job ends, well or badly.
 
-    What the job returns lazily may read them: use it inside.
+    What the job returns lazily may read them: use it inside.  The folder belongs to the thread or task that opened it:
+    what others stage meanwhile lies elsewhere.
     """
     folder = new_path(spark, "job")
-    _runs.append(folder)
+    token = _job.set(folder)
     try:
         yield folder
     finally:
-        _runs.remove(folder)
+        _job.reset(token)
         system, path = _file_system(spark, folder)
         system.delete(path, True)
 

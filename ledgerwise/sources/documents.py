@@ -9,18 +9,24 @@ from ledgerwise.contracts import DOCUMENT_KEY
 from ledgerwise.functions.text import is_present
 from ledgerwise.operators.keyed import PAYLOADS
 from ledgerwise.operators.manifests import parse_document_names
-from ledgerwise.sources.files import file_name_of
+from ledgerwise.sources.files import file_name_of, list_files
 
 
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """Files with their bytes; leave ``content`` out of the select and nothing is read."""
+    """Files with their bytes, the newest (then the first path) of those that share a name.
+
+    Leave ``content`` out of the select and nothing is read; which files count is known from the listing alone.
+    """
     scan = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(folder)
     )
-    return scan.select(
+    newest = F.min_by("file_path", F.struct(-F.unix_micros("file_modification_time"), "file_path"))
+    chosen = list_files(spark, folder, pattern).groupBy("file_name").agg(newest.alias("file_path"))
+    one_of_each = scan.join(chosen.select("file_path"), scan["_metadata.file_path"] == F.col("file_path"), "left_semi")
+    return one_of_each.select(
         file_name_of(F.col("_metadata.file_path")).alias("file_name"),
         F.col("_metadata.file_modification_time").alias("file_modification_time"),
         "length",

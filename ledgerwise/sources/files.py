@@ -6,16 +6,21 @@ The manifest is small next to the rows, but it grows with the number of files, s
 from __future__ import annotations
 
 import csv
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise.contracts import HEADERS
 from ledgerwise.functions.dates import day
 
-HEADER_CHUNK = 64 * 1024
+HEADER_CHUNK, LONGEST_HEADER = 64 * 1024, 1024 * 1024
+
+# the functions that read headers travel with their tasks: executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def file_name_of(path: Column) -> Column:
@@ -58,7 +63,7 @@ def file_date_from_name(file_name: Column) -> Column:
 
 
 def _first_line(raw_path: str) -> str:
-    """First line of a file on any file system Arrow knows; reads no further than that line."""
+    """First line of a file on any file system Arrow knows; a line longer than ``LONGEST_HEADER`` is no header."""
     from pyarrow import fs
 
     uri = raw_path.replace("file:/", "file:///", 1) if raw_path.startswith("file:/") else raw_path
@@ -66,10 +71,10 @@ def _first_line(raw_path: str) -> str:
         system, path = fs.LocalFileSystem(), uri[len("file://") :]
         path = "/" + path.lstrip("/")
     else:
-        system, path = fs.FileSystem.from_uri(uri)
+        system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     with system.open_input_stream(path) as stream:
         head = b""
-        while b"\n" not in head:
+        while b"\n" not in head and len(head) < LONGEST_HEADER:
             chunk = stream.read(HEADER_CHUNK)
             if not chunk:
                 break

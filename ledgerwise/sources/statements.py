@@ -10,19 +10,23 @@ from pyspark.sql import types as T
 
 from ledgerwise.contracts import HEADERS, MOVEMENT_KEY, MOVEMENTS, RENAMES
 from ledgerwise.functions.dates import is_date_name, open_period, or_unknown, parse_date
-from ledgerwise.functions.text import amount, clean_text, period_from_name, unique_concept
+from ledgerwise.functions.text import amount, clean_text, period_from_name, unique_concept, unreadable
 from ledgerwise.operators.joins import keyed_join
+from ledgerwise.operators.keyed import REQUIRED
 from ledgerwise.operators.ranking import keep_last
 
-WIDTH = max(len(header) for header in HEADERS.values())
+# one column more than any contract has shows what a line holds beyond it
+WIDTH = max(len(header) for header in HEADERS.values()) + 1
 RAW = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH)])
 
 
 def raw_reader(reader):
-    """Positional text columns.  One pass reads all contracts; the header line of every file is skipped."""
-    return reader.schema(RAW).option("header", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.csv"
-    )
+    """Positional text columns.  One pass reads all contracts; the header line of every file is skipped.
+
+    Quotes inside quotes are doubled, as in the header.  A line break ends a line even inside quotes: the halves have
+    too few or too many columns to be read and end up among the rejects.
+    """
+    return reader.schema(RAW).options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv", quote='"', escape='"')
 
 
 def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +73,9 @@ def concat_files(frames: list[DataFrame], spark: SparkSession | None = None, sch
 def typed_movements(rows: DataFrame, estado: str, as_of=None, null_date: bool = True) -> DataFrame:
     """Typed movements of all kinds out of raw rows with their file's contract, name, date and account.
 
+    ``reason`` names the first amount that holds text but no number, or says ``columns`` where a line has more columns
+    than its contract; such rows keep their text in ``raw`` and must not be loaded (``readable``).
+
     Closed rows take their period from the file name, open rows from ``as_of``.  Credit statements have no balance.
     ``null_date`` writes unknown dates as the fixed unknown date; without it such rows end up among the rejects.
     """
@@ -86,17 +93,42 @@ def typed_movements(rows: DataFrame, estado: str, as_of=None, null_date: bool =
         "file_name": F.col("file_name"),
         "estado": F.lit(estado),
         "cuenta": F.col("cuenta"),
-        "unique_concept": F.nullif(unique_concept(concepto), F.lit("")),
+        "unique_concept": F.nullif(unique_concept(clean_text(concepto)), F.lit("")),
         "period": period,
     }
     if null_date:
         columns |= {c: or_unknown(columns[c]) for c in MOVEMENTS.names if is_date_name(c)}
-    return movements.select(kind.alias("kind"), *[columns[c].alias(c) for c in MOVEMENTS.names])
+    bad = [F.when(unreadable(by_meaning(rows, c), columns[c]), F.lit(c)) for c in ("cargo", "abono", "saldo")]
+    surplus = [
+        F.when((kind == k) & F.coalesce(*[F.col(f"c{i}") for i in range(len(HEADERS[k]), WIDTH)]).isNotNull(), "columns")
+        for k in RENAMES
+    ]
+    reason = F.coalesce(*surplus, *bad)
+    raw = F.when(reason.isNotNull(), F.concat_ws(",", *RAW.names))
+    return movements.select(
+        kind.alias("kind"), *[columns[c].alias(c) for c in MOVEMENTS.names], reason.alias("reason"), raw.alias("raw")
+    )
+
+
+def readable(movements: DataFrame) -> DataFrame:
+    """Rows without a reason against them."""
+    return movements.filter(F.col("reason").isNull()).drop("reason", "raw")
 
 
 def last_of_each_key(movements: DataFrame) -> DataFrame:
-    """One movement per kind and key: the one from the newest file."""
-    return keep_last(movements, ["kind", *MOVEMENT_KEY], ["file_date", "file_name"])
+    """One movement per kind and key: the one from the newest file.  Rows that cannot be loaded all stay."""
+    whole = F.col("reason").isNull()
+    for column in REQUIRED:
+        whole = whole & F.col(column).isNotNull()
+    own = F.when(~whole, F.monotonically_increasing_id())
+    keyed = movements.withColumn("_own", own)
+    return keep_last(keyed, ["kind", *MOVEMENT_KEY, "_own"], ["file_date", "file_name"]).drop("_own")
+
+
+def refused(movements: DataFrame) -> DataFrame:
+    """Rows that cannot be loaded, with the reason: unreadable, or a missing key column."""
+    lacking = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
+    return movements.withColumn("reason", F.coalesce("reason", lacking)).filter(F.col("reason").isNotNull())
 
 
 def statement_movements(

@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwise.contracts import MOVEMENT_KEY, MOVEMENTS
 from ledgerwise.operators.enrich import MOVEMENT_ID, with_movement_id
-from ledgerwise.operators.keyed import append_new, loadable, load_counters, upsert
+from ledgerwise.operators.keyed import loadable, new_rows, upsert
 from ledgerwise.operators.ranking import keep_last
 from ledgerwise.shared import exists, staged
 
@@ -34,11 +33,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.read.parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """Whole table of a database; give partitionColumn, lowerBound, upperBound and numPartitions to read in parallel."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def _by_part(df: DataFrame, part: str) -> DataFrame:
     """Rows grouped by partition for writing; adaptive execution cuts large partitions into several files."""
     return df.withColumn(PART, F.coalesce(F.expr(part), F.lit("none"))).hint("rebalance", PART)
@@ -125,12 +119,6 @@ def upsert_unique(unique: DataFrame, path: str, on_conflict: str = "update", tou
     )
 
 
-def count_load(source: DataFrame, path: str) -> DataFrame:
-    """What an upsert of ``source`` would do, counted over the partitions it touches."""
-    unique = unique_rows(source)
-    return load_counters(read_parts(source.sparkSession, path, unique.schema, parts_of(unique)), unique)
-
-
 # with this setting tables bucketed by movement_id join on the whole movement key without a shuffle
 COLOCATED_JOINS = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
@@ -184,11 +172,9 @@ def save_snapshot(df: DataFrame, root: str, snapshot_date: date) -> None:
 
 
 def load_snapshot(spark: SparkSession, root: str, snapshot_date: date) -> DataFrame | None:
-    """Snapshot of one day, None if there is none."""
-    try:
-        return spark.read.parquet(f"{root}/snapshot_date={snapshot_date.isoformat()}")
-    except AnalysisException:
-        return None
+    """Snapshot of one day, None if there is none; one that cannot be read is an error, not a missing one."""
+    path = f"{root}/snapshot_date={snapshot_date.isoformat()}"
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def load_latest_snapshot(spark: SparkSession, root: str, as_of: date) -> DataFrame | None:
@@ -204,19 +190,24 @@ def read_daily_file(spark: SparkSession, root: str, as_of: date, suffix: str) ->
     """CSV of ``as_of`` (``{yyyy-MM}/{yyyy-MM-dd}{suffix}``), else of the day before, else None; all columns text."""
     for day in (as_of, as_of - timedelta(days=1)):
         name = f"{day.isoformat()}{suffix}"
-        try:
-            found = spark.read.option("header", True).csv(f"{root}/{day:%Y-%m}/{name}")
-        except AnalysisException:
+        path = f"{root}/{day:%Y-%m}/{name}"
+        if not exists(spark, path):
             continue
+        found = spark.read.options(header=True, escape='"').csv(path)
         return found.withColumns({"file_date": F.lit(day), "file_name": F.lit(name)})
     return None
 
 
+def replace_snapshot(spark: SparkSession, root: str, as_of: date, suffix: str, path: str) -> bool:
+    """Full replace of a stored snapshot by the daily file of ``as_of`` or of the day before; tells whether there was one."""
+    found = read_daily_file(spark, root, as_of, suffix)
+    if found is not None:
+        replace_table(found, path)
+    return found is not None
+
+
 def feed_snapshot(source: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Append to a stored snapshot what it does not hold yet."""
+    """Append to a stored snapshot what it does not hold yet; what it holds is read by its keys only and stays as it is."""
     spark = source.sparkSession
-    if exists(spark, path):
-        held = spark.read.parquet(path)
-    else:
-        held = spark.createDataFrame([], source.schema)
-    replace_table(append_new(held, source, columns), path)
+    held = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], source.schema)
+    staged(new_rows(held, source, columns), "feed").write.mode("append").parquet(path)

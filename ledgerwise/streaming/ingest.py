@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerwise.operators.keyed import loadable
-from ledgerwise.plans.workflows import sync_classification
+from ledgerwise.plans.workflows import load_closed
 from ledgerwise.shared import job_folder, staged
 from ledgerwise.sources.files import accepted, file_name_of
-from ledgerwise.sources.statements import raw_reader, typed_movements, with_files
-from ledgerwise.sources.store import upsert_movements
+from ledgerwise.sources.statements import raw_reader, readable, typed_movements, with_files
+from ledgerwise.sources.store import unique_rows, upsert_unique
 
 
 def _files(batch: DataFrame) -> DataFrame:
@@ -53,10 +52,11 @@ def ingest_statements(
         tagged = with_files(rows.drop("file_modification_time"), manifest)
         movements = staged(typed_movements(tagged, "cerrado"), f"movements-{batch_id}", by="kind")
         for kind, path in tables.items():
-            of_kind = movements.filter(F.col("kind") == kind).drop("kind")
-            upsert_movements(of_kind, path)
+            of_kind = unique_rows(readable(movements.filter(F.col("kind") == kind)).drop("kind"))
             if concepts and kind in concepts:
-                sync_classification(concepts[kind], loadable(of_kind), accounts, kind, run_ts)
+                load_closed(of_kind, path, concepts[kind], accounts, kind, run_ts)
+            else:
+                upsert_unique(of_kind, path)
 
     reader = raw_reader(spark.readStream.format("csv"))
     if max_files:

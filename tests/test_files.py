@@ -121,13 +121,75 @@ def test_daily_load(spark, rows, closed, accounts, tmp_path):
     assert rows(ledger.concepts("debit"), "unique_concept", "estado") == [
         ("12345", "abierto"), ("9", "cerrado"), ("NUEVO", "abierto"), ("PAGONÓMINA", "cerrado"),
     ]
-    assert rows(loaded["rejects"], "missing", "file_name") == [("unique_concept", "2024-03 0639.csv")]
+    assert rows(loaded["rejects"], "reason", "file_name") == [("unique_concept", "2024-03 0639.csv")]
 
     plan = w.plan_downloads(ledger, cutoff_days(spark.createDataFrame([(2024,)], "year_value int")), "2024-04-10", run_ts())
     closed_plan = rows(plan.filter("status = 'closed'"), "account", "period")
     assert closed_plan == [("0639", "2024-04"), ("39 2", "2024-03"), ("39 2", "2024-04"), ("777", "2024-04")]
 
 
+def test_nothing_is_lost_to_dialect_or_unreadable_amounts(spark, rows, accounts, tmp_path):
+    folder, opened = str(tmp_path / "odd"), str(tmp_path / "none")
+    write(
+        folder, "2024-03 0639.csv", DEBIT,
+        '05/03/2024,SPEI 1,"1,000.00",,', '05/03/2024,SPEI 1,"2,000.00",,', '06/03/2024,"PAGO ""A, B"" 12",5,,',
+        "07/03/2024,UNO,DOS 7,8,,9", "08/03/2024,NaN,3,,",
+    )
+    write(opened, "skipped.csv", DEBIT)
+    ledger, today = make_ledger(spark, accounts), spark.range(1).select(F.current_date()).first()[0]
+    loaded = w.load_statements(ledger, folder, opened, today, run_ts())
+    assert rows(loaded["debito_cerrado"], "concepto", "unique_concept") == [('PAGO "A, B" 12', "12")]
+    assert rows(loaded["rejects"], "reason") == [("cargo",), ("cargo",), ("columns",), ("unique_concept",)]
+    assert "SPEI 1,1,000.00" in {r["raw"] and r["raw"][11:] for r in loaded["rejects"].collect()}
+
+
+@pytest.mark.parametrize("broken", range(4))
+def test_a_load_that_crashes_is_made_good_by_the_next(spark, rows, closed, accounts, tmp_path, monkeypatch, broken):
+    """Each write of the closed load fails in turn; afterwards all is as if none had."""
+    opened = str(tmp_path / "none")
+    write(opened, "skipped.csv", DEBIT)
+    ledger, today = make_ledger(spark, accounts), spark.range(1).select(F.current_date()).first()[0]
+    merge, calls = store.merge_parts, []
+
+    def failing(*args, **more):
+        calls.append(1)
+        if len(calls) == broken + 1:
+            raise OSError("lost")
+        merge(*args, **more)
+
+    monkeypatch.setattr(store, "merge_parts", failing)
+    with pytest.raises(OSError):
+        w.load_statements(ledger, closed, opened, today, run_ts())
+    w.load_statements(ledger, closed, opened, today, run_ts())
+    for kind in ("debit", "credit"):
+        keys = rows(ledger.movements(kind, "cerrado"), "fecha", "unique_concept", "cargo", "abono")
+        assert keys and rows(ledger.concepts(kind), "fecha", "unique_concept", "cargo", "abono") == keys
+
+
+def test_closed_files_again_leave_open_classifications_alone(spark, rows, closed, accounts, tmp_path):
+    opened = str(tmp_path / "open")
+    write(opened, "0639_mov.csv", DEBIT, "05/03/2024,SPEI 123-45,10.50,,100")
+    ledger, today = make_ledger(spark, accounts), spark.range(1).select(F.current_date()).first()[0]
+    w.load_statements(ledger, closed, opened, today, run_ts())
+    before = rows(ledger.concepts("debit"), "unique_concept", "estado")
+    assert ("12345", "abierto") in before
+    tables = {"debit": ledger.path("debito_cerrado")}
+    concepts = {"debit": ledger.path("debito_conceptos")}
+    ingest_statements(
+        spark, closed, accounts, tables, ledger.path("checkpoint"), run_ts(), concepts
+    ).awaitTermination()
+    assert rows(ledger.concepts("debit"), "unique_concept", "estado") == before
+
+
+def test_two_files_of_one_name_are_one_document(spark, tmp_path):
+    from ledgerwise.sources.documents import binary_files
+
+    for place, text in (("a", "old"), ("b", "old too")):
+        write(str(tmp_path / "docs" / place), "2024-01_0639_debit.pdf", text)
+    found = binary_files(spark, str(tmp_path / "docs")).collect()
+    assert [r["file_name"] for r in found] == ["2024-01_0639_debit.pdf"]
+
+
 def test_stream_finds_only_new_files(spark, rows, closed, accounts):
     root = new_path(spark, "test-stream")
     tables = {k: f"{root}/{k}" for k in ("debit", "credit")}

@@ -19,6 +19,13 @@ def run_ts():
     return F.lit("2024-04-01 00:00:00").cast("timestamp")
 
 
+def test_repeated_parents_do_not_multiply_rows(spark, rows):
+    df = spark.createDataFrame([(1, "a")], "id int, g string")
+    parents = spark.createDataFrame([("a", "b"), ("a", "b")], "g string, new_g string")
+    assert rows(k.rename_cascade(df, parents, ["g"])) == [(1, "b")]
+    assert rows(k.delete_set_null(df, parents.select("g"), ["g"])) == [(1, None)]
+
+
 def test_keep_last_counts_nulls_as_equal(spark, rows):
     df = movements(
         spark,
