@@ -70,6 +70,8 @@ _NATIONS = f"""nations AS (
     SELECT m.*, type, CASE type WHEN 'debit' THEN '1' ELSE '2' END || lpad(c_nationkey::VARCHAR, 4, '0') AS account
     FROM movements m JOIN customer ON {v._sql_account("c_custkey")} = cuenta
     JOIN accounts ON account_number = cuenta)"""
+_EXPORTED = """m.fecha::VARCHAR AS fecha, m.unique_concept, m.cargo::DECIMAL(12,2)::VARCHAR AS cargo,
+    m.abono::DECIMAL(12,2)::VARCHAR AS abono, m.cuenta, m.estado, nullif(k.category_group, '') AS category_group"""
 _STATEMENT = """fecha::VARCHAR AS fecha, unique_concept, concepto, cargo::DOUBLE AS cargo, abono::DOUBLE AS abono,
     CASE type WHEN 'debit' THEN cargo::DOUBLE END AS saldo, estado, account AS cuenta"""
 _CLOSED = f""", {_NATIONS} SELECT {_STATEMENT}, '2001-06' AS period, '2001-06 ' || account || '.csv' AS file_name
@@ -249,3 +251,38 @@ def export_sets(spark, sf):
     store.export_sets({n: v.movements(spark, sf, *of).select(*MOVEMENT_KEY, "cuenta") for n, of in names.items()}, root, "csv")
     schema = "fecha date, unique_concept string, cargo decimal(12,2), abono decimal(12,2), cuenta string"
     return concat_files([spark.read.schema(schema).option("header", True).csv(f"{root}/{n}") for n in names])
+
+
+@query(
+    f""", {_NATIONS}, files AS (
+            SELECT CASE type WHEN 'debit' THEN strftime(fecha, '%d/%m/%Y') ELSE strftime(fecha, '%Y-%m-%d') END AS fecha,
+                   concepto, '2001-06 ' || account || '.csv' AS file_name FROM nations WHERE estado = 'cerrado'),
+        firsts AS (SELECT *, min(file_name) OVER (PARTITION BY fecha, concepto) AS first_file FROM files)
+        SELECT fecha, concepto, file_name FROM firsts WHERE file_name = first_file""",
+    "movements",
+    "accounts",
+)
+def feed_job(spark, sf):
+    """A snapshot fed twice from a folder: files of all kinds that hold a date and a concept."""
+    folder, path = write_statements(spark, sf, "cerrado"), new_path(spark, "fed")
+    for _ in range(2):
+        workflows.feed_from_files(spark, folder, ("Fecha", "Concepto"), path)
+    return spark.read.parquet(path).select(F.col("Fecha").alias("fecha"), F.col("Concepto").alias("concepto"), "file_name")
+
+
+@query(
+    f"""SELECT {_EXPORTED} FROM movements m LEFT JOIN concepts k ON m.fecha = k.fecha
+        AND m.unique_concept = k.unique_concept AND m.cargo = k.cargo AND m.abono = k.abono""",
+    "movements",
+    "concepts",
+)
+def export_job(spark, sf):
+    """The cells of a whole export: both kinds, closed and open, with their classification."""
+    ledger, root = workflows.Ledger(spark, new_path(spark, "ledger"), v.accounts(spark, sf)), new_path(spark, "export")
+    for kind in KINDS:
+        for estado in ("cerrado", "abierto"):
+            store.overwrite_parts(v.movements(spark, sf, kind, estado), ledger.path(f"{workflows.PREFIX[kind]}_{estado}"))
+        store.overwrite_parts(v.concepts(spark, sf), ledger.path(f"{workflows.PREFIX[kind]}_conceptos"))
+    workflows.export_ledger(ledger, root)
+    cells = [spark.read.options(header=True, escape='"').csv(f"{root}/cells/{workflows.PREFIX[kind]}") for kind in KINDS]
+    return concat_files(cells).select("fecha", "unique_concept", "cargo", "abono", "cuenta", "estado", "category_group")

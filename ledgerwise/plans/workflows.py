@@ -14,14 +14,23 @@ from pyspark.sql import types as T
 from ledgerwise.contracts import ACCOUNT_CUTOFFS, CONCEPTS, DOCUMENTS, KINDS
 from ledgerwise.operators import manifests as m
 from ledgerwise.operators.calendar import refresh_account_cutoffs
-from ledgerwise.operators.enrich import enriched_table, state_changes, sync_concepts
+from ledgerwise.operators.enrich import enriched_table, export_rows, newest_first, state_changes, sync_concepts
+from ledgerwise.operators.export import as_cells
 from ledgerwise.operators.joins import keyed_join
 from ledgerwise.operators.keyed import document_attach, document_upsert, loadable
 from ledgerwise.shared import job_folder, staged
 from ledgerwise.sources import store
 from ledgerwise.sources.documents import binary_files, keyed_payloads, with_stored_flags
-from ledgerwise.sources.files import list_files, statement_manifest
-from ledgerwise.sources.statements import last_of_each_key, readable, refused, statement_movements
+from ledgerwise.sources.files import holds_columns, list_files, statement_manifest, with_headers
+from ledgerwise.sources.statements import (
+    RAW,
+    last_of_each_key,
+    raw_rows,
+    readable,
+    refused,
+    statement_movements,
+    with_files,
+)
 
 # stored documents hold their flags, so that plans over keys and flags never touch payloads
 STORED_DOCUMENTS = T.StructType(
@@ -125,6 +134,33 @@ def rebuild_enriched(
     store.publish(built, root, version)
 
 
+def export_ledger(ledger: Ledger, root: str) -> None:
+    """For each kind one data set of all movements, closed and open, with their classification, newest first; and the
+    same as cell text (``cells``)."""
+    sets = {}
+    for kind in KINDS:
+        closed, opened = (ledger.movements(kind, estado) for estado in ("cerrado", "abierto"))
+        sets[PREFIX[kind]] = newest_first(export_rows(closed, opened, ledger.concepts(kind)))
+    store.export_sets(sets, root)
+    stored = {name: ledger.spark.read.parquet(f"{root}/{name}") for name in sets}
+    store.export_sets({name: as_cells(df) for name, df in stored.items()}, f"{root}/cells", "csv")
+
+
+def feed_from_files(spark: SparkSession, folder: str, required: tuple[str, ...], path: str) -> None:
+    """Feed a stored snapshot from all files of a folder whose header holds the ``required`` columns, in any order.
+
+    Rows that the snapshot holds already stay out; new ones come with the name and the date of their file.
+    """
+    with job_folder(spark):
+        files = with_headers(list_files(spark, folder)).filter(holds_columns(F.col("header"), required))
+        dated = files.withColumn("file_date", F.to_date("file_modification_time"))
+        manifest = staged(dated.select("file_path", "file_name", "file_date", "header"), "feed-files")
+        cells = F.array(*RAW.names)
+        values = [F.get(cells, F.array_position("header", c) - 1).alias(c) for c in required]
+        rows = with_files(raw_rows(spark, folder), manifest).select(*values, "file_name", "file_date")
+        store.feed_snapshot(rows, path, required)
+
+
 def plan_downloads(ledger: Ledger, days: DataFrame, as_of, run_ts: Column, rule: str = "v2") -> DataFrame:
     """Renew the account cutoffs, then list the statements still to fetch."""
     spark = ledger.spark
