@@ -162,13 +162,19 @@ def load_rejects(spark, sf):
     return counted.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(cargo).cast("double").alias("loaded_cargo"))
 
 
-@query()
+@query(
+    f""", {_NATIONS} SELECT DISTINCT account || '_descarga.csv' AS file_name, true AS of_today FROM nations
+        WHERE estado = 'abierto' UNION ALL
+        SELECT DISTINCT 'otro ' || account || '_descarga.csv', true FROM nations
+        WHERE estado = 'abierto' AND type = 'credit'""",
+    "movements",
+    "accounts",
+)
 def today_files(spark, sf):
     """Files of the day out of the listing, with their provenance."""
-    files = fs.list_files(spark, write_statements(spark, sf, "abierto"))
-    return fs.created_on(files, _today(spark)).select(
-        "file_name", F.to_date("file_modification_time").alias("file_date")
-    ).distinct()
+    files, today = fs.list_files(spark, write_statements(spark, sf, "abierto")), _today(spark)
+    of_today = F.to_date("file_modification_time") == F.lit(today)
+    return fs.created_on(files, today).select("file_name", of_today.alias("of_today")).distinct()
 
 
 @query(
