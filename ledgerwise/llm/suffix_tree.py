@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -13,23 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ledgerwise.llm.common import sliced
 from ledgerwise.shared import staged
 
 #: Stands for the end of a text; no byte of UTF-8.
 END = 0xFF
 #: Bytes of text that make a block: words are counted and looked up, and texts scored, block by block.
-BLOCK_BYTES = 16 << 20
-_STREAM = 2 << 20
+BLOCK_BYTES = 6 << 20
+_STREAM = 1 << 20
 _ROW = 1024
 
-GATHERED = T.StructType(
-    [
-        T.StructField("block", T.IntegerType()),
-        T.StructField("word", T.BinaryType()),
-        T.StructField("gram", T.LongType()),
-        T.StructField("n", T.LongType()),
-    ]
+WORDS = T.StructType(
+    [T.StructField("block", T.IntegerType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]
 )
+GRAMS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def lowered(texts: pa.Array) -> list[bytes]:
@@ -78,36 +76,49 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return distinct, np.bincount(which, counts, len(distinct)).astype(np.int64)
 
 
-def gather(blocks: DataFrame, depth: int) -> DataFrame:
-    """What the models are counted from, a row per block and word (``n`` in training texts, 0 if only in others) or gram.
+def gather_words(blocks: DataFrame) -> DataFrame:
+    """Words of each block with their number in its training texts, 0 if only others have them.
 
     ``blocks(block, text, train)``.
     """
-    target = to_arrow_schema(GATHERED)
+    target = to_arrow_schema(WORDS)
 
     def of_block(table: pa.Table) -> pa.Table:
         block, train = table.column("block")[0].as_py(), table.column("train").to_pylist()
-        texts = lowered(table.column("text"))
         words: Counter = Counter()
-        for text, learn in zip(texts, train):
+        for text, learn in zip(lowered(table.column("text")), train):
             if learn:
                 words.update(text.split())
-        for text, learn in zip(texts, train):
-            if not learn:
-                words.update(dict.fromkeys(text.split(), 0))
-        keys, counts = grams([x for x, learn in zip(texts, train) if learn], depth)
-        rows = len(words) + len(keys)
-        return pa.Table.from_arrays(
-            [
-                pa.array(np.full(rows, block, np.int32)),
-                pa.chunked_array([pa.array(list(words), pa.binary()), pa.nulls(len(keys), pa.binary())]),
-                pa.chunked_array([pa.nulls(len(words), pa.int64()), pa.array(keys)]),
-                pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), counts])),
-            ],
-            schema=target,
-        )
+            else:
+                for word in set(text.split()):
+                    words.setdefault(word, 0)
+        counts = pa.array(words.values(), pa.int64())
+        blocks = pa.array(np.full(len(words), block, np.int32))
+        return pa.Table.from_arrays([blocks, pa.array(words.keys(), pa.binary()), counts], schema=target)
+
+    return blocks.groupBy("block").applyInArrow(of_block, WORDS)
+
+
+def gather_grams(docs: DataFrame, depth: int, pending: int = 4_000_000) -> DataFrame:
+    """``(gram, n)`` of all ``docs(text)``, summed up within each task whenever ``pending`` rows have come together."""
+    target = to_arrow_schema(GRAMS)
 
-    return blocks.groupBy("block").applyInArrow(of_block, GATHERED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list = []
+        for batch in sliced(batches):
+            found.append(grams(lowered(batch.column("text")), depth))
+            if sum(len(k) for k, _ in found) > pending:
+                found = [_merged(found)]
+                if len(found[0][0]) > pending // 2:
+                    yield from _rows(found.pop(), target)
+        yield from _rows(_merged(found), target)
+
+    return docs.select("text").mapInArrow(run, GRAMS)
+
+
+def _rows(table: tuple[np.ndarray, np.ndarray], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(table[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in table], schema=target)
 
 
 def contexts(counted: DataFrame, depth: int, least_share: float, least_gain: float) -> DataFrame:
@@ -129,29 +140,33 @@ def contexts(counted: DataFrame, depth: int, least_share: float, least_gain: flo
     everything = table.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = totals.where((F.col("total") >= least_share * everything) | (F.col("level") == 0))
     rows = staged(table.join(frequent, ["level", "context"]), "frequent")
-    shorter = rows.select(
-        (F.col("level") + 1).alias("level"), F.col("context").alias("shorter"), "symbol", (F.col("n") / F.col("total")).alias("q")
-    )
+    longer, odds = (F.col("level") + 1).alias("level"), (F.col("n") / F.col("total")).alias("q")
+    shorter = rows.select(longer, F.col("context").alias("shorter"), "symbol", odds)
     own = rows.where("level > 0").withColumn("shorter", F.expr("context & (shiftleft(1L, 8 * (level - 1)) - 1)"))
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q")))
     passed = own.join(shorter, ["level", "shorter", "symbol"]).groupBy("level", "context").agg(gain.alias("gain"))
     kept = passed.where(F.col("gain") >= least_gain).select("level", "context")
-    return rows.join(kept, ["level", "context"]).select("level", "context", "symbol", "n").unionByName(
-        rows.where("level = 0").select("level", "context", "symbol", "n")
-    )
+    wanted = ["level", "context", "symbol", "n"]
+    return rows.join(kept, ["level", "context"]).select(*wanted).unionByName(rows.where("level = 0").select(*wanted))
 
 
-def automaton(rows: list[tuple[int, int, int, int]], depth: int, weight: float = 8.0) -> dict:
-    """States, transitions and log10 probabilities, from ``(level, context, symbol, n)`` of the retained contexts.
+def automaton(table: dict[str, list[int]], depth: int, weight: float = 8.0) -> dict:
+    """States, transitions and log10 probabilities, from ``level, context, symbol, n`` of the retained contexts.
 
     States are the retained contexts and whatever stands at their beginnings and ends, so that the longest suffix state of
     a text so far follows from the one before and the next byte.  A state that is not retained itself has the distribution
     of its longest retained suffix.  Smoothing: ``weight`` draws from the next shorter context's distribution, at the root from
-    a uniform one over all 256 symbols.
+    a uniform one over all 256 symbols.  Symbols that never occur are alike everywhere and share the last column.
     """
-    counts: dict[tuple[int, int], np.ndarray] = {(0, 0): np.zeros(256)}
-    for level, context, symbol, n in rows:
-        counts.setdefault((level, context), np.zeros(256))[symbol] = n
+    seen = sorted({*table["symbol"], END})
+    column = np.full(256, len(seen), np.int64)
+    column[seen] = np.arange(len(seen))
+    width = len(seen) + 1
+    alike = np.ones(width, np.float32)  # how many symbols a column stands for
+    alike[-1] = 256 - len(seen)
+    counts: dict[tuple[int, int], np.ndarray] = {(0, 0): np.zeros(width, np.float32)}
+    for level, context, symbol, n in zip(table["level"], table["context"], table["symbol"], table["n"]):
+        counts.setdefault((level, context), np.zeros(width, np.float32))[column[symbol]] = n
     start = (depth, (1 << (8 * depth)) - 1)
     states = set()
     for level, context in [*counts, start]:
@@ -160,44 +175,30 @@ def automaton(rows: list[tuple[int, int, int, int]], depth: int, weight: float =
                 states.add((end - begin, (context >> (8 * (level - end))) & ((1 << (8 * (end - begin))) - 1)))
     order = sorted(states)
     number = {s: i for i, s in enumerate(order)}
-    step = np.zeros((len(order), 256), np.int32)
-    odds = np.zeros((len(order), 256))
-    for i, (level, context) in enumerate(order):
-        shorter = number[level - 1, context & ((1 << (8 * (level - 1))) - 1)] if level else None
-        above = np.full(256, 1 / 256) if shorter is None else odds[shorter]
-        own = counts.get((level, context))
-        odds[i] = above if own is None else (own + weight * above) / (own.sum() + weight)
-        if shorter is not None:
-            step[i] = step[shorter]
-    for i, (level, context) in enumerate(order):
-        if level:
-            before = number[level - 1, context >> 8]
-            step[before, context & 255] = i
-    # a state's transition is its own child or that of its longest suffix that has one
+    shorter = [number[n - 1, c & ((1 << (8 * (n - 1))) - 1)] if n else -1 for n, c in order]
+    children: list[list[tuple[int, int]]] = [[] for _ in order]
     for i, (level, context) in enumerate(order):
         if level:
-            shorter = number[level - 1, context & ((1 << (8 * (level - 1))) - 1)]
-            child = np.array([(level + 1, (context << 8) | c) in number for c in range(256)])
-            step[i] = np.where(child, step[i], step[shorter])
-    step[:, END] = number[start]
-    seen = odds[0] > odds[0].min()
-    seen[END] = True
-    column = np.where(seen, np.cumsum(seen) - 1, seen.sum())  # symbols that never occur share the last column
-    first = np.unique(column, return_index=True)[1]
-    return {
-        "step": step[:, first].copy(),
-        "log": np.log10(odds[:, first]).astype(np.float32),
-        "column": column.astype(np.int64),
-        "start": number[start],
-        "depth": depth,
-    }
+            children[number[level - 1, context >> 8]].append((int(column[context & 255]), i))
+    step, odds = np.zeros((len(order), width), np.int32), np.zeros((len(order), width), np.float32)
+    for i, state in enumerate(order):  # shorter states come first
+        above = np.full(width, 1 / 256, np.float32) if i == 0 else odds[shorter[i]]
+        own = counts.get(state)
+        odds[i] = above if own is None else (own + weight * above) / (own.sum(dtype=np.float64) + weight)
+        if i:
+            step[i] = step[shorter[i]]
+        for at, child in children[i]:
+            step[i, at] = child
+    step[:, column[END]] = number[start]
+    return {"step": step, "log": np.log10(odds), "column": column, "start": number[start], "depth": depth, "alike": alike}
 
 
 def log10_probabilities(texts: list[bytes], model: dict) -> np.ndarray:
     """Of each text with its end.  A run of texts is cut into rows that step side by side; each row is warmed up with the
     ``depth`` bytes before it, after which its state is that of the whole text."""
     out = np.zeros(len(texts))
-    flat_step, flat_log, column, width = model["step"].ravel(), model["log"].ravel(), model["column"], model["step"].shape[1]
+    flat_step, flat_log, width = model["step"].ravel(), model["log"].ravel(), model["step"].shape[1]
+    column = model["column"]
     for first, run in streams(texts):
         raw = np.frombuffer(b"\xff".join(run) + b"\xff", np.uint8)
         rows = -(-len(raw) // _ROW)
@@ -237,15 +238,14 @@ def scored(
     count = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(count)).cast("int")
     blocks = docs.withColumn("block", block)
-    gathered = staged(gather(blocks, depth), "gathered")
-    words = gathered.where("word is not null")
+    words = staged(gather_words(blocks), "gathered")
     totals = staged(words.groupBy("word").agg(F.sum("n").alias("total")), "words")
     texts = docs.agg(F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()[0]
     known, tokens = totals.where("total > 0").agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
     distinct, tokens = known + int(texts > 0), tokens + texts
-    counted = gathered.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = sorted(map(tuple, contexts(counted, depth, least_share, least_gain).collect()))
-    model = docs.sparkSession.sparkContext.broadcast(automaton(rows, depth))
+    counted = gather_grams(docs.where("train"), depth).groupBy("gram").agg(F.sum("n").alias("n"))
+    table = contexts(counted, depth, least_share, least_gain).toArrow().to_pydict()
+    model = docs.sparkSession.sparkContext.broadcast(automaton(table, depth))
     lookup = words.select("block", "word").join(totals, "word")
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType(
