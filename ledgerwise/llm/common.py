@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Texts handled together inside a task, in characters: what a batch needs of memory follows from it.
 SLICE_CHARS = 4_000_000
+BATCH_BYTES = 32 << 20
 HASH_RANGE = 1 << 30
 
 
@@ -22,6 +23,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes too, so that long texts do not come together by the ten thousand.
+
+    Sets the session's bound to ``BATCH_BYTES`` unless it has one.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def worker_memory(key: str, make: Callable):
     """A value that is made once in each Python worker and kept for its later tasks."""
     kept = sys.modules.setdefault("_worker_memory", ModuleType("_worker_memory")).__dict__
@@ -84,4 +96,4 @@ def per_batch(
             arrays += [pa.array(made[f.name], target.field(f.name).type) for f in fields]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerwise.llm.common import sliced
+from ledgerwise.llm.common import in_batches, sliced
 from ledgerwise.llm.tokens import encoder
 from ledgerwise.shared import staged
 
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, doc_id
             arrays = [pa.array(c, f.type) for c, f in zip(columns, target)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return in_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 def place(pieces: DataFrame, capacity: int, bins: int) -> DataFrame:
@@ -108,7 +108,7 @@ def place(pieces: DataFrame, capacity: int, bins: int) -> DataFrame:
             arrays = [*batch.columns, pa.array(base + found[:, 0]), pa.array(found[:, 1])]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return pieces.mapInArrow(run, schema)
+    return in_batches(pieces, run, schema)
 
 
 def pack(

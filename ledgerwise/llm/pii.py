@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerwise.llm.common import per_batch, sliced
+from ledgerwise.llm.common import in_batches, per_batch, sliced
 
 #: Kinds in the order in which spans with one start are listed (fixed values).
 KINDS = ("email", "ip", "card", "phone")
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, rounds: int = 300, penalty: float = 1e-3) -> dict:
         columns = list(zip(*rows)) or [[]] * len(target)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=target)
 
-    totals = docs.select("text").mapInArrow(run, schema).groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    totals = in_batches(docs.select("text"), run, schema).groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     seen: dict[int, np.ndarray] = {}
     pairs = np.ones((3, LABELS, LABELS))
     for what, a, b, n in sorted(map(tuple, totals)):

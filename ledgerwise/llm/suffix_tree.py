@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerwise.llm.common import sliced
+from ledgerwise.llm.common import in_batches, sliced
 from ledgerwise.shared import staged
 
 #: Stands for the end of a text; no byte of UTF-8.
@@ -113,7 +113,7 @@ def gather_grams(docs: DataFrame, depth: int, pending: int = 4_000_000) -> DataF
                     yield from _rows(found.pop(), target)
         yield from _rows(_merged(found), target)
 
-    return docs.select("text").mapInArrow(run, GRAMS)
+    return in_batches(docs.select("text"), run, GRAMS)
 
 
 def _rows(table: tuple[np.ndarray, np.ndarray], target: pa.Schema) -> Iterator[pa.RecordBatch]:

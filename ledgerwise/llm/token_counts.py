@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerwise.llm.common import sliced
+from ledgerwise.llm.common import in_batches, sliced
 from ledgerwise.llm.tokens import encoder
 
 #: Lengths that are summed up together before sums run over all of them.
@@ -34,7 +34,7 @@ def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
         columns = [list(counts), list(counts.values())]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=target)
 
-    return docs.select("text").mapInArrow(run, schema).groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return in_batches(docs.select("text"), run, schema).groupBy("length").agg(F.sum("n").alias("n_docs"))
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
