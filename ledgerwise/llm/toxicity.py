@@ -161,16 +161,22 @@ def sentence_rows(texts: list, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = 24) -> list[str]:
     """Words that tell toxic documents from others, by the chi-square of the number of their distinct surroundings (the words
     before and after), so that what copies of a document repeat counts once."""
-    seen: list[set] = [set(), set()]
+    counts, sizes = [Counter(), Counter()], [1, 1]
     for text, label in zip(texts, toxic):
         words = [letters(w) for w in words_of(text)]
-        seen[int(label)].update(zip(["", *words[:-1]], words, [*words[1:], ""]))
-    counts = [Counter(w for _, w, _ in s) for s in seen]
-    sizes = [max(1, len(s)) for s in seen]
+        counts[int(label)].update(words)
+        sizes[int(label)] += len(words)
+    often = lambda w: counts[1][w] / sizes[1] > 2 * counts[0][w] / sizes[0]
+    likely = {w for w, n in counts[1].items() if n >= 3 and len(w) >= ORDER and often(w)}
+    seen: list[set] = [set(), set()]
+    for text, label in zip(texts, toxic):
+        words = ["", *(letters(w) for w in words_of(text)), ""]
+        seen[int(label)].update(tuple(words[i - 1 : i + 2]) for i, w in enumerate(words) if w in likely)
+    around = [Counter(w for _, w, _ in s) for s in seen]
     scores = {}
-    for word, n in counts[1].items():
-        a, b = n / sizes[1], (counts[0][word] + 0.5) / sizes[0]
-        if n >= 3 and a > 4 * b and len(word) >= ORDER:
+    for word, n in around[1].items():
+        a, b = n / sizes[1], (around[0][word] + 0.5) / sizes[0]
+        if n >= 3 and a > 4 * b:
             scores[word] = (a - b) ** 2 / b
     best = sorted(scores, key=lambda w: (-scores[w], w))[:most]
     return [w for w in best if scores[w] >= 0.1 * scores[best[0]]]
@@ -196,7 +202,11 @@ def fit(train: DataFrame, per_class: int = 2000, rounds: int = 3) -> dict:
     landmarks = choose_landmarks(texts, toxic)
     if not landmarks:
         return flat
-    docs, x = sentence_rows(texts, Memory(landmarks))
+    memory, parts = Memory(landmarks), []
+    for at in range(0, len(texts), 200):
+        docs, x = sentence_rows(texts[at : at + 200], memory)
+        parts.append((docs + at, x))
+    docs, x = (np.concatenate(p) for p in zip(*parts))
     values, turn = np.linalg.eigh(similarities(landmarks, landmarks).astype(np.float64) ** DEGREE)
     root = turn @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ turn.T
     mapped = x @ root
