@@ -92,19 +92,24 @@ class Graph:
 
     A token is what stands between blanks and holds a digit or ``@``, without punctuation around it; all other words are
     taken as observed outside, which splits the chain there.  Edges: next to each other (kind 0), the same letters and
-    digits (``SAME``) or the same beginning (``SIMILAR``) as the last such token before, however far away.
+    digits (``SAME``) or the same beginning (``SIMILAR``) as the last such token before, however far away.  ``anchors`` are
+    edges of the same kinds from a token without label to the nearest observed ones on either side, whatever is between, so
+    that evidence needs one hop; training counts ``edges`` alone.
     """
 
     def __init__(self, texts: list, spans: list[list[Span]]):
         self.doc, self.start, self.end, self.label = [], [], [], []
         self.values: list[tuple] = []
         self.edges: list[tuple[int, int, int]] = []
+        self.anchors: list[tuple[int, int, int]] = []
         for row, text in enumerate(texts):
             if text and ("@" in text or _DIGITS.search(text)):
                 self._add(row, text, spans[row])
 
     def _add(self, row: int, text: str, spans: list[Span]) -> None:
         last: dict = {}
+        known: dict = {}
+        waiting: dict = {}
         before, at = -9, 0
         for found in _TOKEN.finditer(text):
             inner = [m.start() for m in _EDGES.finditer(found[0])]
@@ -132,9 +137,17 @@ class Graph:
             if beside:
                 self.edges.append((node - 1, node, 0))
             for key, kind in _keys(token, digits):
-                if (kind, key) in last:
-                    self.edges.append((last[kind, key], node, kind))
-                last[kind, key] = node
+                like = kind, key
+                if like in last:
+                    self.edges.append((last[like], node, kind))
+                if label:
+                    self.anchors += [(other, node, kind) for other in waiting.pop(like, ()) if other != last[like]]
+                    known[like] = node
+                else:
+                    if like in known and known[like] != last[like]:
+                        self.anchors.append((known[like], node, kind))
+                    waiting.setdefault(like, []).append(node)
+                last[like] = node
             before = found.end()
 
     def _properties(self, token: str, digits: int, beside: bool, text: str, start: int, end: int) -> tuple:
@@ -234,10 +247,11 @@ def _unary(seen: dict[int, np.ndarray], rounds: int, penalty: float) -> np.ndarr
     return weights
 
 
-def marginals(graph: Graph, model: dict, rounds: int = 8) -> np.ndarray:
+def marginals(graph: Graph, model: dict, rounds: int = 200, settled: float = 1e-4) -> np.ndarray:
     """Label probabilities of every token by loopy message passing, all texts' messages at once, half damped.
 
-    What the patterns have found is observed; its messages reach the like tokens that they have missed.
+    What the patterns have found is observed; its messages reach the like tokens that they have missed.  Rounds go on until
+    no message moves by ``settled``; ``rounds`` ends messages that go round in circles.
     """
     offsets = np.concatenate(([0], np.cumsum(SIZES)))
     values = np.array(graph.values, np.int64) + offsets[:-1]
@@ -247,16 +261,20 @@ def marginals(graph: Graph, model: dict, rounds: int = 8) -> np.ndarray:
     unary -= _log_sum(unary)
     belief = unary
     if graph.edges:
-        i, j, kind = np.array(graph.edges).T
+        i, j, kind = np.array(graph.edges + graph.anchors).T
         source, sink = np.concatenate([i, j]), np.concatenate([j, i])
         back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
         edge = model["edge"][np.concatenate([kind, kind])]
         message = np.zeros((len(source), LABELS))
         for _ in range(rounds):
             fresh = _log_sum((belief[source] - message[back])[:, :, None] + edge, 1)[:, 0]
-            message = 0.5 * message + 0.5 * (fresh - _log_sum(fresh))
+            moved = 0.5 * (fresh - _log_sum(fresh) - message)
+            moved[label[sink] > 0] = 0  # whatever the many say, what is observed stays
+            message = message + moved
             belief = unary.copy()
             np.add.at(belief, sink, message)
+            if np.abs(moved).max() < settled:
+                break
     return np.exp(belief - _log_sum(belief))
 
 

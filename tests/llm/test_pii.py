@@ -75,6 +75,21 @@ def test_like_tokens_take_over_labels():
     assert len(base[0]) == 2 and added == [[]]
 
 
+@pytest.mark.parametrize("before", [0, 150, 300])
+def test_labels_reach_every_repeat(before):
+    """A number that the patterns find once and miss three hundred times, at the rounds and the bound of production."""
+    known = {"unary": np.zeros((sum(pii.SIZES) + 1, pii.LABELS)), "edge": np.zeros((3, pii.LABELS, pii.LABELS))}
+    known["edge"][pii.SAME] = 4 * np.eye(pii.LABELS)
+    known["unary"][-1, 0] = 1.0
+    repeats = ["and 14155550101 again"] * 300
+    text = " ".join([*repeats[:before], "call +14155550101 or 77-881-9942", *repeats[before:]])
+    base, added = pii.spans_of([text, "far 14155550101 away"], known)
+    assert len(base[0]) == 1 and len(added[0]) == 300 and added[1] == []
+    assert {text[a:b] for _, a, b in added[0]} == {"14155550101"} and {k for k, _, _ in added[0]} == {3}
+    graph = pii.Graph([text], [pii.base_spans(text)])
+    assert len(graph.edges) + len(graph.anchors) <= 6 * len(graph.doc)
+
+
 def test_odd_rows(odd, none, model):
     rows = pii.find(odd, model).collect()
     assert len(rows) == 10
