@@ -24,6 +24,8 @@ DEGREE = 2
 #: A toxic document teaches only if some word of it is as like a landmark as this: labels are not always right.
 WITNESS = 0.6
 REMEMBERED = 400_000
+#: Characters fall into so many buckets by their code points when common ones are counted; ASCII has one each.
+BUCKETS = 128
 
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _ENDS = (".", "!", "?")
@@ -88,15 +90,15 @@ def subsequence_kernel(left: np.ndarray, right: np.ndarray, order: int = ORDER,
 
 
 def _counts(table: np.ndarray) -> np.ndarray:
-    """Numbers of each letter a-z in each row."""
-    out = np.zeros((len(table), 26), np.uint8)
-    rows, columns = np.nonzero((table >= 97) & (table <= 122))
-    np.add.at(out, (rows, table[rows, columns] - 97), 1)
-    return out
+    """Numbers of the characters of each bucket in each row, 255 at most.  Code points share buckets, which only makes what two
+    words have in common look like more."""
+    rows, columns = np.nonzero(table >= 0)
+    out = np.bincount(rows * BUCKETS + table[rows, columns] % BUCKETS, minlength=len(table) * BUCKETS)
+    return np.minimum(out, 255).astype(np.uint8).reshape(len(table), BUCKETS)
 
 
 def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of each word with each landmark.  Pairs with fewer than ``ORDER`` letters in common have a kernel of
+    """Normalised kernel of each word with each landmark.  Pairs with fewer than ``ORDER`` characters in common have a kernel of
     exactly zero and are not computed; long words count by their best window."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
     pieces = [(i, p) for i, w in enumerate(words) for view in _views(w) for p in _pieces(view)]
@@ -110,7 +112,7 @@ def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
             part = group[at : at + 50_000]
             table = _table([p for _, p in part], high, -1)
             counts = _counts(table)
-            shared = np.stack([np.minimum(counts, m).sum(1, dtype=np.int32) for m in mark_counts], 1)
+            shared = np.stack([np.minimum(counts[:, m > 0], m[m > 0]).sum(1, dtype=np.int32) for m in mark_counts], 1)
             rows, columns = np.nonzero(shared >= ORDER)
             if not len(rows):
                 continue

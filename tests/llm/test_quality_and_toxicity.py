@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
@@ -170,3 +171,32 @@ def test_toxicity_on_odd_rows(odd, none, real, labels):
     flat = toxicity.fit(docs.where("label = 0"))
     assert len({r["score"] for r in toxicity.scored(odd, flat).collect()}) == 1
     assert toxicity.fit(docs.where("false"))["shift"] == 0.0
+
+
+def test_similarities_in_every_script():
+    """Words without a-z, or with few of them, have the similarities of the plain kernel."""
+    marks = ["дурак", "ηλίθιος", "غبيجدا", "大笨蛋傻瓜", "çöplük", "48151623", "idiot"]
+    words = [*marks, "дурачок", "д.у.р.а.к", "ηλιθιος", "大傻笨蛋", "çoplük", "481x51623", "leer"]
+    got = toxicity.similarities(words, marks)
+    for i, word in enumerate(words):
+        for j, mark in enumerate(marks):
+            want = max(
+                plain_kernel(x, mark) / np.sqrt(plain_kernel(x, x) * plain_kernel(mark, mark)) for x in toxicity._views(word)
+            )
+            assert got[i, j] == pytest.approx(want, abs=1e-3)
+
+
+def test_an_insult_in_another_script(spark):
+    filler = "дождь над холмами шёл и шёл а в доме никто не спал до утра и было тихо как зимой".split()
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        text = [rng.choice(filler) for _ in range(40)]
+        if i % 4 == 0:
+            text[rng.randrange(1, 39)] = "придурок"
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label long"))
+    assert "придурок" in model["landmarks"]
+    texts = [" ".join(filler), " ".join([*filler[:9], "придурок", *filler[9:]]), " ".join([*filler[:9], "при-дурок", *filler[9:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(df, model).collect()}
+    assert scores[0] < 0.5 < min(scores[1], scores[2])
