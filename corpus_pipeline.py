@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwise.llm import decontaminate, language_id, packing, pii, simhash
 from ledgerwise.llm.common import read_table
-from ledgerwise.shared import new_path
+from ledgerwise.shared import new_path, staged
 
 #: SQL can express none of the learned stages; tests compare each with a brute-force version.
 ORACLE_SQL = None
@@ -21,25 +21,36 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return known.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for each row, written once so that every later read has the same; its column's name."""
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one that names the group.
+    """One row of each group of near duplicates: that of the smallest id, a hash chooses among rows of one id.
 
-    Of rows with one id a single one stays, chosen by a hash; rows without id are no group's name and stay.
+    Groups are of rows, so rows with one id, or without any, are kept or left out by their texts alone; a group names a
+    row without id only if it has no other.
     """
-    found = simhash.near_duplicates(docs, words=4, max_distance=4)
-    away = found.where("component_id <> doc_id").select("doc_id")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = docs.join(away.union(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
-    several = docs.join(repeated.join(away.distinct(), "doc_id", "left_anti"), "doc_id", "left_semi")
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    chosen = several.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return single.unionByName(chosen)
+    keyed, key = _keyed(docs)
+    found = simhash.near_duplicates(keyed, words=4, max_distance=4, doc_id=key)
+    found = found.select(F.col("doc_id").alias("found_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), F.col(key))
+    ranked = keyed.select(F.col(key).alias("found_row"), order.alias("place")).join(found, "found_row")
+    first = ranked.groupBy("component_id").agg(F.min("place").getField(key).alias(key))
+    return keyed.join(first.select(key), key, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item, whatever their ids are."""
+    keyed, key = _keyed(docs)
+    named = keyed.select(F.col(key).alias("doc_id"), "text")
+    found = decontaminate.contaminated(named, read_table(spark, sf_dir, "benchmark"))
+    away = found.select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(away, key, "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,23 @@ def test_one_row_of_a_repeated_id_stays(odd, spark, sf):
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [0, 3, 4, 6, 7]
     assert sum(r["doc_id"] is None for r in rows) == 1
     assert simhash.fingerprint(None) == 0
+
+
+ROW = "doc_id long, text string"
+_TEXTS = [" ".join(f"{w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma", "delta", "omega")]
+
+
+def test_groups_of_rows_whose_ids_repeat_or_lack(spark, sf):
+    """Each group keeps one row, also where its ids stand in other groups, and copies without id are copies."""
+    a, b, c, d, e = _TEXTS
+    rows = [(3, a), (5, a), (5, b), (6, b), (7, c), (7, d), (None, e), (None, e), (None, a)]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, ROW).repartition(3), sf).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted([(3, a), (5, b), (7, c), (7, d), (None, e)], key=repr)
+
+
+def test_contaminated_rows_without_id_or_with_a_clean_ones_id_go(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    a, b, c = _TEXTS[:3]
+    rows = [(1, a), (1, f"{b} {item} {b}"), (None, f"{c} {item} {c}"), (None, c)]
+    out = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, ROW), sf).collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {(1, a), (None, c)}
