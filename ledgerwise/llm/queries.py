@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise.llm import (
+    centroids,
     decontaminate,
+    filter_audit,
     language_id,
+    mixing,
+    oracle,
     packing,
     pii,
     quality_classifier,
@@ -24,7 +28,11 @@ from ledgerwise.llm.text_stats import with_stats
 from ledgerwise.shared import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_posting_list_audit": oracle.FILTER_AUDIT,
+    "op12_equal_variance_clustering": oracle.clustering(size=64, scale=256, count=40, rounds=5, salt="2"),
+    "op13_fair_queue_mixing": oracle.mixing(weights=mixing.WEIGHTS, rounds=24),
+}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -126,3 +134,21 @@ def op10_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_posting_list_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in each source and each order of the filters."""
+    return filter_audit.audit(documents(spark, sf_dir, "doc_id", "text", "source"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_equal_variance_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all vectors of 64 components, after five rounds."""
+    return centroids.clustered(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each, 150% of all words by source weights 5, 2, 1."""
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"))
