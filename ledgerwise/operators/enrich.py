@@ -75,6 +75,30 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("fecha").desc_nulls_first(), F.xxhash64(*df.columns))
 
 
+def newest_first_in_slots(df: DataFrame, month_rows: dict[str, int], slot_rows: int = 1_000_000) -> DataFrame:
+    """The order of ``newest_first`` without a look at the rows: ``month_rows`` says how many each month has (``none``: undated).
+
+    Every month is dealt to slots of its own, newest month first; one of more than ``slot_rows`` rows day by day, and each
+    of its days by ranges of the hash that orders a day, so that no day is too large.  Partitions come out in order.
+    """
+    first, total, splits = {}, 0, {}
+    for month in sorted(month_rows, key=lambda m: (m == "none", m), reverse=True):
+        splits[month] = -(-month_rows[month] // slot_rows)
+        first[month] = total
+        total += 31 * splits[month] if splits[month] > 1 else 1
+    if not total:
+        return newest_first(df)
+    of_month = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    month = F.coalesce(F.date_format("fecha", "yyyy-MM"), F.lit("none"))
+    order = F.xxhash64(*df.columns)
+    n = F.element_at(of_month(splits), month)
+    place = F.least(((order / F.lit(2.0**64) + 0.5) * n).cast("int"), n - 1)
+    day = 31 - F.coalesce(F.dayofmonth("fecha"), F.lit(31))
+    slot = F.element_at(of_month(first), month) + F.when(n > 1, day * n + place).otherwise(0)
+    ordered = df.withColumns({"_order": order, "_slot": slot}).repartitionById(total, F.col("_slot"))
+    return ordered.sortWithinPartitions("_slot", F.col("fecha").desc_nulls_first(), "_order").drop("_slot", "_order")
+
+
 def of_known_accounts(movements: DataFrame, accounts: DataFrame, kind: str) -> DataFrame:
     """Movements whose account exists with the type of the table they came from."""
     owners = accounts.filter(F.col("type") == kind).select(F.col("account_number").alias("cuenta"))

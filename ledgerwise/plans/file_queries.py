@@ -19,7 +19,8 @@ from ledgerwise.sources import files as fs
 from ledgerwise.sources import store
 from ledgerwise.sources.documents import binary_files, keyed_payloads
 from ledgerwise.sources.statements import concat_files, statement_movements
-from ledgerwise.streaming.ingest import ingest_statements
+from ledgerwise.streaming.ingest import ingest_statements, report_of
+from ledgerwise.streaming.ingest import stream_rejects as rejects_of_stream
 
 KINDS = ("debit", "credit")
 _OUT = ("fecha", "unique_concept", "concepto", "cargo", "abono", "saldo", "estado", "cuenta", "period", "file_name")
@@ -162,6 +163,25 @@ def load_rejects(spark, sf):
     return counted.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(cargo).cast("double").alias("loaded_cargo"))
 
 
+@query(
+    f""", {_NATIONS}, odd AS (SELECT *, right(unique_concept, 1) AS digit FROM nations
+            WHERE estado = 'cerrado' AND type = 'debit')
+        SELECT account AS cuenta, CASE WHEN digit = '1' AND cargo >= 1000 THEN 'cargo' WHEN digit = '3' THEN 'unique_concept'
+               ELSE 'loaded' END AS reason, count(*) AS n_rows FROM odd GROUP BY ALL""",
+    "movements",
+    "accounts",
+)
+def stream_rejects(spark, sf):
+    """What becomes of every line that the stream reads: in the table, or among the rejects with its reason."""
+    folder, people, root = write_odd_statements(spark, sf), nation_accounts(spark, sf), new_path(spark, "stream")
+    checkpoint = f"{root}/checkpoint"
+    stream = ingest_statements(spark, folder, people, {"debit": f"{root}/debit"}, checkpoint, v.run_ts(), max_files=20)
+    stream.awaitTermination()
+    loaded = store.read_parts(spark, f"{root}/debit").select("cuenta", F.lit("loaded").alias("reason"))
+    away = rejects_of_stream(spark, report_of(checkpoint)).select("cuenta", "reason")
+    return loaded.unionByName(away).groupBy("cuenta", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     f""", {_NATIONS} SELECT DISTINCT account || '_descarga.csv' AS file_name, true AS of_today FROM nations
         WHERE estado = 'abierto' UNION ALL
@@ -246,7 +266,26 @@ def snapshot_fed(spark, sf):
     path = new_path(spark, "snapshot")
     for rows in (v.stored(spark, sf), v.loaded(spark, sf)):
         store.feed_snapshot(rows, path, MOVEMENT_KEY)
-    return spark.read.parquet(path).select(*MOVEMENT_KEY, "cuenta")
+    return store.read_table(spark, path).select(*MOVEMENT_KEY, "cuenta")
+
+
+@query(
+    f"""SELECT {_MOVEMENT}, '2001-07-30' AS file_date, '2001-07-30_todos.csv' AS file_name FROM movements
+        WHERE estado = 'cerrado'""",
+    "movements",
+)
+def snapshot_replaced(spark, sf):
+    """A stored snapshot replaced by the daily file of the day before, as there is none of the day; two days later there is
+    neither, and it stays."""
+    root, path, as_of = new_path(spark, "daily"), new_path(spark, "snapshot"), date.fromisoformat(v.AS_OF)
+    store.replace_table(v.movements(spark, sf, estado="abierto"), path)
+    daily = v.movements(spark, sf, estado="cerrado").select(*MOVEMENT_KEY, "cuenta")
+    store.export_sets({f"{as_of:%Y-%m}/2001-07-30_todos.csv": daily}, root, "csv")
+    replaced = [store.replace_snapshot(spark, root, as_of + timedelta(days=n), "_todos.csv", path) for n in (0, 2)]
+    assert replaced == [True, False]
+    stored = store.read_table(spark, path)
+    amounts = {c: F.col(c).cast("decimal(12,2)") for c in ("cargo", "abono")}
+    return stored.withColumns(amounts).select(*MOVEMENT_KEY, "cuenta", "file_date", "file_name")
 
 
 @query(f"SELECT {_MOVEMENT} FROM movements", "movements")
@@ -273,22 +312,67 @@ def feed_job(spark, sf):
     folder, path = write_statements(spark, sf, "cerrado"), new_path(spark, "fed")
     for _ in range(2):
         workflows.feed_from_files(spark, folder, ("Fecha", "Concepto"), path)
-    return spark.read.parquet(path).select(F.col("Fecha").alias("fecha"), F.col("Concepto").alias("concepto"), "file_name")
+    stored = store.read_table(spark, path)
+    return stored.select(F.col("Fecha").alias("fecha"), F.col("Concepto").alias("concepto"), "file_name")
+
+
+def write_wide_statements(spark, sf) -> str:
+    """Files of twelve columns, date and concept in the tenth and twelfth, one per nation; and files of three columns in
+    another order that hold half of the same rows."""
+    folder = new_path(spark, "statements-wide")
+    rows = _by_nation(spark, sf, "debit", "cerrado")
+    values = {f"Campo {i}": F.concat(F.lit(f"{i}-"), F.col("unique_concept")) for i in range(1, 10)}
+    values |= {"Fecha": F.date_format("fecha", "dd/MM/yyyy"), "Sucursal": F.col("cuenta"), "Concepto": F.col("concepto")}
+    wide = rows.select(*[c.alias(n) for n, c in values.items()], F.concat("account", F.lit(" a ancho.csv")).alias("file"))
+    half = rows.filter(F.right(F.col("unique_concept"), F.lit(1)).isin("0", "2", "4", "6", "8")).withColumn("cargo", F.col("cargo").cast("string"))
+    slim = half.select(
+        F.col("concepto").alias("Concepto"), "cargo", F.date_format("fecha", "dd/MM/yyyy").alias("Fecha"),
+        F.concat("account", F.lit(" b corto.csv")).alias("file"),
+    )
+    for statement in (wide, slim):
+        statement.hint("rebalance", "file").write.mode("append").partitionBy("file").options(header=True, escape='"').csv(folder)
+    return folder
+
+
+@query(
+    f""", {_NATIONS}, files AS (
+            SELECT strftime(fecha, '%d/%m/%Y') AS fecha, concepto, '7-' || unique_concept AS campo, cuenta AS sucursal,
+                   account || ' a ancho.csv' AS file_name FROM nations WHERE estado = 'cerrado' AND type = 'debit'),
+        firsts AS (SELECT *, min(file_name) OVER (PARTITION BY fecha, concepto) AS first_file FROM files)
+        SELECT fecha, concepto, campo, sucursal, file_name FROM firsts WHERE file_name = first_file""",
+    "movements",
+    "accounts",
+)
+def feed_wide(spark, sf):
+    """A snapshot fed twice from files of different widths: rows come whole, by the names of their columns."""
+    folder, path = write_wide_statements(spark, sf), new_path(spark, "fed")
+    for _ in range(2):
+        workflows.feed_from_files(spark, folder, ("Fecha", "Concepto"), path)
+    stored = store.read_table(spark, path)
+    assert stored.filter("line IS NOT NULL").isEmpty()
+    named = {"Fecha": "fecha", "Concepto": "concepto", "Campo 7": "campo", "Sucursal": "sucursal"}
+    return stored.select(*[F.col(c).alias(n) for c, n in named.items()], "file_name")
 
 
 @query(
-    f"""SELECT {_EXPORTED} FROM movements m LEFT JOIN concepts k ON m.fecha = k.fecha
+    f"""SELECT {_EXPORTED}, 'PAGO "A, B"' || chr(10) || m.concepto AS concepto
+        FROM movements m LEFT JOIN concepts k ON m.fecha = k.fecha
         AND m.unique_concept = k.unique_concept AND m.cargo = k.cargo AND m.abono = k.abono""",
     "movements",
     "concepts",
 )
 def export_job(spark, sf):
-    """The cells of a whole export: both kinds, closed and open, with their classification."""
+    """The cells of a whole export: both kinds, closed and open, with their classification; concepts hold quotes, commas and
+    line breaks."""
+    odd = F.concat(F.lit('PAGO "A, B"\n'), F.col("concepto"))
     ledger, root = workflows.Ledger(spark, new_path(spark, "ledger"), v.accounts(spark, sf)), new_path(spark, "export")
     for kind in KINDS:
         for estado in ("cerrado", "abierto"):
-            store.overwrite_parts(v.movements(spark, sf, kind, estado), ledger.path(f"{workflows.PREFIX[kind]}_{estado}"))
+            rows = v.movements(spark, sf, kind, estado).withColumn("concepto", odd)
+            store.overwrite_parts(rows, ledger.path(f"{workflows.PREFIX[kind]}_{estado}"))
         store.overwrite_parts(v.concepts(spark, sf), ledger.path(f"{workflows.PREFIX[kind]}_conceptos"))
     workflows.export_ledger(ledger, root)
-    cells = [spark.read.options(header=True, escape='"').csv(f"{root}/cells/{workflows.PREFIX[kind]}") for kind in KINDS]
-    return concat_files(cells).select("fecha", "unique_concept", "cargo", "abono", "cuenta", "estado", "category_group")
+    reader = spark.read.options(header=True, escape='"', multiLine=True)
+    cells = [reader.csv(f"{root}/cells/{workflows.PREFIX[kind]}") for kind in KINDS]
+    columns = ("fecha", "unique_concept", "cargo", "abono", "cuenta", "estado", "category_group", "concepto")
+    return concat_files(cells).select(*columns)

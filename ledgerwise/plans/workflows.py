@@ -7,30 +7,40 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwise.contracts import ACCOUNT_CUTOFFS, CONCEPTS, DOCUMENTS, KINDS
 from ledgerwise.operators import manifests as m
 from ledgerwise.operators.calendar import refresh_account_cutoffs
-from ledgerwise.operators.enrich import enriched_table, export_rows, newest_first, state_changes, sync_concepts
+from ledgerwise.operators.enrich import enriched_table, export_rows, newest_first_in_slots, state_changes, sync_concepts
 from ledgerwise.operators.export import as_cells
 from ledgerwise.operators.joins import keyed_join
 from ledgerwise.operators.keyed import document_attach, document_upsert, loadable
 from ledgerwise.shared import job_folder, staged
 from ledgerwise.sources import store
 from ledgerwise.sources.documents import binary_files, keyed_payloads, with_stored_flags
-from ledgerwise.sources.files import holds_columns, list_files, statement_manifest, with_headers
+from ledgerwise.sources.files import (
+    distinct_names,
+    holds_columns,
+    list_files,
+    load_paths,
+    paths_of,
+    statement_manifest,
+    with_headers,
+)
 from ledgerwise.sources.statements import (
-    RAW,
+    concat_files,
     last_of_each_key,
-    raw_rows,
+    raw_reader,
     readable,
+    refusal,
     refused,
     statement_movements,
     with_files,
 )
+from ledgerwise.sources.versions import current
 
 # stored documents hold their flags, so that plans over keys and flags never touch payloads
 STORED_DOCUMENTS = T.StructType(
@@ -72,45 +82,70 @@ def load_statements(
     run_ts: Column,
     null_date: bool = True,
     on_conflict: str = "update",
+    multi_line: bool = False,
 ) -> dict[str, DataFrame]:
     """Daily load: closed tables by keyed upsert, open tables by replacement, then the classification sync.
 
-    Returns, per kind and state, the loaded movements; and the rejects.
+    Returns, per kind and state, the loaded movements; the ``rejects``; and the ``counters`` of every table: keys inserted,
+    updated and left untouched in the months of the load, and lines rejected, all counted on their way to storage.  What
+    the load read lies in the ledger's ``loaded_<estado>`` until the next load but one; nothing else stays behind.
     """
-    spark, loaded, away = ledger.spark, {}, []
+    with job_folder(ledger.spark):
+        return _load_statements(ledger, closed_folder, open_folder, as_of, run_ts, null_date, on_conflict, multi_line)
+
+
+def _load_statements(ledger, closed_folder, open_folder, as_of, run_ts, null_date, on_conflict, multi_line):
+    spark, loaded, away, counters = ledger.spark, {}, [], []
     for estado, folder, day in (("cerrado", closed_folder, None), ("abierto", open_folder, as_of)):
         manifest = staged(statement_manifest(spark, folder, ledger.accounts, day), f"manifest-{estado}")
-        rows = statement_movements(spark, folder, manifest, estado, as_of, null_date)
-        both = staged(last_of_each_key(rows), f"load-{estado}", by="kind")
+        rows = last_of_each_key(statement_movements(spark, folder, manifest, estado, as_of, null_date, multi_line))
+        brought, seen = ledger.path(f"loaded_{estado}"), Observation()
+        store.replace_table(rows.observe(seen, *_lines_by_kind()), brought, "kind")
+        # a plan without any rows may be left out with what it was to count
+        lines = seen.get if current(spark, brought).parts else dict.fromkeys(_LINES, 0)
+        both = store.read_parts(spark, brought, rows.schema)
         away.append(refused(both))
         for kind in KINDS:
-            movements = loadable(readable(both.filter(F.col("kind") == kind)).drop("kind"))
-            path = ledger.path(f"{PREFIX[kind]}_{estado}")
+            movements = loadable(readable(store.read_parts(spark, brought, rows.schema, [kind])).drop("kind"))
+            path, table = ledger.path(f"{PREFIX[kind]}_{estado}"), f"{PREFIX[kind]}_{estado}"
             concepts = ledger.path(f"{PREFIX[kind]}_conceptos")
             if estado == "cerrado":
-                load_closed(movements, path, concepts, ledger.accounts, kind, run_ts, on_conflict)
+                found = load_closed(movements, path, concepts, ledger.accounts, kind, run_ts, on_conflict)
             else:
                 sync_classification(concepts, movements, ledger.accounts, kind, run_ts)
                 store.overwrite_parts(movements, path)
-            loaded[f"{PREFIX[kind]}_{estado}"] = movements
+                found = {"inserted": lines[f"{kind}_good"], "updated": 0, "untouched": 0}
+            counters.append((table, found["inserted"], found["updated"], found["untouched"], lines[f"{kind}_bad"]))
+            loaded[table] = movements
     loaded["rejects"] = away[0].unionByName(away[1])
+    loaded["counters"] = spark.createDataFrame(counters, COUNTERS)
     return loaded
 
 
+COUNTERS = "table string, inserted long, updated long, untouched long, rejected long"
+_LINES = {f"{kind}_{name}": (kind, name == "bad") for kind in KINDS for name in ("good", "bad")}
+
+
+def _lines_by_kind() -> list[Column]:
+    """Loadable and refused lines of each kind, as aggregates."""
+    bad = refusal().isNotNull()
+    return [F.count_if((F.col("kind") == kind) & (bad == away)).alias(name) for name, (kind, away) in _LINES.items()]
+
+
 def load_closed(
     movements: DataFrame, path: str, concepts: str, accounts: DataFrame, kind: str, run_ts: Column, on_conflict: str = "update"
-) -> None:
-    """Closed movements (staged, one per key) into their table, and what changes by that into the classification.
+) -> dict[str, int]:
+    """Closed movements (written already, one per key) into their table, and what changes by that into the classification.
 
     The classification comes first: as long as the movements are not in their table, a run that is repeated after a
-    crash finds the same changes again.
+    crash finds the same changes again.  Returns the counters of the upsert.
     """
     months = store.parts_of(movements)
     if months:
         stored = store.read_parts(movements.sparkSession, path, only=months)
         changes = staged(state_changes(stored, movements), f"sync-{kind}")
         sync_classification(concepts, changes, accounts, kind, run_ts, months)
-        store.upsert_unique(movements, path, on_conflict, months)
+    return store.upsert_unique(movements, path, on_conflict, months)
 
 
 def sync_classification(
@@ -136,29 +171,46 @@ def rebuild_enriched(
 
 def export_ledger(ledger: Ledger, root: str) -> None:
     """For each kind one data set of all movements, closed and open, with their classification, newest first; and the
-    same as cell text (``cells``)."""
+    same as cell text (``cells``).  The months and their sizes are known from storage, so nothing is read to find the order."""
     sets = {}
     for kind in KINDS:
-        closed, opened = (ledger.movements(kind, estado) for estado in ("cerrado", "abierto"))
-        sets[PREFIX[kind]] = newest_first(export_rows(closed, opened, ledger.concepts(kind)))
+        paths = [ledger.path(f"{PREFIX[kind]}_{estado}") for estado in ("cerrado", "abierto")]
+        closed, opened = (store.read_parts(ledger.spark, path) for path in paths)
+        month_rows = store.rows_of_parts(ledger.spark, paths)
+        rows = export_rows(closed, opened, ledger.concepts(kind))
+        sets[PREFIX[kind]] = newest_first_in_slots(rows, month_rows)
     store.export_sets(sets, root)
     stored = {name: ledger.spark.read.parquet(f"{root}/{name}") for name in sets}
     store.export_sets({name: as_cells(df) for name, df in stored.items()}, f"{root}/cells", "csv")
 
 
-def feed_from_files(spark: SparkSession, folder: str, required: tuple[str, ...], path: str) -> None:
+def feed_from_files(spark: SparkSession, folder: str, required: tuple[str, ...], path: str, multi_line: bool = False) -> None:
     """Feed a stored snapshot from all files of a folder whose header holds the ``required`` columns, in any order.
 
-    Rows that the snapshot holds already stay out; new ones come with the name and the date of their file.
+    Files are read by their header, however wide, and rows come whole: all columns of their file by name, and the name and
+    the date of the file.  Rows whose required columns the snapshot holds already stay out.  A line whose number of cells is
+    not that of its header is kept as text in ``line`` besides.  A column name that repeats in a header, in any case, gets a
+    number (``Saldo_1``).
     """
     with job_folder(spark):
-        files = with_headers(list_files(spark, folder)).filter(holds_columns(F.col("header"), required))
-        dated = files.withColumn("file_date", F.to_date("file_modification_time"))
-        manifest = staged(dated.select("file_path", "file_name", "file_date", "header"), "feed-files")
-        cells = F.array(*RAW.names)
-        values = [F.get(cells, F.array_position("header", c) - 1).alias(c) for c in required]
-        rows = with_files(raw_rows(spark, folder), manifest).select(*values, "file_name", "file_date")
-        store.feed_snapshot(rows, path, required)
+        listed = with_headers(list_files(spark, folder)).filter(holds_columns(F.col("header"), required))
+        dated = listed.withColumn("file_date", F.to_date("file_modification_time"))
+        manifest = staged(dated.select("file_path", "raw_path", "file_name", "file_date", "header"), "feed-files")
+        headers = [r["header"] for r in manifest.select("header").distinct().orderBy("header").collect()]
+        parts = [_rows_of_header(spark, manifest, header, multi_line) for header in headers]
+        if parts:
+            store.feed_snapshot(staged(concat_files(parts), "feed-rows"), path, required)
+
+
+def _rows_of_header(spark: SparkSession, manifest: DataFrame, header: list[str], multi_line: bool) -> DataFrame:
+    """Rows of all files with one header, columns under its names."""
+    files = manifest.filter(F.col("header") == F.array(*map(F.lit, header)))
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    schema = cells.add("line", T.StringType())
+    reader = raw_reader(spark.read.format("csv"), schema, multi_line).option("columnNameOfCorruptRecord", "line")
+    lines = load_paths(reader, paths_of(files)).withColumn("file_path", F.col("_metadata.file_path"))
+    named = [F.col(f"c{i}").alias(name) for i, name in enumerate(distinct_names(header))]
+    return with_files(lines, files.drop("header")).select(*named, "line", "file_name", "file_date")
 
 
 def plan_downloads(ledger: Ledger, days: DataFrame, as_of, run_ts: Column, rule: str = "v2") -> DataFrame:

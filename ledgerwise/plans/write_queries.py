@@ -78,6 +78,25 @@ def load_counters(spark, sf):
     return k.load_counters(v.stored(spark, sf), v.loaded(spark, sf))
 
 
+@query(
+    f"""SELECT 'inserted' AS action, count(*) AS n_keys FROM loaded a
+        WHERE NOT EXISTS (SELECT 1 FROM stored b WHERE {_SAME})
+        UNION ALL SELECT 'updated', count(*) FROM loaded a WHERE EXISTS (SELECT 1 FROM stored b WHERE {_SAME})
+        UNION ALL SELECT 'untouched', count(*) FROM stored a WHERE NOT EXISTS (SELECT 1 FROM loaded b WHERE {_SAME})
+                  AND strftime(fecha, '%Y-%m') IN (SELECT strftime(fecha, '%Y-%m') FROM loaded)
+        UNION ALL SELECT 'updated again', count(*) FROM loaded""",
+    "stored",
+    "loaded",
+)
+def load_report(spark, sf):
+    """The counters that a load brings back from its write; all keys are updates when it is repeated."""
+    path = new_path(spark, "closed")
+    store.overwrite_parts(v.stored(spark, sf), path)
+    first, again = (store.upsert_movements(v.loaded(spark, sf), path) for _ in range(2))
+    rows = [*first.items(), ("updated again", again["updated"])]
+    return spark.createDataFrame(rows, "action string, n_keys long")
+
+
 @query(
     f"""SELECT {_OUT} FROM stored
         UNION ALL SELECT {_OUT} FROM loaded a WHERE NOT EXISTS (SELECT 1 FROM stored b WHERE {_SAME})""",

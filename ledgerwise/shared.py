@@ -39,14 +39,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{_job.get() or shared_dir(spark) + '/ledgerwise'}/{label}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system that holds ``path``, and the path for it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there anything at ``path``, on whatever file system the cluster uses?  Lists nothing."""
-    system, target = _file_system(spark, path)
+    system, target = file_system(spark, path)
     return system.exists(target)
 
 
@@ -63,7 +64,7 @@ def job_folder(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _job.reset(token)
-        system, path = _file_system(spark, folder)
+        system, path = file_system(spark, folder)
         system.delete(path, True)
 
 

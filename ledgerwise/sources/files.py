@@ -5,22 +5,14 @@ The manifest is small next to the rows, but it grows with the number of files, s
 
 from __future__ import annotations
 
-import csv
-import sys
-from collections.abc import Iterator
+import re
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwise.contracts import HEADERS
 from ledgerwise.functions.dates import day
-
-HEADER_CHUNK, LONGEST_HEADER = 64 * 1024, 1024 * 1024
-
-# the functions that read headers travel with their tasks: executors need not have this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ledgerwise.shared import staged
 
 
 def file_name_of(path: Column) -> Column:
@@ -62,36 +54,60 @@ def file_date_from_name(file_name: Column) -> Column:
     return F.try_to_date(F.split_part(file_name, F.lit("_"), F.lit(1)), "yyyy-MM-dd")
 
 
-def _first_line(raw_path: str) -> str:
-    """First line of a file on any file system Arrow knows; a line longer than ``LONGEST_HEADER`` is no header."""
-    from pyarrow import fs
+def paths_of(files: DataFrame) -> list[str]:
+    """Paths of listed files, for a reader that is to open these and no others.
+
+    The driver holds the listing of a folder anyway, as every file source does.
+    """
+    return [row[0] for row in files.select("raw_path").distinct().collect()]
+
 
-    uri = raw_path.replace("file:/", "file:///", 1) if raw_path.startswith("file:/") else raw_path
-    if uri.startswith("file:"):
-        system, path = fs.LocalFileSystem(), uri[len("file://") :]
-        path = "/" + path.lstrip("/")
-    else:
-        system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-    with system.open_input_stream(path) as stream:
-        head = b""
-        while b"\n" not in head and len(head) < LONGEST_HEADER:
-            chunk = stream.read(HEADER_CHUNK)
-            if not chunk:
-                break
-            head += chunk
-    return head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+def load_paths(reader: DataFrameReader, paths: list[str]) -> DataFrame:
+    """What ``reader`` finds in exactly these files (one at least); signs that patterns are made of stand for themselves."""
+    return reader.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths])
 
 
-def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        lines = batch["raw_path"].map(_first_line)
-        yield batch.assign(header=[next(csv.reader([line]), []) for line in lines])
+# a cell of a line that begins with a comma: quoted, quotes inside doubled, or plain
+_CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)[^,]*+'
+
+
+def cells_of(line: Column) -> Column:
+    """Cells of one line of a CSV file; an empty line has none."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+    inside = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    plain = F.transform(found, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inside(c)).otherwise(c))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(plain)
 
 
 def with_headers(files: DataFrame) -> DataFrame:
-    """Files with their header as an array: one small read per file, in parallel over the files."""
-    schema = ", ".join(f"{name} {kind}" for name, kind in files.dtypes) + ", header array<string>"
-    return files.mapInPandas(_headers, schema)
+    """Files with their header, the cells of the first line, as an array; none for a file without lines.
+
+    The first line is the one at the lowest position of a file's first block: one row per file leaves the tasks that read
+    the lines, and no other file is opened.
+    """
+    spark, files = files.sparkSession, staged(files, "files")
+    paths, none = paths_of(files), F.array().cast("array<string>")
+    if not paths:
+        return files.withColumn("header", none)
+    lines = load_paths(spark.read.format("text"), paths).where(F.col("_metadata.file_block_start") == 0)
+    placed = lines.select(F.col("_metadata.file_path").alias("_path"), "value", F.monotonically_increasing_id().alias("place"))
+    first = placed.groupBy("_path").agg(F.min_by("value", "place").alias("line"))
+    found = first.select("_path", cells_of(F.regexp_replace("line", "^\ufeff", "")).alias("header"))
+    joined = files.join(found, F.col("file_path") == F.col("_path"), "left").drop("_path")
+    return joined.withColumn("header", F.coalesce("header", none))
+
+
+def distinct_names(header: list[str]) -> list[str]:
+    """Names of a header, with a number where one repeats, upper and lower case being the same; a blank one by its place."""
+    out: list[str] = []
+    for place, name in enumerate(header):
+        base, n = name.strip() or f"column {place + 1}", 0
+        name = base
+        while name.lower() in {o.lower() for o in out} or name.lower() in ("line", "file_name", "file_date", "part", "version"):
+            n += 1
+            name = f"{base}_{n}"
+        out.append(name)
+    return out
 
 
 def exact_contract(header: Column) -> Column:
@@ -141,5 +157,5 @@ def accepted(files: DataFrame, accounts: DataFrame) -> DataFrame:
     return (
         tagged.filter(F.col("contract").isNotNull())
         .withColumn("file_date", F.to_date("file_modification_time"))
-        .select("file_path", "file_name", "file_date", "contract", "cuenta")
+        .select("file_path", "raw_path", "file_name", "file_date", "contract", "cuenta")
     )

@@ -14,23 +14,32 @@ from ledgerwise.functions.text import amount, clean_text, period_from_name, uniq
 from ledgerwise.operators.joins import keyed_join
 from ledgerwise.operators.keyed import REQUIRED
 from ledgerwise.operators.ranking import keep_last
+from ledgerwise.sources.files import load_paths, paths_of
 
 # one column more than any contract has shows what a line holds beyond it
 WIDTH = max(len(header) for header in HEADERS.values()) + 1
 RAW = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH)])
 
 
-def raw_reader(reader):
+def raw_reader(reader, schema: T.StructType = RAW, multi_line: bool = False):
     """Positional text columns.  One pass reads all contracts; the header line of every file is skipped.
 
     Quotes inside quotes are doubled, as in the header.  A line break ends a line even inside quotes: the halves have
-    too few or too many columns to be read and end up among the rejects.
+    too few or too many columns to be read and end up among the rejects.  With ``multi_line`` it belongs to the cell, and a
+    file is read by one task.
     """
-    return reader.schema(RAW).options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv", quote='"', escape='"')
+    return reader.schema(schema).options(
+        header=True, recursiveFileLookup=True, pathGlobFilter="*.csv", quote='"', escape='"', multiLine=multi_line
+    )
 
 
-def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_reader(spark.read.format("csv")).load(folder).select("*", F.col("_metadata.file_path").alias("file_path"))
+def raw_rows(spark: SparkSession, manifest: DataFrame, multi_line: bool = False) -> DataFrame:
+    """Lines of the files of a manifest, and of no others."""
+    paths = paths_of(manifest)
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*RAW.fields, T.StructField("file_path", T.StringType())]))
+    lines = load_paths(raw_reader(spark.read.format("csv"), RAW, multi_line), paths)
+    return lines.select(*RAW.names, F.col("_metadata.file_path").alias("file_path"))
 
 
 def with_files(raw: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -39,7 +48,7 @@ def with_files(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     Stage the manifest first (``shared.staged``): its real size then decides between broadcast and merge, and the
     merge side is a plain shuffle that adaptive execution can split when one file holds most rows.
     """
-    return keyed_join(raw, manifest, ["file_path"], "inner")
+    return keyed_join(raw, manifest.drop("raw_path"), ["file_path"], "inner")
 
 
 def by_meaning(rows: DataFrame, column: str) -> Column:
@@ -125,14 +134,24 @@ def last_of_each_key(movements: DataFrame) -> DataFrame:
     return keep_last(keyed, ["kind", *MOVEMENT_KEY, "_own"], ["file_date", "file_name"]).drop("_own")
 
 
+def refusal() -> Column:
+    """Why a row cannot be loaded: unreadable, or a missing key column; NULL if it can."""
+    return F.coalesce("reason", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
+
+
 def refused(movements: DataFrame) -> DataFrame:
-    """Rows that cannot be loaded, with the reason: unreadable, or a missing key column."""
-    lacking = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
-    return movements.withColumn("reason", F.coalesce("reason", lacking)).filter(F.col("reason").isNotNull())
+    """Rows that cannot be loaded, with the reason."""
+    return movements.withColumn("reason", refusal()).filter(F.col("reason").isNotNull())
 
 
 def statement_movements(
-    spark: SparkSession, folder: str, manifest: DataFrame, estado: str, as_of=None, null_date: bool = True
+    spark: SparkSession,
+    folder: str,
+    manifest: DataFrame,
+    estado: str,
+    as_of=None,
+    null_date: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All movements in the accepted files of a folder, in one pass over the files."""
-    return typed_movements(with_files(raw_rows(spark, folder), manifest), estado, as_of, null_date)
+    """All movements in the accepted files of a folder, in one pass over these files; no other file is opened."""
+    return typed_movements(with_files(raw_rows(spark, manifest, multi_line), manifest), estado, as_of, null_date)

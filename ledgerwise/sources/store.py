@@ -2,7 +2,7 @@
 
 Movement and classification tables are partitioned by the month of ``fecha``, documents by their period.  Both are
 part of the key, so a load can only touch the partitions it brings: an upsert reads, merges and rewrites those and no
-others.
+others.  All of them are switched by a pointer (``versions``): readers see a load whole or not at all.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,16 +19,20 @@ from ledgerwise.operators.enrich import MOVEMENT_ID, with_movement_id
 from ledgerwise.operators.keyed import loadable, new_rows, upsert
 from ledgerwise.operators.ranking import keep_last
 from ledgerwise.shared import exists, staged
+from ledgerwise.sources import versions
+from ledgerwise.sources.versions import PART
 
-PART = "part"
 # partition of a row, as SQL over its key columns
 MONTH_OF_ROW = "date_format(fecha, 'yyyy-MM')"
 PERIOD_OF_DOCUMENT = "cutoff_period"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Whole table; empty with ``schema`` where it was never written."""
-    if schema is not None and not exists(spark, path):
+    """Whole table; empty with ``schema`` where it was never written, or holds nothing."""
+    found = versions.read(spark, path, schema)
+    if found is not None:
+        return found.drop(PART)
+    if schema is not None and (not exists(spark, path) or versions.current(spark, path).number):
         return spark.createDataFrame([], schema)
     return spark.read.parquet(path)
 
@@ -49,22 +53,27 @@ def read_parts(
 
     A report over the last months asks for ``since`` the first of them; the scan then lists no earlier folder.
     """
-    if not exists(spark, path):
+    stored = versions.read(spark, path, schema, only, since)
+    if stored is None:
         return spark.createDataFrame([], schema)
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.StringType())])).parquet(path)
-    if only is not None:
-        stored = stored.filter(F.col(PART).isin(list(only)))
     if since is not None:
         stored = stored.filter(F.col(PART) >= since)
     return stored.drop(PART)
 
 
+def rows_of_parts(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
+    """Rows of each partition, of all tables together; only the footers of the files are read."""
+    rows: dict[str, int] = {}
+    for path in paths:
+        stored = versions.read(spark, path, T.StructType([]))
+        for part, n in stored.groupBy(PART).count().collect() if stored is not None else ():
+            rows[part] = rows.get(part, 0) + n
+    return rows
+
+
 def overwrite_parts(df: DataFrame, path: str, part: str = MONTH_OF_ROW) -> None:
-    """Truncate and insert.  ``df`` may read the old table: it is staged first."""
-    ready = staged(df, "overwrite") if exists(df.sparkSession, path) else df
-    _by_part(ready, part).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(
-        path
-    )
+    """Truncate and insert, in one switch.  ``df`` may read the old table."""
+    versions.replace(_by_part(df, part), path)
 
 
 def parts_of(df: DataFrame, part: str = MONTH_OF_ROW) -> list[str]:
@@ -86,17 +95,13 @@ def merge_parts(
 ) -> None:
     """Replace the partitions ``source`` touches by ``merge`` of their rows; the other partitions are not read.
 
-    The merged rows are staged before they replace the old ones, so no plan overwrites what it reads.  ``touched``
-    saves the look at ``source`` where its partitions are known.
+    The merged rows go straight into the new folders, which count once all are written.  ``touched`` saves the look at
+    ``source`` where its partitions are known.
     """
     spark = source.sparkSession
     touched = parts_of(source, part) if touched is None else touched
-    if not touched:
-        return
-    merged = staged(merge(read_parts(spark, path, schema, touched)), "merged")
-    _by_part(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        PART
-    ).parquet(path)
+    if touched:
+        versions.replace_parts(_by_part(merge(read_parts(spark, path, schema, touched)), part), path, touched)
 
 
 def unique_rows(source: DataFrame, order: Sequence[str] = ("file_date", "file_name")) -> DataFrame:
@@ -104,19 +109,38 @@ def unique_rows(source: DataFrame, order: Sequence[str] = ("file_date", "file_na
     return staged(keep_last(loadable(source), MOVEMENT_KEY, order), "load")
 
 
-def upsert_movements(source: DataFrame, path: str, on_conflict: str = "update") -> None:
+def upsert_movements(source: DataFrame, path: str, on_conflict: str = "update") -> dict[str, int]:
     """Keyed upsert into a movement table; rows without key are left out (``keyed.rejected`` lists them).
 
-    Running it again with the same source changes nothing.
+    Running it again with the same source changes nothing.  Returns the counters of ``upsert_unique``.
+    """
+    return upsert_unique(unique_rows(source), path, on_conflict)
+
+
+def upsert_unique(
+    unique: DataFrame, path: str, on_conflict: str = "update", touched: Sequence[str] | None = None
+) -> dict[str, int]:
+    """Upsert of rows that are staged already, keyed and one per key.
+
+    Returns how many keys it ``inserted`` and ``updated``, and how many it left ``untouched`` in the partitions it read: the
+    rows are counted on their way to storage, those there before by the footers of their files.
     """
-    upsert_unique(unique_rows(source), path, on_conflict)
+    touched = parts_of(unique) if touched is None else touched
+    if not touched:
+        return {"inserted": 0, "updated": 0, "untouched": 0}
+    before = read_parts(unique.sparkSession, path, unique.schema, touched).count()
+    counts = Observation()
 
+    def merge(stored: DataFrame) -> DataFrame:
+        old, new = stored.withColumn("_loaded", F.lit(False)), unique.withColumn("_loaded", F.lit(True))
+        seen = upsert(old, new, MOVEMENT_KEY, on_conflict).observe(
+            counts, F.count_if("_loaded").alias("written"), F.count_if(~F.col("_loaded")).alias("kept")
+        )
+        return seen.drop("_loaded")
 
-def upsert_unique(unique: DataFrame, path: str, on_conflict: str = "update", touched: Sequence[str] | None = None) -> None:
-    """Upsert of rows that are staged already, keyed and one per key."""
-    merge_parts(
-        unique, path, lambda stored: upsert(stored, unique, MOVEMENT_KEY, on_conflict), unique.schema, touched=touched
-    )
+    merge_parts(unique, path, merge, unique.schema, touched=touched)
+    written, kept = (counts.get[c] for c in ("written", "kept"))
+    return {"inserted": written - (before - kept), "updated": before - kept, "untouched": kept}
 
 
 # with this setting tables bucketed by movement_id join on the whole movement key without a shuffle
@@ -133,9 +157,9 @@ def save_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
     bucketed.bucketBy(buckets, MOVEMENT_ID).sortBy(MOVEMENT_ID).option("path", path).saveAsTable(table)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table whose new content may come from the old one."""
-    staged(df, "replace").write.mode("overwrite").parquet(path)
+def replace_table(df: DataFrame, path: str, part: str | None = None) -> None:
+    """Overwrite a table whose new content may come from the old one; ``part`` is SQL for a partition to select by."""
+    versions.replace(df.withColumn(PART, F.lit(versions.WHOLE)) if part is None else _by_part(df, part), path)
 
 
 # --- sets of tables that change together ---------------------------------------------------------------------------
@@ -158,12 +182,15 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def export_sets(tables: dict[str, DataFrame], root: str, fmt: str = "parquet", skip_empty: bool = False) -> None:
-    """One data set per table; ``skip_empty`` leaves out tables without rows."""
+    """One data set per table; ``skip_empty`` leaves out tables without rows.
+
+    CSV cells are written as statements are read: quotes inside quotes doubled, line breaks inside quotes.
+    """
     for name, df in tables.items():
         if skip_empty and df.isEmpty():
             continue
         writer = df.write.mode("overwrite")
-        writer.option("header", True).csv(f"{root}/{name}") if fmt == "csv" else writer.parquet(f"{root}/{name}")
+        writer.options(header=True, escape='"').csv(f"{root}/{name}") if fmt == "csv" else writer.parquet(f"{root}/{name}")
 
 
 # --- snapshots -------------------------------------------------------------------------------------------------------
@@ -199,7 +226,8 @@ def read_daily_file(spark: SparkSession, root: str, as_of: date, suffix: str) ->
 
 
 def replace_snapshot(spark: SparkSession, root: str, as_of: date, suffix: str, path: str) -> bool:
-    """Full replace of a stored snapshot by the daily file of ``as_of`` or of the day before; tells whether there was one."""
+    """Full replace of a stored snapshot by the daily file of ``as_of``, else of the day before; without either it stays as
+    it is.  Tells whether there was one."""
     found = read_daily_file(spark, root, as_of, suffix)
     if found is not None:
         replace_table(found, path)
@@ -208,6 +236,5 @@ def replace_snapshot(spark: SparkSession, root: str, as_of: date, suffix: str, p
 
 def feed_snapshot(source: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Append to a stored snapshot what it does not hold yet; what it holds is read by its keys only and stays as it is."""
-    spark = source.sparkSession
-    held = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], source.schema)
-    staged(new_rows(held, source, columns), "feed").write.mode("append").parquet(path)
+    held = read_table(source.sparkSession, path, T.StructType([source.schema[c] for c in columns]))
+    versions.append(new_rows(held, source, columns).withColumn(PART, F.lit(versions.WHOLE)), path)

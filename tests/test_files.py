@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import D, M, document, documents, movement, movements
-from ledgerwise.contracts import HEADERS, RENAMES
+from ledgerwise.contracts import CONCEPTS, HEADERS, RENAMES
 from ledgerwise.operators.calendar import cutoff_days
 from ledgerwise.plans import workflows as w
 from ledgerwise.shared import new_path
@@ -209,7 +209,7 @@ def test_stream_finds_only_new_files(spark, rows, closed, accounts):
         ("PAGONÓMINA", "2024-03 0639.csv"),
     ]
     assert store.read_parts(spark, tables["credit"]).count() == 2
-    assert spark.read.parquet(concepts["debit"]).count() == 4
+    assert store.read_parts(spark, concepts["debit"], CONCEPTS).count() == 4
 
 
 def test_binary_documents(spark, rows, tmp_path):
