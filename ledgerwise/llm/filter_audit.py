@@ -232,7 +232,7 @@ def audit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", part: str
     found = _sizes_of_ranges(posting_lists(marks, names))
 
     counted = [c for c in SIZES.names if c not in ("part", "letter", "before")]
-    sums = found.groupBy("part", "letter", "before").agg(*(F.sum(c).alias(c) for c in counted))
+    sums = staged(found.groupBy("part", "letter", "before").agg(*(F.sum(c).alias(c) for c in counted)), "sizes")
     others = F.element_at(F.array(*(F.lit((1 << len(FILTERS)) - 1 - (1 << k)) for k in range(len(FILTERS)))), F.col("letter") + 1)
     each = sums.groupBy("part", "letter").agg(
         F.max(F.when(F.col("before") == others, F.col("removed"))).alias("unique_fails"),
