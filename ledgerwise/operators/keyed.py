@@ -133,12 +133,22 @@ def delete_cascade(df: DataFrame, deleted: DataFrame, columns: Sequence[str]) ->
     return keyed_join(df, deleted.select(*columns), columns, "left_anti")
 
 
+# what a document row may hold of a payload: the bytes, or their hash and length in the payload store
 PAYLOADS = ("pdf_file", "csv_file", "pdf_filename", "csv_filename")
+REFERENCES = ("pdf_hash", "pdf_length", "csv_hash", "csv_length", "pdf_filename", "csv_filename")
+
+
+def _payload_columns(documents: DataFrame, incoming: DataFrame) -> list[str]:
+    names = dict.fromkeys((*PAYLOADS, *REFERENCES))
+    return [c for c in names if c in documents.columns and c in incoming.columns]
 
 
 def document_upsert(documents: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert or set documents field by field: an absent payload leaves the stored one alone."""
-    payloads = [c for c in PAYLOADS if c in incoming.columns]
+    """Insert or set documents field by field: an absent payload leaves the stored one alone.
+
+    Works on bytes and on references; give it references, and no bytes go through its join.
+    """
+    payloads = _payload_columns(documents, incoming)
     new = incoming.select(
         *[F.col(k).alias(f"_new_{k}") for k in DOCUMENT_KEY],
         F.lit(True).alias("_hit"),
@@ -152,10 +162,12 @@ def document_upsert(documents: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def document_attach(documents: DataFrame, files: DataFrame, run_ts: Column) -> DataFrame:
-    """Set the payload of documents that exist; ``files`` holds the key, pdf/csv payloads and names, one row per key."""
-    new = files.select(*DOCUMENT_KEY, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in PAYLOADS])
+    """Set the payload of documents that exist; ``files`` holds the key, and payloads or references and names, one row per
+    key."""
+    payloads = _payload_columns(documents, files)
+    new = files.select(*DOCUMENT_KEY, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in payloads])
     joined = keyed_join(documents, new, DOCUMENT_KEY)
-    filled = {c: F.coalesce(f"_new_{c}", c) for c in PAYLOADS}
+    filled = {c: F.coalesce(f"_new_{c}", c) for c in payloads}
     filled["updated_at"] = F.when(F.col("_hit"), run_ts).otherwise(F.col("updated_at"))
     return joined.withColumns(filled).select(*documents.columns)
 

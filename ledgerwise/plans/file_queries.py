@@ -17,7 +17,14 @@ from ledgerwise.plans.registry import query
 from ledgerwise.shared import new_path, staged
 from ledgerwise.sources import files as fs
 from ledgerwise.sources import store
-from ledgerwise.sources.documents import binary_files, keyed_payloads
+from ledgerwise.sources.documents import (
+    binary_files,
+    held_hashes,
+    keep_payloads,
+    keyed_payloads,
+    keyed_references,
+    newest_of_each_name,
+)
 from ledgerwise.sources.statements import concat_files, statement_movements
 from ledgerwise.streaming.ingest import ingest_statements, report_of
 from ledgerwise.streaming.ingest import stream_rejects as rejects_of_stream
@@ -107,17 +114,19 @@ def today_statements(spark, sf):
     return _scan(spark, sf, "abierto", _today(spark)).select(*_OUT)
 
 
+_FILE_OF = """CASE estado WHEN 'abierto' THEN account || '_descarga.csv' ELSE '2001-06 ' || account || '.csv' END"""
+
+
 @query(
-    f""", {_NATIONS} SELECT DISTINCT account || '_descarga.csv' AS file_name, type AS contract, 5::BIGINT AS n_columns
-        FROM nations WHERE estado = 'abierto' UNION ALL
-        SELECT DISTINCT 'otro ' || account || '_descarga.csv', NULL, 2 FROM nations
-        WHERE estado = 'abierto' AND type = 'credit'""",
+    f""", {_NATIONS} SELECT DISTINCT {_FILE_OF} AS file_name, type AS contract, 5::BIGINT AS n_columns FROM nations
+        UNION ALL SELECT DISTINCT 'otro ' || {_FILE_OF}, NULL, 2 FROM nations WHERE type = 'credit'""",
     "movements",
     "accounts",
 )
 def header_contract(spark, sf):
-    """Every file of the folder with the contract of its header."""
-    files = fs.with_headers(fs.list_files(spark, write_statements(spark, sf, "abierto")))
+    """Every file of both folders with the contract of its header."""
+    folders = [write_statements(spark, sf, estado) for estado in ("cerrado", "abierto")]
+    files = fs.with_headers(concat_files([fs.list_files(spark, folder) for folder in folders]))
     return files.select(
         "file_name", fs.exact_contract(F.col("header")).alias("contract"), F.size("header").cast("long").alias("n_columns")
     ).distinct()
@@ -197,6 +206,40 @@ def today_files(spark, sf):
     return fs.created_on(files, today).select("file_name", of_today.alias("of_today")).distinct()
 
 
+def write_documents(spark, sf, value) -> str:
+    """Folder with a PDF per nation and kind that holds ``value`` of its movements."""
+    folder = new_path(spark, "documents")
+    for kind in KINDS:
+        rows = _by_nation(spark, sf, kind, None).groupBy("account").agg(value.cast("string").alias("value"))
+        name = F.concat(F.lit("2001-06_"), F.col("account"), F.lit(f"_{kind}.pdf"))
+        rows.select("value", name.alias("file")).hint("rebalance", "file").write.mode("append").partitionBy("file").text(
+            folder
+        )
+    return folder
+
+
+@query(
+    f""", {_NATIONS}, contents AS (
+            SELECT account, type, max(strftime(fecha, '%Y-%m')) || chr(10) AS content FROM nations GROUP BY ALL)
+        SELECT account AS account_number, type, sha256(content) AS pdf_hash, length(content) AS pdf_length,
+               1::BIGINT AS copies, count(*) OVER (PARTITION BY content) AS documents
+        FROM contents""",
+    "movements",
+    "accounts",
+)
+def payload_store(spark, sf):
+    """Documents that hold the newest month of a nation, brought in twice: every content is stored once, however many
+    documents refer to it."""
+    folder, path = write_documents(spark, sf, F.max(F.date_format("fecha", "yyyy-MM"))), new_path(spark, "payloads")
+    for _ in range(2):
+        listed = newest_of_each_name(fs.list_files(spark, folder, "part-*"))
+        references = staged(keyed_references({"pdf": keep_payloads(spark, listed, path)}), "references")
+    copies = held_hashes(spark, path).groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
+    uses = references.groupBy("pdf_hash").agg(F.count(F.lit(1)).alias("documents"))
+    counted = uses.join(copies, F.col("pdf_hash") == F.col("content_hash"))
+    return references.join(counted, "pdf_hash").select("account_number", "type", "pdf_hash", "pdf_length", "copies", "documents")
+
+
 @query(
     f""", {_NATIONS} SELECT '2001-06' AS cutoff_period, account AS account_number, type, 
                length(count(*)::VARCHAR) + 1 AS pdf_length
@@ -206,13 +249,7 @@ def today_files(spark, sf):
 )
 def binary_scan(spark, sf):
     """A document per nation and kind, holding its number of movements; found by name, read as bytes."""
-    folder = new_path(spark, "documents")
-    for kind in KINDS:
-        rows = _by_nation(spark, sf, kind, None).groupBy("account").agg(F.count(F.lit(1)).cast("string").alias("value"))
-        name = F.concat(F.lit("2001-06_"), F.col("account"), F.lit(f"_{kind}.pdf"))
-        rows.select("value", name.alias("file")).hint("rebalance", "file").write.mode("append").partitionBy("file").text(
-            folder
-        )
+    folder = write_documents(spark, sf, F.count(F.lit(1)))
     payloads = keyed_payloads(binary_files(spark, folder, "part-*"), "pdf")
     return payloads.select(
         "cutoff_period", "account_number", "type", F.length("pdf_file").cast("long").alias("pdf_length")

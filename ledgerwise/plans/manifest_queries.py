@@ -12,7 +12,9 @@ from ledgerwise.operators.ranking import newest_file as newest
 from ledgerwise.operators.reports import newest_snapshot
 from ledgerwise.plans import views as v
 from ledgerwise.plans.registry import query
+from ledgerwise.shared import staged
 from ledgerwise.sources import files as fs
+from ledgerwise.sources.documents import by_reference, keyed_references
 
 _KEY = "cutoff_period, account_number, type"
 
@@ -344,8 +346,13 @@ def documents_to_sync(spark, sf):
 _PAYLOAD = """coalesce(length(pdf_file), -1) AS pdf_length, coalesce(length(csv_file), -1) AS csv_length"""
 
 
+def _stored_documents(spark, sf):
+    """The document table as it is stored: references in place of bytes."""
+    return staged(by_reference(v.documents(spark, sf)), "documents")
+
+
 def _payload_lengths(df):
-    lengths = [F.coalesce(F.length(f"{p}_file").cast("long"), F.lit(-1)).alias(f"{p}_length") for p in ("pdf", "csv")]
+    lengths = [F.coalesce(f"{p}_length", F.lit(-1)).alias(f"{p}_length") for p in ("pdf", "csv")]
     return df.select(*DOCUMENT_KEY, F.col("updated_at"), *lengths)
 
 
@@ -368,20 +375,18 @@ def _payload_lengths(df):
 def doc_upsert(spark, sf):
     """Every cutoff without PDF is written; the bytes of a file are its name here."""
     waiting = m.documents_to_sync(_account_cutoffs(spark, sf), _flags(spark, sf), _files(spark, sf))
-    incoming = waiting.withColumn("pdf_file", F.col("file_name").cast("binary"))
-    return _payload_lengths(k.document_upsert(v.documents(spark, sf), incoming))
+    content = F.col("file_name").cast("binary")
+    incoming = waiting.withColumns({"pdf_hash": F.sha2(content, 256), "pdf_length": F.length(content).cast("long")})
+    return _payload_lengths(k.document_upsert(_stored_documents(spark, sf), incoming))
 
 
 def _arrived(spark, sf):
     """Files for the documents' accounts in all months, named after them; the content is the name."""
-    named = m.parse_document_names(_files(spark, sf))
-    return named.select(
-        *DOCUMENT_KEY,
-        F.col("file_name").cast("binary").alias("pdf_file"),
-        F.lit(None).cast("binary").alias("csv_file"),
-        F.col("file_name").alias("pdf_filename"),
-        F.lit(None).cast("string").alias("csv_filename"),
+    content = F.col("file_name").cast("binary")
+    kept = _files(spark, sf).select(
+        "file_name", F.sha2(content, 256).alias("content_hash"), F.length(content).cast("long").alias("content_length")
     )
+    return keyed_references({"pdf": kept})
 
 
 _PDFS = """pdfs AS (SELECT file_name, split_part(file_name, '_', 1) AS p, split_part(file_name, '_', 2) AS a
@@ -401,7 +406,7 @@ _PDFS = """pdfs AS (SELECT file_name, split_part(file_name, '_', 1) AS p, split_
     "ledger",
 )
 def doc_attach(spark, sf):
-    return _payload_lengths(k.document_attach(v.documents(spark, sf), _arrived(spark, sf), v.run_ts()))
+    return _payload_lengths(k.document_attach(_stored_documents(spark, sf), _arrived(spark, sf), v.run_ts()))
 
 
 @query(
@@ -417,7 +422,7 @@ def doc_attach(spark, sf):
 )
 def doc_unmatched(spark, sf):
     """Files of months that have no document yet: only documents of earlier years are stored."""
-    before = v.documents(spark, sf).filter(F.col("updated_at") < F.lit("2001-01-01").cast("timestamp"))
+    before = _stored_documents(spark, sf).filter(F.col("updated_at") < F.lit("2001-01-01").cast("timestamp"))
     return k.unmatched_files(before, _arrived(spark, sf)).select("cutoff_period", "account_number", "pdf_filename")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwise.contracts import ACCOUNT_CUTOFFS, CONCEPTS, DOCUMENTS, KINDS
+from ledgerwise.contracts import ACCOUNT_CUTOFFS, CONCEPTS, DOCUMENT_KEY, KINDS
 from ledgerwise.operators import manifests as m
 from ledgerwise.operators.calendar import refresh_account_cutoffs
 from ledgerwise.operators.enrich import enriched_table, export_rows, newest_first_in_slots, state_changes, sync_concepts
@@ -20,7 +20,13 @@ from ledgerwise.operators.joins import keyed_join
 from ledgerwise.operators.keyed import document_attach, document_upsert, loadable
 from ledgerwise.shared import job_folder, staged
 from ledgerwise.sources import store
-from ledgerwise.sources.documents import binary_files, keyed_payloads, with_stored_flags
+from ledgerwise.sources.documents import (
+    STORED_DOCUMENTS,
+    keep_payloads,
+    keyed_references,
+    newest_of_each_name,
+    with_stored_flags,
+)
 from ledgerwise.sources.files import (
     distinct_names,
     holds_columns,
@@ -42,10 +48,6 @@ from ledgerwise.sources.statements import (
 )
 from ledgerwise.sources.versions import current
 
-# stored documents hold their flags, so that plans over keys and flags never touch payloads
-STORED_DOCUMENTS = T.StructType(
-    [*DOCUMENTS.fields, T.StructField("has_pdf", T.BooleanType()), T.StructField("has_csv", T.BooleanType())]
-)
 # fixed values: table prefixes
 PREFIX = {"debit": "debito", "credit": "credito"}
 
@@ -208,7 +210,7 @@ def _rows_of_header(spark: SparkSession, manifest: DataFrame, header: list[str],
     cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
     schema = cells.add("line", T.StringType())
     reader = raw_reader(spark.read.format("csv"), schema, multi_line).option("columnNameOfCorruptRecord", "line")
-    lines = load_paths(reader, paths_of(files)).withColumn("file_path", F.col("_metadata.file_path"))
+    lines = load_paths(reader, paths_of(files), *schema.names, F.col("_metadata.file_path").alias("file_path"))
     named = [F.col(f"c{i}").alias(name) for i, name in enumerate(distinct_names(header))]
     return with_files(lines, files.drop("header")).select(*named, "line", "file_name", "file_date")
 
@@ -226,7 +228,7 @@ def plan_downloads(ledger: Ledger, days: DataFrame, as_of, run_ts: Column, rule:
 
 
 def sync_pdf_documents(ledger: Ledger, folder: str, only_if_files: bool = True) -> bool:
-    """Documents for all cutoffs without PDF, with the bytes of those whose file has arrived.
+    """Documents for all cutoffs without PDF, with a reference to the payload of those whose file has arrived.
 
     With ``only_if_files`` nothing is written as long as not one expected file is there; tells whether it wrote.
     """
@@ -237,63 +239,57 @@ def sync_pdf_documents(ledger: Ledger, folder: str, only_if_files: bool = True)
 def _sync_pdf_documents(ledger: Ledger, folder: str, only_if_files: bool) -> bool:
     spark = ledger.spark
     flags = m.document_flags(ledger.documents())
-    names = list_files(spark, folder, "*.pdf").select("file_name").distinct()
-    waiting = staged(m.documents_to_sync(ledger.cutoffs(), flags, names), "waiting")
-    if only_if_files and waiting.filter(F.col("file_name").isNotNull()).isEmpty():
+    listed = staged(newest_of_each_name(list_files(spark, folder, "*.pdf")), "pdf-files")
+    waiting = staged(m.documents_to_sync(ledger.cutoffs(), flags, listed), "waiting")
+    arrived = waiting.filter(F.col("file_name").isNotNull())
+    if only_if_files and arrived.isEmpty():
         return False
-    payloads = binary_files(spark, folder, "*.pdf").select("file_name", F.col("content").alias("pdf_file"))
-    incoming = staged(keyed_join(waiting, payloads, ["file_name"]).drop("file_name"), "documents")
+    kept = keep_payloads(spark, listed.join(arrived.select("file_name"), "file_name", "left_semi"), ledger.path("payloads"))
+    references = kept.select("file_name", F.col("content_hash").alias("pdf_hash"), F.col("content_length").alias("pdf_length"))
+    incoming = staged(keyed_join(waiting, references, ["file_name"]).drop("file_name"), "documents")
+    _merge_documents(ledger, incoming, lambda stored: document_upsert(stored, incoming))
+    return True
+
+
+def _merge_documents(ledger: Ledger, incoming: DataFrame, merge) -> None:
     store.merge_parts(
         incoming,
         ledger.path("documents"),
-        lambda stored: with_stored_flags(document_upsert(stored.select(*DOCUMENTS.names), incoming)),
+        lambda stored: with_stored_flags(merge(stored)),
         STORED_DOCUMENTS,
         store.PERIOD_OF_DOCUMENT,
     )
-    return True
 
 
 def attach_documents(ledger: Ledger, folder: str, as_of, run_ts: Column) -> DataFrame:
     """Create the open documents that are missing, attach every expected file that has arrived.
 
-    Returns the attached keys.
+    Returns the attached keys, which the ledger keeps (``attached``) until the next run but one.
     """
-    spark, path = ledger.spark, ledger.path("documents")
+    with job_folder(ledger.spark):
+        _attach_documents(ledger, folder, as_of, run_ts)
+    return store.read_table(ledger.spark, ledger.path("attached"), ATTACHED)
+
+
+ATTACHED = T.StructType([T.StructField(c, T.StringType()) for c in (*DOCUMENT_KEY, "filename", "filetype")])
+
+
+def _attach_documents(ledger: Ledger, folder: str, as_of, run_ts: Column) -> None:
+    spark = ledger.spark
     created = staged(missing_open(ledger, as_of), "open-documents")
-    store.merge_parts(
-        created,
-        path,
-        lambda stored: stored.unionByName(created, allowMissingColumns=True),
-        STORED_DOCUMENTS,
-        store.PERIOD_OF_DOCUMENT,
-    )
+    _merge_documents(ledger, created, lambda stored: stored.unionByName(created, allowMissingColumns=True))
     flags = m.document_flags(ledger.documents())
-    listing = list_files(spark, folder, "*").select("file_name").distinct()
-    wanted = staged(m.files_to_attach(flags, listing, as_of), "attach")
-    files = None
+    listed = staged(newest_of_each_name(list_files(spark, folder, "*")), "all-files")
+    wanted = staged(m.files_to_attach(flags, listed, as_of).select(*ATTACHED.names), "attach")
+    kept = {}
     for kind in ("csv", "pdf"):
         names = wanted.filter(F.col("filetype") == kind).select(F.col("filename").alias("file_name"))
-        found = binary_files(spark, folder, f"*.{kind}").join(names, "file_name", "left_semi")
-        part = keyed_payloads(found, kind)
-        files = part if files is None else _merge_payloads(files, part)
-    files = staged(files, "payloads")
-    store.merge_parts(
-        files,
-        path,
-        lambda stored: with_stored_flags(document_attach(stored.select(*DOCUMENTS.names), files, run_ts)),
-        STORED_DOCUMENTS,
-        store.PERIOD_OF_DOCUMENT,
-    )
-    return wanted
+        kept[kind] = keep_payloads(spark, listed.join(names, "file_name", "left_semi"), ledger.path("payloads"))
+    files = staged(keyed_references(kept), "references")
+    _merge_documents(ledger, files, lambda stored: document_attach(stored, files, run_ts))
+    store.replace_table(wanted, ledger.path("attached"))
 
 
 def missing_open(ledger: Ledger, as_of) -> DataFrame:
-    """Open documents that have to be created, with their flags."""
-    missing = m.missing_open_documents(ledger.documents(), as_of)
-    return missing.withColumns({"has_pdf": F.lit(False), "has_csv": F.lit(False)})
-
-
-def _merge_payloads(csv: DataFrame, pdf: DataFrame) -> DataFrame:
-    """One row per document that has a CSV, a PDF or both."""
-    key = ["cutoff_period", "account_number", "type"]
-    return csv.drop("pdf_file", "pdf_filename").join(pdf.drop("csv_file", "csv_filename"), key, "full")
+    """Open documents that have to be created."""
+    return m.missing_open_documents(ledger.documents(), as_of)

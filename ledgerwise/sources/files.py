@@ -6,6 +6,7 @@ The manifest is small next to the rows, but it grows with the number of files, s
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +63,16 @@ def paths_of(files: DataFrame) -> list[str]:
     return [row[0] for row in files.select("raw_path").distinct().collect()]
 
 
-def load_paths(reader: DataFrameReader, paths: list[str]) -> DataFrame:
-    """What ``reader`` finds in exactly these files (one at least); signs that patterns are made of stand for themselves."""
-    return reader.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths])
+# a reader is given so many paths at once
+PATHS_AT_ONCE = 10_000
+
+
+def load_paths(reader: DataFrameReader, paths: list[str], *columns: str | Column) -> DataFrame:
+    """``columns`` (``_metadata`` included) of what ``reader`` finds in exactly these files, one at least; signs that patterns
+    are made of stand for themselves."""
+    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths]
+    parts = [reader.load(plain[at : at + PATHS_AT_ONCE]).select(*columns) for at in range(0, len(plain), PATHS_AT_ONCE)]
+    return reduce(DataFrame.union, parts)
 
 
 # a cell of a line that begins with a comma: quoted, quotes inside doubled, or plain
@@ -89,8 +97,9 @@ def with_headers(files: DataFrame) -> DataFrame:
     paths, none = paths_of(files), F.array().cast("array<string>")
     if not paths:
         return files.withColumn("header", none)
-    lines = load_paths(spark.read.format("text"), paths).where(F.col("_metadata.file_block_start") == 0)
-    placed = lines.select(F.col("_metadata.file_path").alias("_path"), "value", F.monotonically_increasing_id().alias("place"))
+    start = F.col("_metadata.file_block_start").alias("start")
+    lines = load_paths(spark.read.format("text"), paths, F.col("_metadata.file_path").alias("_path"), "value", start)
+    placed = lines.where(F.col("start") == 0).withColumn("place", F.monotonically_increasing_id())
     first = placed.groupBy("_path").agg(F.min_by("value", "place").alias("line"))
     found = first.select("_path", cells_of(F.regexp_replace("line", "^\ufeff", "")).alias("header"))
     joined = files.join(found, F.col("file_path") == F.col("_path"), "left").drop("_path")

@@ -38,8 +38,8 @@ def raw_rows(spark: SparkSession, manifest: DataFrame, multi_line: bool = False)
     paths = paths_of(manifest)
     if not paths:
         return spark.createDataFrame([], T.StructType([*RAW.fields, T.StructField("file_path", T.StringType())]))
-    lines = load_paths(raw_reader(spark.read.format("csv"), RAW, multi_line), paths)
-    return lines.select(*RAW.names, F.col("_metadata.file_path").alias("file_path"))
+    path = F.col("_metadata.file_path").alias("file_path")
+    return load_paths(raw_reader(spark.read.format("csv"), RAW, multi_line), paths, *RAW.names, path)
 
 
 def with_files(raw: DataFrame, manifest: DataFrame) -> DataFrame:
