@@ -100,9 +100,9 @@ def newest_first_in_slots(df: DataFrame, month_rows: dict[str, int], slot_rows:
 
 
 def of_known_accounts(movements: DataFrame, accounts: DataFrame, kind: str) -> DataFrame:
-    """Movements whose account exists with the type of the table they came from."""
-    owners = accounts.filter(F.col("type") == kind).select(F.col("account_number").alias("cuenta"))
-    return keyed_join(movements, owners, ["cuenta"], "left_semi")
+    """Movements whose account exists with the type of the table they came from; one account may hold most of them."""
+    owners = accounts.filter(F.col("type") == kind).select(F.col("account_number").alias("cuenta")).distinct()
+    return salted_lookup(movements, owners, ["cuenta"], "left_semi")
 
 
 def ignored_movements(movements: DataFrame, accounts: DataFrame, kind: str) -> DataFrame:

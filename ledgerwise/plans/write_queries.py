@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerwise.contracts import MOVEMENT_KEY, MOVEMENTS
+from ledgerwise.operators import diff
 from ledgerwise.operators import enrich as en
 from ledgerwise.operators import keyed as k
 from ledgerwise.operators.calendar import cutoff_days
@@ -13,7 +14,7 @@ from ledgerwise.plans import views as v
 from ledgerwise.plans import workflows
 from ledgerwise.plans.registry import query
 from ledgerwise.shared import new_path
-from ledgerwise.sources import store
+from ledgerwise.sources import store, versions
 from ledgerwise.sources.statements import concat_files, normalize_columns
 
 _OUT = """fecha::VARCHAR AS fecha, unique_concept, cargo::DOUBLE AS cargo, abono::DOUBLE AS abono, file_name, estado,
@@ -199,6 +200,40 @@ def rejects(spark, sf):
     return good.unionByName(k.rejected(blanked)).select(*_COLUMNS, "missing")
 
 
+# --- versions of a stored table ---------------------------------------------------------------------------------------
+def _two_versions(spark, sf):
+    """A stored table, before and after a load of one month that gives some of its movements another account."""
+    path = new_path(spark, "versions")
+    store.overwrite_parts(v.movements(spark, sf), path)
+    before, content = store.read_parts(spark, path, keep_part=True), versions.current(spark, path)
+    moved = v.movements(spark, sf).filter((F.col("period") == "2000-03") & (F.col("estado") == "cerrado"))
+    store.upsert_movements(moved.withColumn("cuenta", F.concat(F.lit("x"), F.col("cuenta"))), path)
+    assert store.changed_parts(spark, path, content) == ["2000-03"]
+    return before, store.read_parts(spark, path, keep_part=True)
+
+
+@query(
+    """, marked AS (SELECT fecha::VARCHAR AS fecha, unique_concept, cuenta, period FROM movements)
+       SELECT fecha, unique_concept, cuenta, 'removed' AS change FROM marked WHERE period = '2000-03'
+       UNION ALL SELECT fecha, unique_concept, 'x' || cuenta, 'added' FROM marked WHERE period = '2000-03'""",
+    "movements",
+)
+def diff_by_digest(spark, sf):
+    """Changed rows between two versions of a stored table, of which one month differs."""
+    before, after = _two_versions(spark, sf)
+    return diff.row_changes_by_digest(before, after, "part").select("fecha", "unique_concept", "cuenta", "change")
+
+
+@query("""SELECT false AS changed_equal, true AS same_equal FROM (SELECT count(*) AS n FROM orders) WHERE n > 0""")
+def datasets_by_digest(spark, sf):
+    """Do two versions hold the same rows?  Digests tell; also of a table and its rows in another order."""
+    before, after = _two_versions(spark, sf)
+    turned = before.repartition(3, "unique_concept")
+    changed = diff.same_content_by_digest(before, after, "part").withColumnRenamed("equal", "changed_equal")
+    same = diff.same_content_by_digest(before, turned, "part").withColumnRenamed("equal", "same_equal")
+    return changed.withColumn("k", F.lit(1)).join(same.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 # --- edits and referential actions -----------------------------------------------------------------------------------
 _CONCEPT_KEY = "fecha::VARCHAR AS fecha, unique_concept, cargo::DOUBLE AS cargo, abono::DOUBLE AS abono"
 _CONCEPT_OUT = ("fecha", "unique_concept", "cargo", "abono", "category_group", "category_subgroup", "beneficiario")

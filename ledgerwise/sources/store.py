@@ -48,17 +48,26 @@ def read_parts(
     schema: T.StructType = MOVEMENTS,
     only: Sequence[str] | None = None,
     since: str | None = None,
+    keep_part: bool = False,
 ) -> DataFrame:
     """Partitioned table without the storage column: all of it, the named partitions, or those from one on.
 
     A report over the last months asks for ``since`` the first of them; the scan then lists no earlier folder.
+    ``keep_part`` leaves the storage column in, for filters that are to skip folders.
     """
     stored = versions.read(spark, path, schema, only, since)
     if stored is None:
-        return spark.createDataFrame([], schema)
+        whole = T.StructType([*schema.fields, T.StructField(PART, T.StringType())]) if keep_part else schema
+        return spark.createDataFrame([], whole)
     if since is not None:
         stored = stored.filter(F.col(PART) >= since)
-    return stored.drop(PART)
+    return stored if keep_part else stored.drop(PART)
+
+
+def changed_parts(spark: SparkSession, path: str, since: versions.Content) -> list[str]:
+    """Partitions that have been written since an earlier content of the table; nothing is read but the pointer."""
+    now = versions.current(spark, path).parts
+    return sorted(versions.part_name(f) for f in {*now, *since.parts} if now.get(f) != since.parts.get(f))
 
 
 def rows_of_parts(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:

@@ -134,6 +134,24 @@ def test_counters_of_an_upsert(spark, table):
     assert store.upsert_movements(load.filter("false"), table) == {"inserted": 0, "updated": 0, "untouched": 0}
 
 
+def test_digests_find_the_changes_of_whole_comparisons(spark, rows, table):
+    from ledgerwise.operators import diff
+
+    more = [movement("2024-03-01", str(n), cargo="1.00") for n in range(200)] + [movement("2024-05-01", "a")] * 2
+    store.upsert_movements(movements(spark, *more, movement("2024-04-01", "2")), table)
+    before = store.read_parts(spark, table, keep_part=True)
+    twice = before.unionByName(before.filter("unique_concept = '7'"))
+    store.upsert_movements(movements(spark, movement("2024-03-01", "7", cargo="1.00", cuenta="new"), movement("2024-03-09", "b")), table)
+    after = store.read_parts(spark, table, keep_part=True)
+    plain = lambda df: df.drop("part")
+    for a, b in ((before, after), (after, before), (before, before), (before, twice), (before.filter("false"), after)):
+        assert rows(diff.row_changes_by_digest(a, b, "part")) == rows(diff.row_changes(plain(a), plain(b)))
+        assert rows(diff.same_content_by_digest(a, b, "part")) == rows(diff.same_content(plain(a), plain(b)))
+    again = diff.row_changes_by_digest(before, after, "part")
+    pruned = re.findall(r"PartitionFilters: \[part#\d+ IN \((.*?)\)|PartitionFilters: \[(.*?)\]", plan_of(again))
+    assert len(pruned) == 2 and all("2024-03" in str(p) and "2024-04" not in str(p) for p in pruned)
+
+
 # --- loads -----------------------------------------------------------------------------------------------------------
 def test_counters_of_a_load_and_no_staged_folders(spark, rows, accounts, tmp_path):
     closed, opened = str(tmp_path / "closed"), str(tmp_path / "open")
