@@ -111,7 +111,7 @@ def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; learned outside fold 1 of 3."""
     docs = documents(spark, sf_dir)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    train = docs.join(labels.where(fold(F.col("doc_id"), 3) != 1), "doc_id")
+    train = toxicity.training_rows(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
     made = toxicity.scored(docs, toxicity.fit(train), keep=["doc_id"])
     return made.select(
         "doc_id",

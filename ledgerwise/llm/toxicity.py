@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwise.llm.common import per_batch, sampled, worker_memory
+from ledgerwise.shared import staged
 
 #: Subsequences of so many letters count; each letter that they span costs the factor ``DECAY``.
 ORDER, DECAY = 3, 0.8
 #: Words longer than ``WINDOW`` are compared in windows that overlap by half.
 WINDOW = 32
 #: Words whose best similarity is below this are like no landmark.
-LEAST = 0.25
+LEAST = 0.45
+#: Landmarks are words and beginnings of words of so many letters; a word is compared whole and by its beginnings, which
+#: may be up to ``INSERTED`` letters longer than the landmark.
+SHORTEST, LONGEST, INSERTED = 4, 9, 3
+#: How many landmarks are expected by chance among those chosen.
+BY_CHANCE = 1.0
 #: Similarities are taken to this power (a polynomial of a kernel is a kernel), so that chance likeness counts little.
 DEGREE = 2
 #: A toxic document teaches only if some word of it is as like a landmark as this: labels are not always right.
@@ -61,8 +67,8 @@ def _pieces(word: str) -> list[str]:
 def _table(words: list[str], width: int, fill: int) -> np.ndarray:
     """Code points, a row a word; ``fill`` beyond the end."""
     out = np.full((len(words), width), fill, np.int32)
-    for i, word in enumerate(words):
-        out[i, : len(word)] = [ord(c) for c in word]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    out[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
     return out
 
 
@@ -129,18 +135,82 @@ def _chunked(left: np.ndarray, right: np.ndarray, size: int = 8192) -> np.ndarra
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
+def letters_needed(landmark: str) -> int:
+    """How many of a landmark's letters a word must have for a similarity of ``LEAST``.
+
+    Only subsequences of letters that both have are shared, so the similarity is at most the norm of the landmark's own ones
+    of these letters over the norm of all: the smallest number for which the best choice of letters gets there.  Long
+    landmarks have too many choices; three letters are needed in any case.
+    """
+    n = len(landmark)
+    if n > 12:
+        return ORDER
+    masks = [m for m in range(1 << n) if m.bit_count() >= ORDER]
+    left = np.array([[ord(c) if m >> i & 1 else -3 - i for i, c in enumerate(landmark)] for m in masks], np.int32)
+    right = np.where(left < 0, left - 100, left)
+    norms = np.sqrt(np.maximum(subsequence_kernel(left, right), 0))
+    size = np.array([m.bit_count() for m in masks])
+    reached = [k for k in range(ORDER, n + 1) if norms[size == k].max() >= LEAST * norms[-1] * (1 - 1e-5)]
+    return reached[0]
+
+
+def nearness(words: list[str], landmarks: list[str], needed: list[int] | None = None) -> np.ndarray:
+    """Best similarity of each word with each landmark, of the word whole or of a beginning of about the landmark's length;
+    0 where it is below ``LEAST``.  Pairs that share too few letters to get there are not computed."""
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    needed = np.array(needed or [letters_needed(m) for m in landmarks], np.int32)
+    sizes = np.array([len(m) for m in landmarks])
+    marks = _table(landmarks, max(map(len, landmarks), default=1), -2)
+    own = _norms(_table(landmarks, marks.shape[1], -1))
+    mark_counts = _counts(marks)
+    pieces = [(i, p, k == 0) for i, w in enumerate(words) for view in _views(w) for k, p in enumerate(_pieces(view))]
+    for low, high in ((ORDER - 1, 8), (8, 12), (12, 20), (20, WINDOW)):
+        group = [x for x in pieces if low < len(x[1]) <= high]
+        for at in range(0, len(group), 50_000):
+            part = group[at : at + 50_000]
+            owner, first = np.array([x[0] for x in part]), np.array([x[2] for x in part])
+            table, length = _table([x[1] for x in part], high, -1), np.array([len(x[1]) for x in part])
+            counts = _counts(table)
+            shared = np.stack([np.minimum(counts[:, m > 0], m[m > 0]).sum(1, dtype=np.int32) for m in mark_counts], 1)
+            rows, columns = np.nonzero(shared >= needed)
+            used, where = np.unique(rows, return_inverse=True)
+            values = _chunked(table[rows], marks[columns]) / _norms(table[used])[where] / own[columns]
+            np.maximum.at(out, (owner[rows], columns), values)
+            for more in range(INSERTED + 1):  # beginnings
+                size = sizes[columns] + more
+                pairs = np.flatnonzero(first[rows] & (size < length[rows]))
+                held = table[rows[pairs], : int(size.max(initial=0))]
+                held = np.where(np.arange(held.shape[1]) < size[pairs, None], held, -1)
+                there = (held[:, :, None] == marks[columns[pairs], None, :]).any(1).sum(1)
+                enough = there >= needed[columns[pairs]]
+                pairs, held = pairs[enough], held[enough]
+                values = _chunked(held, marks[columns[pairs]]) / _norms(held) / own[columns[pairs]]
+                np.maximum.at(out, (owner[rows[pairs]], columns[pairs]), values)
+    out[out < LEAST] = 0
+    return out
+
+
+def _norms(table: np.ndarray) -> np.ndarray:
+    """Norm of each row of code points (padded with -1) in the space of the kernel."""
+    return np.sqrt(np.maximum(_chunked(table, np.where(table < 0, -2, table)), 1e-12))
+
+
 class Memory:
     """Rows of similarities of the words a worker has seen; None for words that are like no landmark."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks, self.known = landmarks, {}
+        self.needed = [letters_needed(m) for m in landmarks]
 
     def learn(self, words: set) -> None:
         fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known, fresh = {}, list(words)
-        for word, row in zip(fresh, similarities([letters(w) for w in fresh], self.landmarks)):
-            self.known[word] = row**DEGREE if row.max(initial=0) >= LEAST else None
+        found = nearness([letters(w) for w in fresh], self.landmarks, self.needed)
+        hits = found.any(1)
+        self.known.update(dict.fromkeys(fresh))
+        for i in np.flatnonzero(hits).tolist():
+            self.known[fresh[i]] = found[i] ** DEGREE
 
 
 def sentence_rows(texts: list, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
@@ -160,28 +230,67 @@ def sentence_rows(texts: list, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
     return np.array(docs, int), np.concatenate(rows) if rows else np.zeros((0, len(memory.landmarks)), np.float32)
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = 24) -> list[str]:
-    """Words that tell toxic documents from others, by the chi-square of the number of their distinct surroundings (the words
-    before and after), so that what copies of a document repeat counts once."""
-    counts, sizes = [Counter(), Counter()], [1, 1]
-    for text, label in zip(texts, toxic):
-        words = [letters(w) for w in words_of(text)]
-        counts[int(label)].update(words)
-        sizes[int(label)] += len(words)
-    often = lambda w: counts[1][w] / sizes[1] > 2 * counts[0][w] / sizes[0]
-    likely = {w for w, n in counts[1].items() if n >= 3 and len(w) >= ORDER and often(w)}
-    seen: list[set] = [set(), set()]
+def _log_chance(hits: int, total: int, share: float) -> float:
+    """Upper bound of the logarithm of the chance that ``hits`` or more of ``total`` fall to a class of ``share`` (Chernoff)."""
+    part = hits / total
+    if part <= share:
+        return 0.0
+    rest = (1 - part) * math.log((1 - part) / (1 - share)) if part < 1 else 0.0
+    return -total * (part * math.log(part / share) + rest)
+
+
+def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
+    """Words and beginnings of words that stand in toxic documents too often for chance.
+
+    What counts is the number of distinct surroundings (the words before and after), so that what copies of a document
+    repeat counts once.  Each is tested against the share of surroundings that toxic documents have; the test is corrected for
+    the number of different ones, and no more than ``BY_CHANCE`` are expected to pass by chance.  The strongest comes first; one
+    that begins with another, or the other way round, is left out.  Their number is what the labels support.
+    """
+    around: dict[str, set] = {}
+    sides: list[set] = [set(), set()]
     for text, label in zip(texts, toxic):
         words = ["", *(letters(w) for w in words_of(text)), ""]
-        seen[int(label)].update(tuple(words[i - 1 : i + 2]) for i, w in enumerate(words) if w in likely)
-    around = [Counter(w for _, w, _ in s) for s in seen]
-    scores = {}
-    for word, n in around[1].items():
-        a, b = n / sizes[1], (around[0][word] + 0.5) / sizes[0]
-        if n >= 3 and a > 4 * b:
-            scores[word] = (a - b) ** 2 / b
-    best = sorted(scores, key=lambda w: (-scores[w], w))[:most]
-    return [w for w in best if scores[w] >= 0.1 * scores[best[0]]]
+        places = {(before, word, after): hash((before, word, after, int(label))) for before, word, after in zip(words, words[1:], words[2:])}
+        sides[int(label)].update(places.values())
+        for (_, word, _), place in places.items():
+            if len(word) >= ORDER:
+                around.setdefault(word, set()).add((place, int(label)))
+    share = len(sides[1]) / max(1, len(sides[0]) + len(sides[1]))
+    counts = {word: [sum(side == k for _, side in found) for k in (0, 1)] for word, found in around.items()}
+    begins: dict[str, list[int]] = {}
+    for word, (clean, bad) in counts.items():
+        for n in range(SHORTEST, min(len(word), LONGEST)):
+            held = begins.setdefault(word[:n], [0, 0])
+            held[0] += clean
+            held[1] += bad
+    tested: dict[tuple, str] = {}
+    odds = len(sides[1]) / max(1, len(sides[0]))
+    for name, held in sorted({**begins, **{w: h for w, h in counts.items() if w not in begins}}.items(), key=lambda x: -len(x[0])):
+        if held[1] >= 3 and held[1] > 4 * odds * held[0]:
+            tested.setdefault((name[:SHORTEST], *held), name)  # a beginning that is in the same places is no new trial
+    scored = sorted((_log_chance(bad, clean + bad, share), -len(name), name) for (_, clean, bad), name in tested.items())
+    chosen: list[str] = []
+    for chance, _, name in scored:
+        if chance > math.log(BY_CHANCE / len(scored)):
+            break
+        if not any(name.startswith(c) or c.startswith(name) for c in chosen):
+            chosen.append(name)
+    return chosen
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 200_000) -> DataFrame:
+    """``doc_id, text, label`` of about ``per_class`` labelled documents of each label, of at most ``longest`` characters; written.
+
+    Ids are chosen first, by a hash, and only their texts are read on; no text is shuffled.  Several labels of one id:
+    toxic if one says so.  Labels without id, and ids without document, teach nothing.
+    """
+    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = staged(known, "known-labels")
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ids = staged(sampled(known, F.col("label"), counts, per_class), "chosen-ids")
+    short = docs.select("doc_id", "text").where(F.length("text") <= longest)
+    return staged(short.join(F.broadcast(ids), "doc_id"), "training")  # ids of about twice per_class documents
 
 
 def fit(train: DataFrame, per_class: int = 2000, rounds: int = 3) -> dict:
