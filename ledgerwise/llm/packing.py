@@ -21,7 +21,6 @@ from ledgerwise.shared import staged
 END_ID = 0
 PIECES = T.StructType(
     [
-        T.StructField("doc_id", T.LongType()),
         T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
@@ -77,8 +76,9 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, doc_id
     A document's ids are those of its whole text and then ``END_ID``; null is an empty text.  Only documents longer than
     ``capacity`` are cut.
     """
-    made = encoder(path)
-    target = to_arrow_schema(PIECES)
+    made, source = encoder(path), docs.select(F.col(doc_id).alias("doc_id"), "text")
+    schema = T.StructType([source.schema["doc_id"], *PIECES.fields])
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = made().encode
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, doc_id
             arrays = [pa.array(c, f.type) for c, f in zip(columns, target)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return in_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), "text"), run, PIECES)
+    return in_batches(source, run, schema)
 
 
 def place(pieces: DataFrame, capacity: int, bins: int) -> DataFrame:
@@ -116,14 +116,15 @@ def pack(
 ) -> DataFrame:
     """Every piece of ``docs(doc_id, text)`` with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Pieces are written once, dealt evenly by a hash, and given to each task's packer longest first, so that short ones
-    fill what long ones leave.  ``bins`` bounds a packer's memory, ``per_task`` its rows: the number of tasks follows from
-    the number of pieces, and all that is lost by packing apart is what a task's last bins leave.  Dealing and order
-    depend on the rows alone, so a retried task packs the same way.  Repeated rows are packed as often as they occur.
+    Pieces are written once with a hash of their place, by which they are dealt evenly and come to each task's packer in no
+    order of length: bins are closed when full, not when only long pieces have been seen.  ``bins`` bounds a packer's
+    memory, ``per_task`` its rows: the number of tasks follows from the number of pieces, and all that is lost by packing
+    apart is what a task's last bins leave.  The hash is stored, so a retried task packs the same way, and rows that repeat
+    are dealt apart.  Repeated rows are packed as often as they occur.
     """
-    pieces = staged(token_pieces(docs, capacity, path), "pieces")
+    made = token_pieces(docs, capacity, path).withColumn("turn", F.xxhash64(F.monotonically_increasing_id()))
+    pieces = staged(made, "pieces")
     tasks = max(1, -(-pieces.count() // per_task))
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32"))
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return place(ordered, capacity, bins)
+    ordered = pieces.repartition(tasks, "turn").sortWithinPartitions("turn")
+    return place(ordered, capacity, bins).drop("turn")
 

@@ -27,6 +27,9 @@ _KIND[48:58] = _DIGIT
 _KIND[97:123] = _LETTER
 _KIND[128:] = _LETTER
 _CODE = np.arange(1, 257, dtype=np.uint64)
+SHORT = 7
+_LONG = np.uint64(255 << 56)
+_LOW = [np.uint64((1 << 8 * n) - 1) for n in range(SHORT + 1)]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,8 +49,9 @@ class Encoder:
     """``ids`` of a text are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Made for a byte-level tokenizer that lower-cases, drops white space and cuts a text into runs of letters, single
-    digits and runs of other signs (``word_bpe_49k.json``).  Pieces are told apart by a 64-bit hash, and each distinct
-    one is given to the tokenizer once.
+    digits and runs of other signs (``word_bpe_49k.json``).  Each distinct piece is given to the tokenizer once.  Pieces of up
+    to ``SHORT`` bytes are known by these bytes; longer ones are looked up by a hash and then compared byte by byte with the one
+    that is remembered, so two pieces with one hash cannot take each other's ids: their block goes to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -62,6 +66,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slots: dict[int, int] = {}
+        self.long: dict[int, bytes] = {}
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, "<u4"), 0
 
@@ -102,12 +107,15 @@ class Encoder:
         starts, ends = edges[real], ends[real]
         if not len(starts):
             return
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(_CODE[raw] * self.power[: len(raw)])))
-        hashes = (sums[ends] - sums[starts]) * self.inverse[starts]
-        hashes ^= (ends - starts).astype(np.uint64) << np.uint64(48)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = self._keys(raw, starts, ends)
+        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.slots) + len(distinct) > REMEMBERED:
             self._forget()
+        if not self._same_bytes(joined, raw, starts, ends, distinct, first, which):
+            for row, part in waiting:
+                ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+                out[row].append(np.array(ids, "<u4").tobytes())
+            return
         slots = list(map(self.slots.get, distinct.tolist()))
         if None in slots:
             missing = [i for i, slot in enumerate(slots) if slot is None]
@@ -125,6 +133,39 @@ class Encoder:
         for (row, _), a, b in zip(waiting, [0, *cuts[:-1].tolist()], cuts.tolist()):
             out[row].append(ids[a:b])
 
+    def _keys(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes of short pieces with their number in the highest byte; of long ones a hash, that byte being 255."""
+        lengths = ends - starts
+        padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]).view("<u8")[:, 0]
+        short = np.minimum(lengths, SHORT)
+        keys = (words & np.array(_LOW)[short]) | (short.astype(np.uint64) << np.uint64(56))
+        long = np.flatnonzero(lengths > SHORT)
+        if len(long):
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(_CODE[raw] * self.power[: len(raw)])))
+            hashes = (sums[ends[long]] - sums[starts[long]]) * self.inverse[starts[long]]
+            hashes ^= (hashes >> np.uint64(29)) ^ (lengths[long].astype(np.uint64) << np.uint64(40))
+            keys[long] = hashes | _LONG
+        return keys
+
+    def _same_bytes(self, joined, raw, starts, ends, distinct, first, which) -> bool:
+        """Do all long pieces of a key have the bytes of the first one here, and of the one that is remembered?"""
+        of_long = np.flatnonzero(distinct >= _LONG)
+        if not len(of_long):
+            return True
+        long = np.flatnonzero(which >= of_long[0])  # sorted: the long ones come last
+        model = first[which[long]]
+        lengths = ends[long] - starts[long]
+        if not np.array_equal(lengths, ends[model] - starts[model]):
+            return False
+        again = np.flatnonzero(model != long)
+        inner = np.arange(lengths[again].sum()) - np.repeat(np.cumsum(lengths[again]) - lengths[again], lengths[again])
+        here, there = (np.repeat(x[again], lengths[again]) + inner for x in (starts[long], starts[model]))
+        if not np.array_equal(raw[here], raw[there]):
+            return False
+        bounds = zip(starts[first[of_long]].tolist(), ends[first[of_long]].tolist())
+        return all(self.long.setdefault(k, joined[a:b]) == joined[a:b] for k, (a, b) in zip(distinct[of_long].tolist(), bounds))
+
     def _learn(self, keys: list[int], pieces: list[bytes]) -> range:
         tokenize, letter = self.tokenizer.model.tokenize, self.letters.__getitem__
         spelled = [p.decode() if p.isalpha() else "".join(map(letter, p)) for p in pieces]

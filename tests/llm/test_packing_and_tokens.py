@@ -29,6 +29,57 @@ def test_ids_are_the_tokenizers(reference, real):
         assert np.frombuffer(ids, "<u4").tolist() == reference(text)
 
 
+def test_pieces_of_one_hash_keep_their_own_ids(reference):
+    """Words for which any polynomial hash modulo a power of two is the same, met together, apart, and after forgetting."""
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    texts = [f"{one} {other}", other, f"x {one}", f"{other} and {one} {one}", "short words only"]
+    for order in (texts, texts[::-1]):
+        encoder = Encoder(tokenizer_path())
+        for text in order:
+            assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference(text)
+        encoder._forget()
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(order)] == list(map(reference, order))
+
+
+def test_a_collision_is_seen_and_made_good(reference, monkeypatch):
+    """Long pieces that all have one key."""
+    encoder, keys = Encoder(tokenizer_path()), Encoder._keys
+
+    def colliding(self, raw, starts, ends):
+        found = keys(self, raw, starts, ends)
+        found[ends - starts > 7] = np.uint64(255 << 56) + np.uint64(5)
+        return found
+
+    monkeypatch.setattr(Encoder, "_keys", colliding)
+    texts = ["the conversation went on", "conversation", "the constitution of it", "constitution conversation", "constitution"]
+    for text in texts * 2:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference(text)
+
+
+def test_fill_holds_for_many_pieces(spark, real):
+    """Far more pieces than there are open bins."""
+    lengths = [r["length"] for r in packing.token_pieces(real[0], 2048).select("length").collect()]
+    many = 300_000
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.choice(lengths)) for i in range(many)], "id long, length long").repartition(1)
+    total = df.groupBy().sum("length").first()[0]
+    placed = packing.place(df.selectExpr("*", "xxhash64(id) as turn").sortWithinPartitions("turn"), 2048, 1024)
+    sequences, widest = placed.groupBy("sequence_id").sum("length").selectExpr("count(*)", "max(`sum(length)`)").first()
+    assert widest <= 2048 and total / (sequences * 2048) >= 0.985
+
+
+def test_repeated_rows_are_dealt_apart_and_text_ids_stay(spark, reference):
+    text = "one text that is there many times"
+    docs = spark.createDataFrame([("same id", text)] * 400, "doc_id string, text string").repartition(2)
+    rows = packing.pack(docs, 64, per_task=50).collect()
+    assert {r["doc_id"] for r in rows} == {"same id"} and len(rows) == 400
+    check_packing(rows, [("same id", text)] * 400, reference, 64)
+    tasks = {r["sequence_id"] // packing.IDS_PER_TASK for r in rows}
+    assert len(tasks) >= 6
+
+
 def check_packing(rows, texts, reference, capacity):
     want = {}
     for key, text in texts:
