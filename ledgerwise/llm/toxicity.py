@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +29,7 @@ BY_CHANCE = 1.0
 DEGREE = 2
 #: A toxic document teaches only if some word of it is as like a landmark as this: labels are not always right.
 WITNESS = 0.6
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Characters fall into so many buckets by their code points when common ones are counted; ASCII has one each.
 BUCKETS = 128
 
@@ -85,7 +85,10 @@ def subsequence_kernel(left: np.ndarray, right: np.ndarray, order: int = ORDER,
         match = (left[:, j : j + 1] == right) * square
         for i in range(order - 1, -1, -1):
             # subsequences of i letters that end before this letter on both sides
-            before = prefixes[i] if i == 0 else np.pad(prefixes[i][:, :-1], ((0, 0), (1, 0)))
+            before = prefixes[i]
+            if i:
+                before = np.zeros_like(before)
+                before[:, 1:] = prefixes[i][:, :-1]
             step = match * before
             if i == order - 1:
                 total += step.sum(1)
@@ -155,14 +158,13 @@ def letters_needed(landmark: str) -> int:
 
 
 def nearness(words: list[str], landmarks: list[str], needed: list[int] | None = None) -> np.ndarray:
-    """Best similarity of each word with each landmark, of the word whole or of a beginning of about the landmark's length;
-    0 where it is below ``LEAST``.  Pairs that share too few letters to get there are not computed."""
+    """Best similarity of each word with each landmark, of the word whole, if it is at most twice as long, or of a beginning of
+    about the landmark's length; 0 where it is below ``LEAST``, or where fewer letters than are needed to get there are in
+    common in order."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    needed = np.array(needed or [letters_needed(m) for m in landmarks], np.int32)
-    sizes = np.array([len(m) for m in landmarks])
+    needed = needed or [letters_needed(m) for m in landmarks]
     marks = _table(landmarks, max(map(len, landmarks), default=1), -2)
     own = _norms(_table(landmarks, marks.shape[1], -1))
-    mark_counts = _counts(marks)
     pieces = [(i, p, k == 0) for i, w in enumerate(words) for view in _views(w) for k, p in enumerate(_pieces(view))]
     for low, high in ((ORDER - 1, 8), (8, 12), (12, 20), (20, WINDOW)):
         group = [x for x in pieces if low < len(x[1]) <= high]
@@ -170,26 +172,37 @@ def nearness(words: list[str], landmarks: list[str], needed: list[int] | None =
             part = group[at : at + 50_000]
             owner, first = np.array([x[0] for x in part]), np.array([x[2] for x in part])
             table, length = _table([x[1] for x in part], high, -1), np.array([len(x[1]) for x in part])
-            counts = _counts(table)
-            shared = np.stack([np.minimum(counts[:, m > 0], m[m > 0]).sum(1, dtype=np.int32) for m in mark_counts], 1)
-            rows, columns = np.nonzero(shared >= needed)
-            used, where = np.unique(rows, return_inverse=True)
-            values = _chunked(table[rows], marks[columns]) / _norms(table[used])[where] / own[columns]
-            np.maximum.at(out, (owner[rows], columns), values)
-            for more in range(INSERTED + 1):  # beginnings
-                size = sizes[columns] + more
-                pairs = np.flatnonzero(first[rows] & (size < length[rows]))
-                held = table[rows[pairs], : int(size.max(initial=0))]
-                held = np.where(np.arange(held.shape[1]) < size[pairs, None], held, -1)
-                there = (held[:, :, None] == marks[columns[pairs], None, :]).any(1).sum(1)
-                enough = there >= needed[columns[pairs]]
-                pairs, held = pairs[enough], held[enough]
-                values = _chunked(held, marks[columns[pairs]]) / _norms(held) / own[columns[pairs]]
-                np.maximum.at(out, (owner[rows[pairs]], columns[pairs]), values)
+            for mark, landmark in enumerate(landmarks):
+                for size, lcs in _common(table, landmark):
+                    if size is None:
+                        rows = np.flatnonzero((lcs >= needed[mark]) & (length <= 2 * len(landmark) + 1))
+                        held = table[rows]
+                    else:
+                        rows = np.flatnonzero((lcs >= needed[mark]) & first & (length > size))
+                        held = table[rows, :size]
+                    if len(rows):
+                        values = _chunked(held, np.broadcast_to(marks[mark], (len(rows), marks.shape[1]))) / _norms(held) / own[mark]
+                        np.maximum.at(out[:, mark], owner[rows], values)
     out[out < LEAST] = 0
     return out
 
 
+def _common(table: np.ndarray, landmark: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Length of the longest common subsequence of a landmark with a beginning of each row of code points, for beginnings of
+    the landmark's length and up to ``INSERTED`` more, and last (None) with the whole row; bit-parallel, all rows at once."""
+    n = min(len(landmark), 63)
+    row = np.full(len(table), (1 << n) - 1, np.uint64)
+    for place in range(table.shape[1]):
+        hits, signs = np.zeros(len(table), np.uint64), table[:, place]
+        for i, sign in enumerate(landmark[:n]):
+            hits |= (signs == ord(sign)).astype(np.uint64) << np.uint64(i)
+        hits &= row
+        row = ((row + hits) | (row - hits)) & np.uint64((1 << n) - 1)
+        if len(landmark) <= place + 1 <= len(landmark) + INSERTED:
+            yield place + 1, n - np.bitwise_count(row).astype(np.int64)
+    yield None, n - np.bitwise_count(row).astype(np.int64)
+
+
 def _norms(table: np.ndarray) -> np.ndarray:
     """Norm of each row of code points (padded with -1) in the space of the kernel."""
     return np.sqrt(np.maximum(_chunked(table, np.where(table < 0, -2, table)), 1e-12))
