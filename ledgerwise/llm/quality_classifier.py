@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.llm.text_stats import share
+from ledgerwise.shared import staged
 
 #: A rule: (feature, "<=" or ">", threshold) conditions that must all hold.
 Rule = tuple[tuple[str, str, float], ...]
@@ -63,6 +64,7 @@ def fit(train: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 2e-3,
     """
     named = features()
     rows = train.where("label in (0, 1)").select(F.col("label").cast("double"), *(v.alias(n) for n, v in named.items()))
+    rows = staged(rows, "rule-training")  # every level of the trees and every step of the weights reads them
     total, good = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if good in (0, total):
         return {"intercept": float(_log_odds((good + 1) / (total + 2))), "rules": []}
@@ -73,7 +75,8 @@ def fit(train: DataFrame, trees: int = 12, depth: int = 3, lasso: float = 2e-3,
         return {"intercept": float(_log_odds(good / total)), "rules": []}
     marks = rows.select("label", *(condition(r).cast("double").alias(f"rule{i}") for i, r in enumerate(rules)))
     marked = VectorAssembler(inputCols=[f"rule{i}" for i in range(len(rules))], outputCol="features").transform(marks)
-    model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=60).fit(marked.select("label", "features"))
+    marked = staged(marked.select("label", "features"), "rule-marks")
+    model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=60).fit(marked)
     kept = [(float(w), r) for w, r in zip(model.coefficients.toArray(), rules) if w]
     return {"intercept": float(model.intercept), "rules": kept}
 
