@@ -224,20 +224,23 @@ def scored(
     least_share: float = 1e-5,
     least_gain: float = 10.0,
     block_bytes: int = BLOCK_BYTES,
+    row_key: str | None = None,
 ) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs(doc_id, text)``.
 
-    ``train``: which rows the models learn from.  Documents are dealt into blocks of about ``block_bytes`` by a hash.  Words
+    ``train``: which rows the models learn from.  Documents are dealt into blocks of about ``block_bytes`` by a hash of the
+    column ``row_key``, which must be the same whenever ``docs`` is read (a file's path and the row's place in it); without
+    it, of id and text, and rows that repeat share a block.  Words
     are counted within blocks and then summed; each block gets back the counts of its own words, so that no task holds
     the vocabulary.  The tree's next-byte counts are gathered likewise; what is left after the divergence tests is bounded
     and goes to every task.  Null and empty texts are one end; without training rows all counts are zero and the tree is
     its uniform root.  Repeated rows are scored, and learned from, as often as they occur.
     """
-    docs = docs.select(F.col("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    place = F.xxhash64(row_key) if row_key else F.xxhash64("doc_id", "text")
+    docs = docs.select(F.col("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"), place.alias("place"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(count)).cast("int")
-    blocks = docs.withColumn("block", block)
+    blocks = docs.withColumn("block", F.pmod("place", F.lit(count)).cast("int")).drop("place")
     words = staged(gather_words(blocks), "gathered")
     totals = staged(words.groupBy("word").agg(F.sum("n").alias("total")), "words")
     texts = docs.agg(F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()[0]
