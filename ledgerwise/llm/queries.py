@@ -93,7 +93,9 @@ def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and suffix-tree scores of all documents; learned outside fold 2 of 7."""
-    made = suffix_tree.scored(documents(spark, sf_dir), fold(F.col("doc_id"), 7) != 2)
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", place)
+    made = suffix_tree.scored(docs, fold(F.col("doc_id"), 7) != 2, row_key="row_key")
     wanted = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return made.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), *wanted)
 
