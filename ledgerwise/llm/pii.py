@@ -38,8 +38,10 @@ CUES = {
 SIZES = (3, 7, 5, 2, 3, 2, 2, 2, 5, 2)
 _DIGIT_STEPS = (1, 4, 6, 9, 12, 20)
 SAME, SIMILAR = 1, 2
-#: What an observed label adds to its token's log odds.
-SURE = 20.0
+#: What an observed label adds to its token's log odds; what it can add to, or take from, those of a like token.
+SURE, ANCHOR = 20.0, 12.0
+#: Pairs of each two labels that count as seen among masked repeats.
+MASKED_PRIOR = 0.02
 
 
 def luhn(digits: str) -> bool:
@@ -184,12 +186,25 @@ def _codes(values: list[tuple]) -> np.ndarray:
     return np.ravel_multi_index(np.array(values, np.int64).reshape(-1, len(SIZES)).T, SIZES)
 
 
+def unobserved(graph: Graph) -> set[int]:
+    """Tokens that the patterns miss although they have the letters and digits of one that they find: what they are is not
+    known, so they teach nothing."""
+    pairs = [(i, j) for i, j, kind in graph.edges + graph.anchors if kind == SAME]
+    label = graph.label
+    return {i if label[j] else j for i, j in pairs if (label[i] > 0) != (label[j] > 0)}
+
+
 def fit(docs: DataFrame, rounds: int = 300, penalty: float = 1e-3) -> dict:
     """The field's potentials, by piecewise training on what the patterns find in all of ``docs(text)``.
 
     Tasks count (properties, label), and label pairs along each kind of edge; the sums are as many as property values and
     labels there are, not as documents.  Unary: multinomial logistic regression on the counts.  Edges: how much more often
     two labels meet than they would by chance, as a logarithm.
+
+    The patterns' silence is no label: tokens that are the same as a found one but were missed are ``unobserved`` and left
+    out of all counts.  What an observed label says about a like token (``anchor``) is learned from masked repeats: every token
+    is taken as repeated once with its label hidden, and pairs of like tokens of which both are found are counted with either
+    one hidden.  The logarithm there is against how rare the label is among all tokens, as a like token is no chance meeting.
     """
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("what", "a", "b", "n")])
     target = to_arrow_schema(schema)
@@ -201,12 +216,14 @@ def fit(docs: DataFrame, rounds: int = 300, penalty: float = 1e-3) -> dict:
             graph = Graph(texts, [base_spans(x) for x in texts])
             if not graph.doc:
                 continue
-            label = graph.label
-            for code, of_code in zip(_codes(graph.values).tolist(), label):
-                counts[-1, code, of_code] = counts.get((-1, code, of_code), 0) + 1
+            label, away = graph.label, unobserved(graph)
+            for node, (code, of_code) in enumerate(zip(_codes(graph.values).tolist(), label)):
+                if node not in away:
+                    counts[-1, code, of_code] = counts.get((-1, code, of_code), 0) + 1
             for i, j, kind in graph.edges:
-                key = kind, label[i], label[j]
-                counts[key] = counts.get(key, 0) + 1
+                if i not in away and j not in away:
+                    key = kind, label[i], label[j]
+                    counts[key] = counts.get(key, 0) + 1
         rows = [(*key, n) for key, n in counts.items()]
         columns = list(zip(*rows)) or [[]] * len(target)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=target)
@@ -222,7 +239,13 @@ def fit(docs: DataFrame, rounds: int = 300, penalty: float = 1e-3) -> dict:
             pairs[what, b, a] += n
     share = pairs / pairs.sum((1, 2), keepdims=True)
     edge = np.log(share / (share.sum(2, keepdims=True) * share.sum(1, keepdims=True)))
-    return {"unary": _unary(seen, rounds, penalty), "edge": np.clip(edge, -4, 4)}
+    rare = sum(seen.values(), np.ones(LABELS))
+    masked = pairs - 1 + MASKED_PRIOR
+    masked[SAME] += np.diag(rare - 1)
+    masked[SIMILAR] += np.diag(rare - 1) * np.diag(masked[SIMILAR]) / masked[SIMILAR].sum(1)  # as often as similar ones agree
+    masked /= masked.sum(2, keepdims=True)  # the label of one, given that of the other
+    anchor = np.log(masked / (rare / rare.sum()))
+    return {"unary": _unary(seen, rounds, penalty), "edge": np.clip(edge, -4, 4), "anchor": np.clip(anchor, -ANCHOR, ANCHOR)}
 
 
 def _unary(seen: dict[int, np.ndarray], rounds: int, penalty: float) -> np.ndarray:
@@ -264,7 +287,10 @@ def marginals(graph: Graph, model: dict, rounds: int = 200, settled: float = 1e-
         i, j, kind = np.array(graph.edges + graph.anchors).T
         source, sink = np.concatenate([i, j]), np.concatenate([j, i])
         back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
-        edge = model["edge"][np.concatenate([kind, kind])]
+        # between an observed token and a like one that is not: what masked repeats have taught
+        taught = (kind > 0) & ((label[i] > 0) != (label[j] > 0)) if "anchor" in model else np.zeros(len(kind), bool)
+        both = np.concatenate([model["edge"], model.get("anchor", model["edge"])])
+        edge = both[np.concatenate([kind + 3 * taught] * 2)]
         message = np.zeros((len(source), LABELS))
         for _ in range(rounds):
             fresh = _log_sum((belief[source] - message[back])[:, :, None] + edge, 1)[:, 0]

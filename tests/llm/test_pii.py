@@ -90,6 +90,42 @@ def test_labels_reach_every_repeat(before):
     assert len(graph.edges) + len(graph.anchors) <= 6 * len(graph.doc)
 
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return pii.fit(docs), [r["text"] for r in docs.select("text").collect()]
+
+
+def test_fitted_potentials_find_masked_repeats(learned):
+    """Numbers that the patterns find once, repeated in a form that they miss; and numbers that look like them."""
+    model, texts = learned
+    rng, found, repeats, strangers = random.Random(8), 0, 0, 0
+    clean = [x for x in texts if x and not pii.base_spans(x)][:200]
+    cases = []
+    for i in range(200):
+        digits = "1" + "".join(rng.choice("0123456789") for _ in range(10))
+        other = "2" + "".join(rng.choice("0123456789") for _ in range(10))
+        filler = clean[i % len(clean)][:400]
+        cases.append((f"call +{digits} {filler} and {digits} again {filler} or {digits} but not {other}", digits, other))
+    _, added = pii.spans_of([c[0] for c in cases], model)
+    for (text, digits, other), spans in zip(cases, added):
+        parts = [text[a:b] for k, a, b in spans]
+        repeats += 2
+        found += parts.count(digits)
+        strangers += parts.count(other)
+    assert found >= 0.9 * repeats and strangers == 0
+
+
+def test_fitted_potentials_leave_clean_texts_alone(learned):
+    """Nothing is added where the patterns find nothing, and little elsewhere."""
+    model, texts = learned
+    base, added = pii.spans_of(texts, model)
+    assert sum(len(a) for b, a in zip(base, added) if not b) == 0
+    assert sum(map(len, added)) <= 0.05 * sum(map(len, base))
+    bare = " and ".join(["14155550101 again"] * 50)
+    assert pii.spans_of([bare], model)[1] == [[]]
+
+
 def test_odd_rows(odd, none, model):
     rows = pii.find(odd, model).collect()
     assert len(rows) == 10
