@@ -79,11 +79,11 @@ def per_batch(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``keep`` columns of ``df`` (default: all) and new ``fields`` that are computed from ``text`` alone; a new column takes
-    the place of one that has its name.
+    the place of one that has its name, in upper or lower case.
 
     ``work()`` is called once in each task and returns a function from a list of texts to the new columns.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in fields}]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in fields}]
     source = df.select(*keep) if text in keep else df.select(*keep, text)
     schema = T.StructType([source.schema[c] for c in keep] + fields)
     target = to_arrow_schema(schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import xxhash
@@ -82,15 +83,28 @@ def layouts(max_distance: int, groups: int) -> list[tuple[int, list[int]]]:
     ]
 
 
+def groups_for(prints: int, max_distance: int) -> int:
+    """How many groups of segments make the join cheapest for a number of distinct fingerprints.
+
+    Layouts are ways to choose the agreeing groups, and each sends every fingerprint once.  A segment's count tells about 1.5
+    bits, so a layout's cell has about so many fingerprints; comparing two is taken as a quarter of sending one.
+    """
+    def cost(groups: int) -> float:
+        cells = 2.0 ** (1.5 * SEGMENTS * (groups - max_distance) / groups)
+        return comb(groups, max_distance) * prints * (1 + prints / cells / 8)
+
+    return min(range(max_distance + 3, min(SEGMENTS, max_distance + 13)), key=cost)
+
+
 def links(prints: DataFrame, max_distance: int = 4, groups: int | None = None) -> DataFrame:
     """``(a, b)``, each pair of different fingerprints within ``max_distance`` bits once.
 
     ``prints(fingerprint)`` holds distinct fingerprints.  Range join on the grid of segment counts: candidates share the
     cell of a layout, the Manhattan distance of the embeddings is the lower bound, the Hamming distance decides.  All of it
     runs inside the join, so no pair is written that is not a link.  More ``groups`` make cells finer and layouts more;
-    the default suits up to some hundred million fingerprints.
+    unless they are given, their number follows from that of the fingerprints.
     """
-    grid = layouts(max_distance, groups or max_distance + 3)
+    grid = layouts(max_distance, groups or groups_for(prints.count(), max_distance))
     width = max(len(others) for _, others in grid)
     listed = lambda values: F.array(*map(F.lit, values))
     keyed = prints.select(

@@ -42,3 +42,10 @@ def test_odd_rows(real, odd, none):
 def test_long_text_is_read_to_its_end():
     a, b = language_id.features("the " * 50_000), language_id.features("the " * 50_000 + "zz " * 50_000)
     assert not np.array_equal(a, b)
+
+
+def test_names_that_differ_in_case_only(spark, real):
+    docs = real[0].limit(5).withColumn("Score", F.lit("x")).withColumn("LANG_PRED", F.lit("y"))
+    made = language_id.identify(docs, language_id.fit(real[0]))
+    assert [c for c in made.columns if c.lower() in ("score", "lang_pred")] == ["lang_pred", "score"]
+    assert {type(r["score"]) for r in made.collect()} == {float}

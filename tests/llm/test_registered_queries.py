@@ -1,0 +1,243 @@
+"""The registered queries as delivered: contract columns against plain versions over the smallest given tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from test_pii import plain_spans
+from test_quality_and_toxicity import plain_counts, plain_kernel
+from test_suffix_tree import plain_base
+from tokenizers import Tokenizer
+
+from ledgerwise.llm import language_id, quality_classifier, toxicity
+from ledgerwise.llm.common import fold
+from ledgerwise.llm.queries import QUERIES
+from ledgerwise.llm.text_stats import stats, with_stats
+from ledgerwise.llm.tokens import tokenizer_path
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def remainder(doc_id, folds):
+    return zlib.crc32(str(doc_id).encode()) % folds
+
+
+@pytest.fixture(scope="module")
+def made(spark, sf):
+    """Rows of a query by document."""
+
+    def run(name):
+        query = next(q for n, q in QUERIES.items() if n.startswith(name))
+        return [r.asDict() for r in query(spark, sf).collect()]
+
+    return run
+
+
+def test_op1_columns(made, real):
+    rows = made("op1_")
+    assert {r["doc_id"] for r in rows} == set(real[1]) and len(rows) == len(real[1])
+    for r in rows:
+        spans = plain_spans(real[1][r["doc_id"]] or "")
+        kinds = [("email", "ip", "card", "phone")[k] for k, _, _ in spans]
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+        listed = [f"{k}:{a}:{b}" for k, (_, a, b) in zip(kinds, spans)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r["spans"].split(",")) | {""}
+
+
+def test_op2_columns(spark, sf, made, real):
+    """Predictions of the model that the query learns, worked out trigram by trigram."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(fold(F.col("doc_id"), 3) != 1))
+    rows = made("op2_")
+    assert len(rows) == len(real[1])
+    for r in rows:
+        assert r["held_out"] == (remainder(r["doc_id"], 3) == 1) and 0 <= r["score"] <= 1
+    for r in rows[:40]:
+        text = real[1][r["doc_id"]]
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode())
+        raw = re.sub(rb" +", b" ", b" " + raw + b" ")
+        counts = Counter()
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            mixed = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+            mixed = ((mixed ^ (mixed >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            counts[mixed >> 20] += 1
+        x = np.zeros(language_id.BUCKETS + 1)
+        for bucket, n in counts.items():
+            x[bucket] = math.sqrt(n / counts.total())
+        x[-1] = 1
+        sure = lambda w: 1 / (1 + math.exp(-4 * float(w @ x)))
+        odds = [sure(w) for w in model["family_weights"]]
+        family = model["families"][odds.index(max(odds))]
+        (a, b) = model["members"][family]
+        duel = sure(model["pairs"][a, b])
+        assert r["lang_pred"] == (a if duel >= 0.5 else b)
+        assert r["score"] == pytest.approx(max(odds) / sum(odds) * max(duel, 1 - duel), abs=1e-3)
+
+
+def test_op5_columns(made, real):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    rows, used = made("op5_"), {}
+    for r in rows:
+        ids = np.array([*tokenizer.encode(real[1][r["doc_id"]] or "", add_special_tokens=False).ids, 0], "<u4")
+        part = ids[r["start"] : r["start"] + r["length"]]
+        assert r["start"] == 2048 * r["piece"] and r["length"] == min(2048, len(ids) - r["start"]) == len(part)
+        assert r["ids_crc32"] == zlib.crc32(part.tobytes())
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {r["doc_id"] for r in rows} == set(real[1])
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_op6_columns(made, real):
+    for r in made("op6_"):
+        want = plain_counts(real[1][r["doc_id"]])
+        assert {k: r[k] for k in want} == want
+        assert r["base_failed"] == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_op7_columns(made, real):
+    texts = list(real[1].items())
+    want = plain_base([t for _, t in texts], [remainder(i, 7) != 2 for i, _ in texts])
+    want = {i: w for (i, _), w in zip(texts, want)}
+    for r in made("op7_"):
+        n_tokens, n_known, train_tokens, base = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n_tokens, n_known, train_tokens)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+        assert r["held_out"] == (remainder(r["doc_id"], 7) == 2)
+
+
+def test_op8_columns(made, real):
+    prints = {}
+    for doc_id, text in real[1].items():
+        words = WORD.findall((text or "").encode().lower())
+        size = min(4, len(words))
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)] if words else []
+        prints[doc_id] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    component = {d: d for d in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if component[b] < component[a] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                    component[a], changed = component[b], True
+    rows = made("op8_")
+    assert len(rows) == len(prints)
+    for r in rows:
+        assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == component[r["doc_id"]]
+
+
+def plain_nearness(word, landmark):
+    """Best plain kernel of a word, or of a beginning of it, with a landmark."""
+    def lcs(x):
+        row = [0] * (len(landmark) + 1)
+        for c in x:
+            row = [0, *(max(row[i + 1], row[i] + (c == z)) for i, z in enumerate(landmark))]
+            for i in range(1, len(row)):
+                row[i] = max(row[i], row[i - 1])
+        return row[-1]
+
+    best = 0.0
+    for view in toxicity._views(word):
+        parts = [view] if len(view) <= 2 * len(landmark) + 1 else []
+        parts += [view[: len(landmark) + k] for k in range(4) if len(landmark) + k < len(view)]
+        for x in parts:
+            if len(x) >= 3 and lcs(x) >= toxicity.letters_needed(landmark):
+                value = plain_kernel(x, landmark) / math.sqrt(plain_kernel(x, x) * plain_kernel(landmark, landmark))
+                best = max(best, value)
+    return best if best >= toxicity.LEAST else 0.0
+
+
+def test_nearness_against_the_plain_kernel():
+    landmarks = ["idiot", "lowei", "scum", "moron"]
+    words = ["idiot", "idxiot", "i.d.i.o.t", "loweischaft", "weischaft", "scumbag", "mucs", "no", "", "dotid", "oronmo", "idi", "дурак"]
+    got = toxicity.nearness(words, landmarks)
+    for i, word in enumerate(words):
+        for j, mark in enumerate(landmarks):
+            assert got[i, j] == pytest.approx(plain_nearness(word, mark), abs=2e-3)
+
+
+def test_too_few_letters_cannot_be_near():
+    for landmark in ("idiot", "scum", "pathetic"):
+        needed = toxicity.letters_needed(landmark)
+        for mask in range(1 << len(landmark)):
+            part = "".join(c for i, c in enumerate(landmark) if mask >> i & 1)
+            if 3 <= len(part) < needed:
+                norm = math.sqrt(plain_kernel(part, part) * plain_kernel(landmark, landmark))
+                assert plain_kernel(part, landmark) / norm < toxicity.LEAST
+
+
+def test_op9_columns(spark, sf, made, real):
+    """Scores of the model that the query learns, sentence by sentence."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(toxicity.training_rows(real[0], labels.where(fold(F.col("doc_id"), 3) != 1)))
+    rows = made("op9_")
+    assert len(rows) == len(real[1])
+    near: dict = {}
+    for r in rows:
+        assert r["held_out"] == (remainder(r["doc_id"], 3) == 1) and 0 <= r["score"] <= 1
+        assert r["predicted"] == int(r["score"] >= 0.7)
+    for r in sorted(rows, key=lambda r: len(real[1][r["doc_id"]] or ""))[:25]:
+        words = toxicity.words_of(real[1][r["doc_id"]])
+        margin = model["bias"]
+        sentence = []
+        for i, word in enumerate(words):
+            word = toxicity.letters(word)
+            if word not in near:
+                near[word] = [plain_nearness(word, m) ** toxicity.DEGREE for m in model["landmarks"]]
+            sentence.append(near[word])
+            if words[i].endswith((".", "!", "?")) or i == len(words) - 1:
+                best = np.max(sentence, 0)
+                if best.any():
+                    margin = max(margin, float(best @ model["weights"] + model["bias"]))
+                sentence = []
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model["slope"] * margin + model["shift"]))), abs=0.02)
+
+
+def test_op10_columns(spark, sf, made, real):
+    """Scores of the rules that the query learns, one rule after the other."""
+    counts = with_stats(real[0].select("doc_id", "text"), keep=["doc_id"])
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality_classifier.fit(counts.join(labels.where(fold(F.col("doc_id"), 3) != 1), "doc_id"))
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_capitals",
+             "n_digits", "n_marks", "n_bars", "n_stops", "longest_word")
+    rows = made("op10_")
+    assert len(rows) == len(real[1])
+    for r in rows:
+        c = dict(zip(names, stats(real[1][r["doc_id"]])))
+        part = lambda a, b: c[a] / c[b] if c[b] else 0.0
+        x = {
+            "words": math.log1p(c["n_words"]), "word_length": part("word_chars", "n_words"), "longest_word": math.log1p(c["longest_word"]),
+            "symbols": part("n_symbols", "word_chars"), "bars": part("n_bars", "n_words"), "marks": part("n_marks", "n_words"),
+            "stops": part("n_stops", "n_words"), "capitals": part("n_capitals", "word_chars"), "digits": part("n_digits", "word_chars"),
+            "duplicate_lines": part("n_dup_lines", "n_lines"), "repeated_words": part("n_repeat_words", "n_words"),
+            "distinct_words": part("n_distinct_words", "n_words"), "line_words": part("n_words", "n_lines"),
+        }
+        total = model["intercept"]
+        for weight, rule in model["rules"]:
+            total += weight * all(x[f] <= t if sign == "<=" else x[f] > t for f, sign, t in rule)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (remainder(r["doc_id"], 3) == 1)
+
+
+def test_repeated_labels_say_toxic_once(spark, real):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (None, 1), (999_999, 1), (3, None)], "doc_id long, label int")
+    rows = toxicity.training_rows(real[0], labels).select("doc_id", "label").collect()
+    assert sorted(map(tuple, rows)) == [(i, n) for i, n in ((1, 1), (2, 0)) if i in real[1]]

@@ -86,3 +86,13 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     found = connected_components(spark.createDataFrame(edges, "a long, b long"))
     got = {r["node"]: r["component"] for r in found.collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_groups_follow_the_number_of_fingerprints():
+    """Few layouts for small tables, finer cells for large ones; the pairs met stay within reach of the rows sent."""
+    assert simhash.groups_for(0, 4) == simhash.groups_for(300_000, 4) == 7
+    chosen = [simhash.groups_for(10**k, 4) for k in range(5, 12)]
+    assert chosen == sorted(chosen) and chosen[-1] > 8
+    for k in range(5, 12):
+        groups = simhash.groups_for(10**k, 4)
+        assert 10**k / 2 ** (48 * (groups - 4) / groups) < 2000
