@@ -8,6 +8,7 @@ from ledgerwise.operators import enrich as en
 from ledgerwise.operators import reports as r
 from ledgerwise.plans import views as v
 from ledgerwise.plans.registry import query
+from ledgerwise.shared import staged
 
 _KEY = "m.fecha::VARCHAR AS fecha, m.unique_concept, m.cargo::DOUBLE AS cargo, m.abono::DOUBLE AS abono"
 _ON_NULL_SAFE = (
@@ -132,7 +133,9 @@ _MONTO = f"""(SELECT m.*, k.category_group AS categoria, coalesce(m.cargo, m.abo
     "concepts",
 )
 def outliers_of_movements(spark, sf):
-    rows = _classified(spark, sf)
+    # the join is made once, over the months that statistics or marks look at
+    recent = F.col("fecha") >= F.add_months(v.day(v.AS_OF), -6)
+    rows = staged(_classified(spark, sf).filter(recent), "classified")
     stats = r.category_stats(rows.filter(F.col("estado") == "cerrado"), v.AS_OF)
     flagged = r.flag_outliers(rows.filter(F.col("estado") == "abierto"), stats, v.AS_OF)
     columns = ("unique_concept", "cuenta", "fecha", "categoria", "monto", "promedio", "desviacion", "alerta")

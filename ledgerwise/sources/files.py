@@ -140,11 +140,16 @@ def tag_accounts(files: DataFrame, accounts: DataFrame) -> DataFrame:
     have, and those are matched.  Names have at most a few hundred characters, so this grows with the number of
     files and not with files x accounts.
     """
-    lengths = accounts.filter(F.length("account_number") > 0).agg(F.collect_set(F.length("account_number"))).scalar()
+    numbers = accounts.filter(F.length("account_number") > 0)
+    lengths = numbers.agg(F.collect_set(F.length("account_number"))).scalar()
+    # pieces with signs that no account number has, most of them, are dropped where they are cut
+    each = numbers.select(F.explode(F.split("account_number", "")).alias("sign"))
+    signs = each.agg(F.array_join(F.collect_set("sign"), "")).scalar()
     sized = files.select("file_name").distinct().select("file_name", F.explode(lengths).alias("_length"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("file_name") - F.col("_length") + 1, F.lit(1)))
     pieces = F.transform(starts, lambda start: F.substring(F.col("file_name"), start, F.col("_length")))
     cut = sized.select("file_name", F.explode(F.array_distinct(pieces)).alias("account_number"))
+    cut = cut.filter(F.call_function("translate", F.col("account_number"), signs, F.lit("")) == "")
     matched = (
         cut.join(accounts.select("account_number"), "account_number")
         .groupBy("file_name")
