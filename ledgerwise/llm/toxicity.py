@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -145,16 +147,18 @@ def letters_needed(landmark: str) -> int:
     of these letters over the norm of all: the smallest number for which the best choice of letters gets there.  Long
     landmarks have too many choices; three letters are needed in any case.
     """
-    n = len(landmark)
+    n, weights = len(landmark), Counter()
     if n > 12:
         return ORDER
-    masks = [m for m in range(1 << n) if m.bit_count() >= ORDER]
-    left = np.array([[ord(c) if m >> i & 1 else -3 - i for i, c in enumerate(landmark)] for m in masks], np.int32)
-    right = np.where(left < 0, left - 100, left)
-    norms = np.sqrt(np.maximum(subsequence_kernel(left, right), 0))
-    size = np.array([m.bit_count() for m in masks])
-    reached = [k for k in range(ORDER, n + 1) if norms[size == k].max() >= LEAST * norms[-1] * (1 - 1e-5)]
-    return reached[0]
+    for places in combinations(range(n), ORDER):
+        weights["".join(landmark[i] for i in places)] += DECAY ** (places[-1] - places[0] + 1)
+    squares = [(Counter(u), w * w) for u, w in weights.items()]
+    enough = LEAST**2 * sum(w for _, w in squares) * (1 - 1e-6)
+    for size in range(ORDER, n):
+        for some in {tuple(sorted(c)) for c in combinations(landmark, size)}:
+            if sum(w for letters_of, w in squares if letters_of <= Counter(some)) >= enough:
+                return size
+    return n
 
 
 def nearness(words: list[str], landmarks: list[str], needed: list[int] | None = None) -> np.ndarray:
