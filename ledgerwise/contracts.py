@@ -41,13 +41,15 @@ BALANCED = "Balance 0"
 TOTAL = "Total"
 OUTLIER_LABEL = "🚨 ANOMALÍA"
 NORMAL_LABEL = "✅ Normal"
+HAS_PDF, NO_PDF = "Has PDF", "No PDF"
+CLOSED_STATUS, OPEN_STATUS = "closed", "open"
 
-# --- keys --------------------------------------------------------------------------------------------------------
+# --- fixed values: keys ------------------------------------------------------------------------------------------
 MOVEMENT_KEY = ("fecha", "unique_concept", "cargo", "abono")
 DOCUMENT_KEY = ("cutoff_period", "account_number", "type")
 CUTOFF_KEY = ("account_number", "type", "cutoff_period")
 
-# --- schemas -----------------------------------------------------------------------------------------------------
+# --- fixed values: schemas of the stored tables ------------------------------------------------------------------
 _date, _text, _amount, _wide = T.DateType(), T.StringType(), T.DecimalType(12, 2), T.DecimalType(14, 2)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwise.contracts import DOCUMENT_KEY, OPEN_PERIOD
+from ledgerwise.contracts import CLOSED_STATUS, DOCUMENT_KEY, HAS_PDF, NO_PDF, OPEN_PERIOD, OPEN_STATUS
 from ledgerwise.functions.dates import day, in_year, is_regular, period, recent_periods
 from ledgerwise.functions.text import is_present
 from ledgerwise.operators.joins import keyed_join, not_in, present_in
@@ -31,7 +31,7 @@ def missing_closed(account_cutoffs: DataFrame, loaded: DataFrame, newest: int =
         "type", F.col("cutoff_period").alias("period"), F.col("account_number").alias("account")
     )
     have = loaded.select("period", F.col("cuenta").alias("account"))
-    return not_in(wanted, have, ["period", "account"]).withColumn("status", F.lit("closed")).select(*PLAN)
+    return not_in(wanted, have, ["period", "account"]).withColumn("status", F.lit(CLOSED_STATUS)).select(*PLAN)
 
 
 def missing_open(accounts: DataFrame, open_tables: dict[str, DataFrame], as_of) -> DataFrame:
@@ -46,7 +46,7 @@ def missing_open(accounts: DataFrame, open_tables: dict[str, DataFrame], as_of)
             F.col("cuenta").alias("account"),
         )
         loaded = part if loaded is None else loaded.unionByName(part)
-    return not_in(wanted, loaded, ["type", "period", "account"]).withColumn("status", F.lit("open")).select(*PLAN)
+    return not_in(wanted, loaded, ["type", "period", "account"]).withColumn("status", F.lit(OPEN_STATUS)).select(*PLAN)
 
 
 def download_plan(
@@ -70,7 +70,7 @@ def document_file_name(extension: str):
 def statement_file_name():
     """Closed: ``{period} {account}.csv``; open: the account and the name it was downloaded with."""
     closed = F.concat(F.concat_ws(" ", "period", "account"), F.lit(".csv"))
-    return F.when(F.col("status") == "closed", closed).otherwise(F.concat_ws("_", "account", "original_name"))
+    return F.when(F.col("status") == CLOSED_STATUS, closed).otherwise(F.concat_ws("_", "account", "original_name"))
 
 
 def snapshot_path(snapshot_date, suffix: str, state: str):
@@ -112,7 +112,7 @@ def document_flags(documents: DataFrame) -> DataFrame:
         )
         for part in ("pdf", "csv")
     }
-    status = F.when(F.col("has_pdf"), "Has PDF").otherwise("No PDF")
+    status = F.when(F.col("has_pdf"), HAS_PDF).otherwise(NO_PDF)
     return (
         documents.select(*DOCUMENT_KEY, "updated_at", *[c.alias(n) for n, c in flags.items()])
         .withColumn("pdf_status", status)
@@ -131,7 +131,7 @@ def missing_open_documents(documents: DataFrame, as_of) -> DataFrame:
 def with_open_documents(flags: DataFrame, as_of) -> DataFrame:
     """Flagged documents plus the open ones that have to exist."""
     created = missing_open_documents(flags, as_of).withColumns(
-        {"has_pdf": F.lit(False), "has_csv": F.lit(False), "pdf_status": F.lit("No PDF")}
+        {"has_pdf": F.lit(False), "has_csv": F.lit(False), "pdf_status": F.lit(NO_PDF)}
     )
     return flags.unionByName(created, allowMissingColumns=True)
 
