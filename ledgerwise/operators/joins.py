@@ -49,10 +49,11 @@ def salted_lookup(
 
     Rows of a key are spread over ``salts`` partitions by a hash of their whole content (the same on a retry) and the
     lookup row is repeated once per salt.  The repeated lookup is shuffled on (keys, salt), which also lets adaptive
-    execution split what is still skewed.
+    execution split what is still skewed.  Catalyst does not see the repetition in its estimates, which would send ``salts``
+    times what it allows for a broadcast through the driver; hence the merge hint.
     """
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     lenient = keys if null_safe is True else null_safe or ()
     return keyed_join(left.withColumn("_salt", spread), repeated, [*keys, "_salt"], how, lenient).drop("_salt")
 
