@@ -48,9 +48,14 @@ def account_cutoffs(accounts: DataFrame, days: DataFrame, as_of, run_ts: Column,
 
     The OR over dates becomes an equality on type.  ``eligible_cutoffs`` is distinct on (type, yyyy-MM): at most
     2 x 12 rows per calendar year, under 240,000 rows for all years a date can hold, hence the broadcast.
+
+    An account turns into a row per due period, a small file of accounts into very many rows.  Accounts are spread before
+    that, over a number of partitions that adaptive execution leaves alone: it would size them by the accounts.
     """
     due = F.broadcast(eligible_cutoffs(days, as_of, rule))
-    return accounts.join(due, "type").select(*CUTOFF_KEY, run_ts.alias("updated_at"))
+    partitions = int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = accounts.repartition(partitions, F.xxhash64("account_number", "type"))
+    return spread.join(due, "type").select(*CUTOFF_KEY, run_ts.alias("updated_at"))
 
 
 def refresh_account_cutoffs(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerwise.operators import calendar as c
 from ledgerwise.operators.enrich import of_known_accounts
 from ledgerwise.operators.joins import salted_lookup
+from ledgerwise.operators.ranking import latest_cutoffs
 
 
 def plan_of(df) -> str:
@@ -29,3 +32,20 @@ def test_known_accounts_do_not_go_through_the_driver(spark):
     found = of_known_accounts(movements, accounts, "debit")
     assert "Broadcast" not in plan_of(found)
     assert [tuple(r) for r in found.collect()] == [("1", 1), ("1", 1)]
+
+
+def test_accounts_are_spread_before_they_get_their_cutoffs(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        ids = spark.range(400, numPartitions=1)
+        accounts = ids.select(F.col("id").cast("string").alias("account_number"), F.lit("debit").alias("type"))
+        days = c.cutoff_days(spark.range(2020, 2022).select(F.col("id").cast("int").alias("year_value")))
+        due = c.account_cutoffs(accounts.unionByName(accounts.limit(1)), days, "2022-01-01", F.lit("2022-01-01").cast("timestamp"))
+        sizes = [r["count"] for r in due.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 401 * 24 and len(sizes) == 8 and max(sizes) < 401 * 24 / 4
+        # a repeated account has its newest cutoff twice, and no more rows than any other
+        newest = latest_cutoffs(due).groupBy("account_number").agg(F.count("*").alias("n"), F.min("cutoff_period").alias("first"))
+        assert {tuple(r) for r in newest.groupBy("first", "n").count().collect()} == {("2021-12", 2, 1), ("2021-11", 2, 399)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
