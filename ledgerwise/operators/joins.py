@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+def by_merge(lookup: DataFrame) -> DataFrame:
+    """A lookup that grows with the input, never broadcast in its next join.
+
+    Before anything runs Catalyst goes by the size of the files, in which repeated values take next to nothing; what goes
+    through the driver are whole rows, and a hash table of them.
+    """
+    return lookup.hint("merge")
+
+
 def keyed_join(
     left: DataFrame,
     right: DataFrame,
@@ -53,7 +62,7 @@ def salted_lookup(
     times what it allows for a broadcast through the driver; hence the merge hint.
     """
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    repeated = by_merge(lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     lenient = keys if null_safe is True else null_safe or ()
     return keyed_join(left.withColumn("_salt", spread), repeated, [*keys, "_salt"], how, lenient).drop("_salt")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.contracts import HEADERS, MOVEMENT_KEY
+from ledgerwise.operators.joins import by_merge
 from ledgerwise.plans import views as v
 from ledgerwise.plans import workflows
 from ledgerwise.plans.registry import query
@@ -47,7 +48,7 @@ def nation_accounts(spark, sf) -> DataFrame:
 def _by_nation(spark, sf, kind, estado):
     rows = v.movements(spark, sf, kind, estado)
     owners = v.table(spark, sf, "customer").select(v.account_number("c_custkey").alias("cuenta"), "c_nationkey")
-    return rows.join(owners, "cuenta").withColumn("account", _nation_account(kind))
+    return rows.join(by_merge(owners), "cuenta").withColumn("account", _nation_account(kind))
 
 
 def write_statements(spark, sf, estado: str) -> str:

@@ -8,6 +8,7 @@ from ledgerwise.contracts import DOCUMENT_KEY, HEADERS
 from ledgerwise.operators import calendar as c
 from ledgerwise.operators import keyed as k
 from ledgerwise.operators import manifests as m
+from ledgerwise.operators.joins import by_merge
 from ledgerwise.operators.ranking import newest_file as newest
 from ledgerwise.operators.reports import newest_snapshot
 from ledgerwise.plans import views as v
@@ -34,7 +35,7 @@ def _files(spark, sf):
         F.date_format("o_orderdate", "yyyy-MM").alias("cutoff_period"),
         F.col("o_orderstatus").alias("status"),
     )
-    tagged = orders.join(v.accounts(spark, sf), "account_number")
+    tagged = orders.join(by_merge(v.accounts(spark, sf)), "account_number")
     named = tagged.select(
         F.when(F.col("status") == "F", m.document_file_name("pdf"))
         .when(F.col("status") == "O", m.document_file_name("csv"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerwise.functions.dates import day
 from ledgerwise.functions.text import unique_concept
 from ledgerwise.operators.enrich import enriched_table, of_known_accounts
+from ledgerwise.operators.joins import by_merge
 
 AS_OF = "2001-07-31"
 RUN_TS = "2001-07-31 06:00:00"
@@ -88,7 +89,7 @@ def concepts(spark, sf_dir) -> DataFrame:
     people = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    joined = rows.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    joined = rows.join(by_merge(people), F.col("o_custkey") == F.col("c_custkey"))
     unclassified = (F.col("c_mktsegment") == "FURNITURE") & (F.col("o_orderpriority") == "5-LOW")
     group = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "Balance 0").otherwise(F.col("o_orderpriority"))
     return joined.select(
@@ -133,7 +134,7 @@ def documents(spark, sf_dir) -> DataFrame:
     months = movements(spark, sf_dir).select(
         F.col("period").alias("cutoff_period"), F.col("cuenta").alias("account_number"), "file_date"
     )
-    dated = months.distinct().join(customer, "account_number").withColumns(
+    dated = months.distinct().join(by_merge(customer), "account_number").withColumns(
         {
             "updated_at": F.col("file_date").cast("timestamp"),
             "pdf_file": F.when(F.col("c_mktsegment").isin("BUILDING", "FURNITURE"), F.col("_bytes")).when(

@@ -9,6 +9,8 @@ from ledgerwise.operators import calendar as c
 from ledgerwise.operators.enrich import of_known_accounts
 from ledgerwise.operators.joins import salted_lookup
 from ledgerwise.operators.ranking import latest_cutoffs
+from ledgerwise.plans import file_queries, manifest_queries
+from ledgerwise.plans import views as v
 
 
 def plan_of(df) -> str:
@@ -49,3 +51,35 @@ def test_accounts_are_spread_before_they_get_their_cutoffs(spark):
         assert {tuple(r) for r in newest.groupBy("first", "n").count().collect()} == {("2021-12", 2, 1), ("2021-11", 2, 399)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.fixture
+def compressed(spark, tmp_path):
+    """Tables whose files say next to nothing about their rows; a customer without key, one twice, orders of neither."""
+    people = spark.range(3000).selectExpr("id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "1.0D AS c_acctbal", "'MACHINERY' AS c_mktsegment")
+    odd = people.limit(1).unionByName(people.limit(1).withColumn("c_custkey", F.lit(None).cast("long")))
+    people.unionByName(odd).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(40).selectExpr(
+        "id AS o_orderkey", "CASE WHEN id = 1 THEN NULL WHEN id = 2 THEN 9999 ELSE id % 4 END AS o_custkey", "'F' AS o_orderstatus",
+        "id + 0.5D AS o_totalprice", "timestamp'2001-06-05' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize(
+    "build, rows, nations",
+    [
+        (lambda spark, sf: file_queries._by_nation(spark, sf, "debit", "cerrado"), 48, 0),  # customer 0 is there twice
+        (lambda spark, sf: v.concepts(spark, sf), 48, 1),
+        (lambda spark, sf: v.documents(spark, sf), 5 + 3002, 0),
+        (lambda spark, sf: manifest_queries._files(spark, sf), 4, 0),
+    ],
+)
+def test_customers_do_not_go_through_the_driver(spark, compressed, build, rows, nations):
+    built = build(spark, compressed)
+    plan = plan_of(built)
+    # nations may: they do not grow
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == nations
+    assert built.count() == rows
