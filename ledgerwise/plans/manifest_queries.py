@@ -375,10 +375,12 @@ def _payload_lengths(df):
 )
 def doc_upsert(spark, sf):
     """Every cutoff without PDF is written; the bytes of a file are its name here."""
-    waiting = m.documents_to_sync(_account_cutoffs(spark, sf), _flags(spark, sf), _files(spark, sf))
+    stored = _stored_documents(spark, sf)  # its flags are stored too: the documents are made once
+    flags = by_merge(m.document_flags(stored))
+    waiting = m.documents_to_sync(_account_cutoffs(spark, sf), flags, _files(spark, sf))
     content = F.col("file_name").cast("binary")
     incoming = waiting.withColumns({"pdf_hash": F.sha2(content, 256), "pdf_length": F.length(content).cast("long")})
-    return _payload_lengths(k.document_upsert(_stored_documents(spark, sf), incoming))
+    return _payload_lengths(k.document_upsert(stored, incoming))
 
 
 def _arrived(spark, sf):
