@@ -52,6 +52,9 @@ class Encoder:
     digits and runs of other signs (``word_bpe_49k.json``).  Each distinct piece is given to the tokenizer once.  Pieces of up
     to ``SHORT`` bytes are known by these bytes; longer ones are looked up by a hash and then compared byte by byte with the one
     that is remembered, so two pieces with one hash cannot take each other's ids: their block goes to the tokenizer.
+
+    What is remembered lies in arrays, some 80 bytes a piece: the keys in order, and by a piece's number where its ids and, of a
+    long one, its bytes end.
     """
 
     def __init__(self, path: str):
@@ -65,10 +68,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.long: dict[int, bytes] = {}
-        self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, "<u4"), 0
+        self.keys, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids, self.id_ends = Growing("<u4"), Growing(np.int64, [0])
+        self.bytes, self.byte_ends = Growing(np.uint8), Growing(np.int64, [0])
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null: none."""
@@ -109,25 +111,26 @@ class Encoder:
             return
         keys = self._keys(raw, starts, ends)
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > REMEMBERED:
+        if len(self.keys) + len(distinct) > REMEMBERED:
             self._forget()
-        if not self._same_bytes(joined, raw, starts, ends, distinct, first, which):
+        places = np.searchsorted(self.keys, distinct)
+        known = np.append(self.keys, np.uint64(0))[places] == distinct  # no key is zero
+        numbers = np.append(self.numbers, 0)[places]
+        if not self._same_bytes(raw, starts, ends, distinct, first, which, known, numbers):
             for row, part in waiting:
                 ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
                 out[row].append(np.array(ids, "<u4").tobytes())
             return
-        slots = list(map(self.slots.get, distinct.tolist()))
-        if None in slots:
-            missing = [i for i, slot in enumerate(slots) if slot is None]
-            bounds = zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())
-            learned = self._learn(distinct[missing].tolist(), [joined[a:b] for a, b in bounds])
-            for i, slot in zip(missing, learned):
-                slots[i] = slot
-        slots = np.array(slots)[which]
-        lengths = self.lengths[slots]
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        places = np.repeat(self.starts[slots] - before[:-1], lengths) + np.arange(before[-1])
-        ids = self.flat[places].tobytes()
+        if not known.all():
+            new = ~known
+            bounds = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+            numbers[new] = self._learn([joined[a:b] for a, b in bounds], distinct[new] >= _LONG)
+            self.keys = np.insert(self.keys, places[new], distinct[new])
+            self.numbers = np.insert(self.numbers, places[new], numbers[new])
+        numbers = numbers[which]
+        first_ids, last_ids = (self.id_ends.held[numbers + i] for i in (0, 1))
+        before = np.concatenate(([0], np.cumsum(last_ids - first_ids)))
+        ids = self.ids.held[_ranges(first_ids, last_ids)].tobytes()
         limits = np.cumsum([len(part) + 1 for _, part in waiting])
         cuts = 4 * before[np.searchsorted(starts, limits)]
         for (row, _), a, b in zip(waiting, [0, *cuts[:-1].tolist()], cuts.tolist()):
@@ -148,41 +151,58 @@ class Encoder:
             keys[long] = hashes | _LONG
         return keys
 
-    def _same_bytes(self, joined, raw, starts, ends, distinct, first, which) -> bool:
+    def _same_bytes(self, raw, starts, ends, distinct, first, which, known, numbers) -> bool:
         """Do all long pieces of a key have the bytes of the first one here, and of the one that is remembered?"""
         of_long = np.flatnonzero(distinct >= _LONG)
         if not len(of_long):
             return True
         long = np.flatnonzero(which >= of_long[0])  # sorted: the long ones come last
         model = first[which[long]]
-        lengths = ends[long] - starts[long]
-        if not np.array_equal(lengths, ends[model] - starts[model]):
+        if not np.array_equal(ends[long] - starts[long], ends[model] - starts[model]):
             return False
-        again = np.flatnonzero(model != long)
-        inner = np.arange(lengths[again].sum()) - np.repeat(np.cumsum(lengths[again]) - lengths[again], lengths[again])
-        here, there = (np.repeat(x[again], lengths[again]) + inner for x in (starts[long], starts[model]))
+        again = model != long
+        here, there = (_ranges(starts[x[again]], ends[x[again]]) for x in (long, model))
         if not np.array_equal(raw[here], raw[there]):
             return False
-        bounds = zip(starts[first[of_long]].tolist(), ends[first[of_long]].tolist())
-        return all(self.long.setdefault(k, joined[a:b]) == joined[a:b] for k, (a, b) in zip(distinct[of_long].tolist(), bounds))
+        held = of_long[known[of_long]]
+        once, begin, end = first[held], *(self.byte_ends.held[numbers[held] + i] for i in (0, 1))
+        if not np.array_equal(ends[once] - starts[once], end - begin):
+            return False
+        return np.array_equal(raw[_ranges(starts[once], ends[once])], self.bytes.held[_ranges(begin, end)])
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> range:
+    def _learn(self, pieces: list[bytes], long: np.ndarray) -> np.ndarray:
+        """Numbers of pieces that were not known; the bytes of ``long`` ones are kept."""
         tokenize, letter = self.tokenizer.model.tokenize, self.letters.__getitem__
         spelled = [p.decode() if p.isalpha() else "".join(map(letter, p)) for p in pieces]
         ids = [[t.id for t in tokenize(s)] for s in spelled]
-        slots = range(len(self.slots), len(self.slots) + len(keys))
-        self.slots.update(zip(keys, slots))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
-        while slots.stop > len(self.starts):
-            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.lengths[slots.start : slots.stop] = lengths
-        self.starts[slots.start : slots.stop] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), "<u4", total)
-        self.used += total
-        return slots
+        kept = [p if keep else b"" for p, keep in zip(pieces, long.tolist())]
+        first = self.id_ends.size - 1
+        self.id_ends.add(self.ids.size + np.cumsum([len(x) for x in ids]))
+        self.ids.add(np.fromiter(chain.from_iterable(ids), "<u4"))
+        self.byte_ends.add(self.bytes.size + np.cumsum([len(p) for p in kept]))
+        self.bytes.add(np.frombuffer(b"".join(kept), np.uint8))
+        return np.arange(first, first + len(pieces))
+
+
+class Growing:
+    """An array that is added to; ``held`` has room for more than the ``size`` it holds."""
+
+    def __init__(self, kind, values=()):
+        self.held, self.size = np.array(values, kind), len(values)
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.held):
+            self.held = np.concatenate((self.held[: self.size], np.zeros(size + size // 4 - self.size, self.held.dtype)))
+        self.held[self.size : size] = values
+        self.size = size
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places from each start up to its end, one range after the other."""
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
 
 
 def _parts(raw: bytes) -> list[bytes] | None:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -58,6 +59,24 @@ def test_a_collision_is_seen_and_made_good(reference, monkeypatch):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference(text)
 
 
+def test_what_is_remembered_is_small(reference):
+    """Bytes that a remembered piece takes, and pieces remembered over several texts and met again."""
+    encoder, rng = Encoder(tokenizer_path()), random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 14))) for _ in range(30_000)]
+    words += [f"{w}{i}" for i, w in enumerate(words[:20])] + ["conversation", "conversations"]
+    encoder.encode([" ".join(words[:20_000])])
+    tracemalloc.start()
+    encoder.encode([" ".join(words)])
+    encoder._forget()
+    before, distinct = tracemalloc.get_traced_memory()[0], len(set(words))
+    encoder.encode([" ".join(words)])
+    taken = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert taken / distinct < 120
+    for text in (" ".join(words[10_000:10_400]), " ".join(words[-22:]), "a b conversation", "conversations"):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference(text)
+
+
 def test_fill_holds_for_many_pieces(spark, real):
     """Far more pieces than there are open bins."""
     lengths = [r["length"] for r in packing.token_pieces(real[0], 2048).select("length").collect()]
