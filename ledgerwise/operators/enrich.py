@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerwise.contracts import MOVEMENT_KEY, STATES
 from ledgerwise.functions.text import period_from_name
-from ledgerwise.operators.joins import keyed_join, salted_lookup
+from ledgerwise.operators.joins import by_merge, keyed_join, salted_lookup
 from ledgerwise.operators.ranking import keep_last
 
 AMOUNTS = ("cargo", "abono")
@@ -40,7 +40,8 @@ def enrich(
         return matched.unionByName(movements.filter(~complete).withColumns(nothing))
     stored_id = [MOVEMENT_ID] if MOVEMENT_ID in movements.columns and MOVEMENT_ID in concepts.columns else []
     keys = [*stored_id, *MOVEMENT_KEY]
-    return keyed_join(movements, concepts.select(*keys, *columns), keys, how, AMOUNTS if null_safe else ())
+    lookup = by_merge(concepts.select(*keys, *columns))
+    return keyed_join(movements, lookup, keys, how, AMOUNTS if null_safe else ())
 
 
 def with_movement_id(df: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def ignored_movements(movements: DataFrame, accounts: DataFrame, kind: str) -> D
 def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of ``after`` that a sync has to see: key not there before, or estado not the same."""
     old = before.select(*MOVEMENT_KEY, F.col("estado").alias("_old"), F.lit(True).alias("_was"))
-    joined = keyed_join(after, old, MOVEMENT_KEY, "left", null_safe=True)
+    joined = keyed_join(after, by_merge(old), MOVEMENT_KEY, "left", null_safe=True)
     changed = F.col("_was").isNull() | ~F.col("estado").eqNullSafe(F.col("_old"))
     return joined.filter(changed).select(*after.columns)
 

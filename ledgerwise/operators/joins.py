@@ -71,14 +71,14 @@ def not_in(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bo
     """Rows of ``left`` whose key does not occur in ``right``.
 
     The right keys are made distinct first: that combines copies before the shuffle, so a key repeated very often
-    on the right costs one row per map task.
+    on the right costs one row per map task.  They grow with the right side and are never broadcast.
     """
-    return keyed_join(left, right.select(*keys).distinct(), keys, "left_anti", null_safe)
+    return keyed_join(left, by_merge(right.select(*keys).distinct()), keys, "left_anti", null_safe)
 
 
 def present_in(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``."""
-    return keyed_join(left, right.select(*keys).distinct(), keys, "left_semi", null_safe)
+    return keyed_join(left, by_merge(right.select(*keys).distinct()), keys, "left_semi", null_safe)
 
 
 def membership(parts: dict[str, DataFrame], keys: Sequence[str], **extra: Column) -> DataFrame:

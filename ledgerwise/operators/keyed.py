@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwise.contracts import DOCUMENT_KEY, MOVEMENT_KEY
-from ledgerwise.operators.joins import keyed_join, membership, not_in, salted_lookup
+from ledgerwise.operators.joins import by_merge, keyed_join, membership, not_in, salted_lookup
 from ledgerwise.operators.ranking import keep_last
 
 REQUIRED = ("fecha", "unique_concept")
@@ -42,7 +42,7 @@ def upsert(
     ``on_conflict="update"`` replaces rows whose key exists, ``"ignore"`` keeps them.
     """
     if on_conflict == "update":
-        kept = keyed_join(target, source.select(*keys), keys, "left_anti", null_safe=True)
+        kept = keyed_join(target, by_merge(source.select(*keys)), keys, "left_anti", null_safe=True)
         return kept.unionByName(source, allowMissingColumns=True)
     if on_conflict == "ignore":
         return target.unionByName(not_in(source, target, keys), allowMissingColumns=True)
@@ -78,7 +78,7 @@ def new_rows(target: DataFrame, source: DataFrame, columns: Sequence[str], file:
         .filter(~F.col("_held"))
         .drop("_held")
     )
-    return keyed_join(source, fresh, [*columns, file], "left_semi", null_safe=True)
+    return keyed_join(source, by_merge(fresh), [*columns, file], "left_semi", null_safe=True)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

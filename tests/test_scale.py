@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwise.operators import calendar as c
-from ledgerwise.operators.enrich import of_known_accounts
-from ledgerwise.operators.joins import salted_lookup
+from ledgerwise.operators import keyed
+from ledgerwise.operators.enrich import CLASSIFICATION, enrich, of_known_accounts
+from ledgerwise.operators.joins import not_in, present_in, salted_lookup
 from ledgerwise.operators.ranking import latest_cutoffs
 from ledgerwise.plans import file_queries, manifest_queries
 from ledgerwise.plans import views as v
@@ -53,6 +54,34 @@ def test_accounts_are_spread_before_they_get_their_cutoffs(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize(
+    "join, rows",
+    [
+        (lambda a, b: keyed.upsert(a, b, ["k"]), [("a", 1), ("a", 1), ("x", 4), (None, 9)]),
+        (lambda a, b: keyed.upsert(b, a, ["k"], "ignore"), [("a", 1), ("a", 1), ("x", 4), (None, 9)]),
+        (lambda a, b: keyed.new_rows(b, a.withColumn("file_name", F.lit("f")), ["k"]).select("k", "n"), [("a", 1), ("a", 1), ("x", 4)]),
+        (lambda a, b: not_in(a, b, ["k"]), [("a", 1), ("a", 1), ("x", 4)]),
+        (lambda a, b: present_in(a, b, ["k"]), [(None, 3)]),
+    ],
+)
+def test_keys_that_grow_with_the_input_are_never_broadcast(spark, tmp_path, join, rows):
+    """Files of keys say next to nothing about their rows; keys repeat and are missing."""
+    spark.createDataFrame([("a", 1), ("a", 1), (None, 3), ("x", 4)], "k string, n int").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([(None, 9)], "k string, n int").write.parquet(f"{tmp_path}/b")
+    joined = join(*(spark.read.parquet(f"{tmp_path}/{t}") for t in "ab"))
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(rows, key=str)
+    assert "Broadcast" not in plan_of(joined) and "SortMergeJoin" in plan_of(joined)
+
+
+@pytest.mark.parametrize("null_safe, how, n", [(True, "left", 2), (False, "left", 2), (False, "inner", 0)])
+def test_a_classification_is_never_broadcast(spark, null_safe, how, n):
+    row = spark.sql("SELECT date'2024-01-02' AS fecha, 'c' AS unique_concept, 1.00BD AS cargo, CAST(NULL AS decimal(12,2)) AS abono")
+    groups = {c: F.lit("g") for c in CLASSIFICATION}
+    found = enrich(row.unionByName(row), row.withColumns(groups), null_safe, how)
+    assert found.count() == n and found.filter("category_group = 'g'").count() == (2 if null_safe else 0)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 @pytest.fixture
 def compressed(spark, tmp_path):
     """Tables whose files say next to nothing about their rows; a customer without key, one twice, orders of neither."""
