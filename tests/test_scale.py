@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from ledgerwise.operators import calendar as c
 from ledgerwise.operators import keyed
 from ledgerwise.operators.enrich import CLASSIFICATION, enrich, of_known_accounts
 from ledgerwise.operators.joins import not_in, present_in, salted_lookup
 from ledgerwise.operators.ranking import latest_cutoffs
-from ledgerwise.plans import file_queries, manifest_queries
+from ledgerwise.plans import file_queries, manifest_queries, registry
 from ledgerwise.plans import views as v
 
 
@@ -122,3 +127,48 @@ def test_an_upsert_of_documents_makes_them_once(spark, compressed, monkeypatch):
     # open ones as stored; cutoffs of 3002 customers in 7 months, of which the 2 of customer 0 meet 2 documents each
     assert {tuple(r) for r in found} == {(True, -1, 3002), (False, 23, 7), (False, -1, 7 * 3002 + 2 - 7)}
     assert len(made) == 1
+
+
+def broadcast_parts(plan: str) -> list[str]:
+    """What lies below each broadcast of a plan: deeper lines, up to the next one that is not."""
+    lines, parts = plan.split("\n"), []
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = next((i for i in range(at + 1, len(lines)) if len(re.match(r"[\s:|+-]*", lines[i])[0]) <= depth), len(lines))
+            parts.append("\n".join(lines[at:below]))
+    return parts
+
+
+@pytest.fixture
+def ledger_tables(spark, tmp_path):
+    """Customers in files that say next to nothing about their rows; closed and open orders of some of them."""
+    spark.range(3000).selectExpr(
+        "id AS c_custkey", "'n' AS c_name", "CAST(id % 3 AS int) AS c_nationkey", "1.0D AS c_acctbal",
+        "IF(id % 2 = 0, 'MACHINERY', 'BUILDING') AS c_mktsegment",
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(60).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "IF(id % 5 = 0, 'O', IF(id % 5 = 1, 'P', 'F')) AS o_orderstatus", "id + 1000.5D AS o_totalprice",
+        "IF(id % 3 = 0, timestamp'2001-07-05', timestamp'2001-06-05') AS o_orderdate", "IF(id % 4 = 0, '5-LOW', '1-URGENT') AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT CAST(id AS int) AS n_nationkey, concat('N', id) AS n_name, 0 AS n_regionkey FROM range(3)").write.parquet(f"{tmp_path}/nation.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["missing_open"])
+def test_a_whole_query_keeps_customers_off_the_driver(spark, ledger_tables, monkeypatch, name):
+    """In what it returns and in what it writes on the way; the rows are those of its SQL."""
+    plans = []
+    for kind in ("csv", "text", "parquet"):
+        write = getattr(DataFrameWriter, kind)
+        monkeypatch.setattr(DataFrameWriter, kind, lambda self, *a, _write=write, **b: plans.append(plan_of(self._df)) or _write(self, *a, **b))
+    registry.load_all()
+    found = registry.QUERIES[name](spark, ledger_tables)
+    plans.append(plan_of(found))
+    assert any("c_custkey" in p for p in plans)
+    assert not [p for plan in plans for p in broadcast_parts(plan) if "c_custkey" in p]
+    columns, con = sorted(found.columns), duckdb.connect()
+    for table in ("customer", "orders", "nation"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{ledger_tables}/{table}.parquet/*.parquet'")
+    wanted = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    assert wanted and Counter(tuple(r[c] for c in columns) for r in found.collect()) == Counter(wanted)
