@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerwise.contracts import HEADERS
 from ledgerwise.functions.dates import day
+from ledgerwise.operators.joins import by_merge
 from ledgerwise.shared import staged
 
 
@@ -102,7 +103,7 @@ def with_headers(files: DataFrame) -> DataFrame:
     placed = lines.where(F.col("start") == 0).withColumn("place", F.monotonically_increasing_id())
     first = placed.groupBy("_path").agg(F.min_by("value", "place").alias("line"))
     found = first.select("_path", cells_of(F.regexp_replace("line", "^\ufeff", "")).alias("header"))
-    joined = files.join(found, F.col("file_path") == F.col("_path"), "left").drop("_path")
+    joined = files.join(by_merge(found), F.col("file_path") == F.col("_path"), "left").drop("_path")
     return joined.withColumn("header", F.coalesce("header", none))
 
 
@@ -138,7 +139,7 @@ def tag_accounts(files: DataFrame, accounts: DataFrame) -> DataFrame:
 
     "Occurs in" becomes an equi-join: every name is cut into its substrings of the lengths that account numbers
     have, and those are matched.  Names have at most a few hundred characters, so this grows with the number of
-    files and not with files x accounts.
+    files and not with files x accounts.  Neither accounts nor names go through the driver.
     """
     numbers = accounts.filter(F.length("account_number") > 0)
     lengths = numbers.agg(F.collect_set(F.length("account_number"))).scalar()
@@ -151,11 +152,11 @@ def tag_accounts(files: DataFrame, accounts: DataFrame) -> DataFrame:
     cut = sized.select("file_name", F.explode(F.array_distinct(pieces)).alias("account_number"))
     cut = cut.filter(F.call_function("translate", F.col("account_number"), signs, F.lit("")) == "")
     matched = (
-        cut.join(accounts.select("account_number"), "account_number")
+        cut.join(by_merge(accounts.select("account_number")), "account_number")
         .groupBy("file_name")
         .agg(F.min("account_number").alias("cuenta"))
     )
-    return files.join(matched, "file_name")
+    return files.join(by_merge(matched), "file_name")
 
 
 def statement_manifest(spark: SparkSession, folder: str, accounts: DataFrame, as_of=None) -> DataFrame:

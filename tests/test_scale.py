@@ -17,6 +17,7 @@ from ledgerwise.operators.joins import not_in, present_in, salted_lookup
 from ledgerwise.operators.ranking import latest_cutoffs
 from ledgerwise.plans import file_queries, manifest_queries, registry
 from ledgerwise.plans import views as v
+from ledgerwise.sources import files as fs
 
 
 def plan_of(df) -> str:
@@ -129,6 +130,25 @@ def test_an_upsert_of_documents_makes_them_once(spark, compressed, monkeypatch):
     assert len(made) == 1
 
 
+def test_accounts_and_names_do_not_go_through_the_driver(spark, tmp_path):
+    """Names and accounts repeat and are missing; their files say next to nothing about their rows."""
+    names = spark.createDataFrame([("x 00012.csv", 1), ("x 00012.csv", 2), ("00012 y 00007.csv", 3), ("none.csv", 4), (None, 5)], "file_name string, n int")
+    known = spark.createDataFrame([("00012",), ("00012",), ("00007",), ("",), (None,)], "account_number string")
+    for table, df in (("names", names), ("known", known)):
+        df.write.parquet(f"{tmp_path}/{table}")
+    tagged = fs.tag_accounts(*(spark.read.parquet(f"{tmp_path}/{t}") for t in ("names", "known")))
+    assert sorted((r["n"], r["cuenta"]) for r in tagged.collect()) == [(1, "00012"), (2, "00012"), (3, "00007")]
+    assert "Broadcast" not in plan_of(tagged) and "SortMergeJoin" in plan_of(tagged)
+
+
+def test_headers_do_not_go_through_the_driver(spark, tmp_path):
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "z\n"), ("c.csv", "")):
+        (tmp_path / name).write_text(text)
+    found = fs.with_headers(fs.list_files(spark, str(tmp_path)))
+    assert {(r["file_name"], *r["header"]) for r in found.collect()} == {("a.csv", "x", "y"), ("b.csv", "z")}
+    assert "Broadcast" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
+
+
 def broadcast_parts(plan: str) -> list[str]:
     """What lies below each broadcast of a plan: deeper lines, up to the next one that is not."""
     lines, parts = plan.split("\n"), []
@@ -155,7 +175,7 @@ def ledger_tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["missing_open", "mtd_by_concept", "open_period", "download_plan", "export_sets", "today_files"])
+@pytest.mark.parametrize("name", ["missing_open", "mtd_by_concept", "open_period", "download_plan", "export_sets", "today_files", "load_rejects"])
 def test_a_whole_query_keeps_customers_off_the_driver(spark, ledger_tables, monkeypatch, name):
     """In what it returns and in what it writes on the way; the rows are those of its SQL."""
     plans = []
