@@ -175,7 +175,7 @@ def ledger_tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["missing_open", "mtd_by_concept", "open_period", "download_plan", "export_sets", "today_files", "load_rejects", "today_statements"])
+@pytest.mark.parametrize("name", ["missing_open", "mtd_by_concept", "open_period", "download_plan", "export_sets", "today_files", "load_rejects", "today_statements", "statement_scan"])
 def test_a_whole_query_keeps_customers_off_the_driver(spark, ledger_tables, monkeypatch, name):
     """In what it returns and in what it writes on the way; the rows are those of its SQL."""
     plans = []
