@@ -237,8 +237,8 @@ def payload_store(spark, sf):
         references = staged(keyed_references({"pdf": keep_payloads(spark, listed, path)}), "references")
     copies = held_hashes(spark, path).groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
     uses = references.groupBy("pdf_hash").agg(F.count(F.lit(1)).alias("documents"))
-    counted = uses.join(copies, F.col("pdf_hash") == F.col("content_hash"))
-    return references.join(counted, "pdf_hash").select("account_number", "type", "pdf_hash", "pdf_length", "copies", "documents")
+    counted = uses.join(by_merge(copies), F.col("pdf_hash") == F.col("content_hash"))
+    return references.join(by_merge(counted), "pdf_hash").select("account_number", "type", "pdf_hash", "pdf_length", "copies", "documents")
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerwise.contracts import DOCUMENT_KEY, DOCUMENTS
 from ledgerwise.functions.text import is_present
-from ledgerwise.operators.joins import not_in
+from ledgerwise.operators.joins import by_merge, not_in
 from ledgerwise.operators.keyed import REFERENCES
 from ledgerwise.operators.manifests import parse_document_names
 from ledgerwise.shared import staged
@@ -76,14 +76,14 @@ def keep_payloads(spark: SparkSession, files: DataFrame, store: str) -> DataFram
     hashed = {"content_hash": F.sha2("content", 256), "content_length": F.col("length")}
     known = staged(_read_bytes(spark, files, hashed, "content_hash string, content_length long"), "hashes")
     fresh = not_in(known.groupBy("content_hash").agg(F.min("file_path").alias("file_path")), held_hashes(spark, store), ["content_hash"])
-    to_write = staged(files.join(fresh.select("file_path"), "file_path", "left_semi"), "fresh-files")
+    to_write = staged(files.join(by_merge(fresh.select("file_path")), "file_path", "left_semi"), "fresh-files")
     if not to_write.isEmpty():
         content = {"content_hash": F.sha2("content", 256), "content": F.col("content")}
         rows = _read_bytes(spark, to_write, content, "content_hash string, content binary").drop("file_path")
         versions.append(rows.withColumn(versions.PART, F.lit(versions.WHOLE)), store)
         if not not_in(known.select("content_hash"), held_hashes(spark, store), ["content_hash"]).isEmpty():
             raise RuntimeError("files changed while they were read; run again")
-    return files.select("file_path", "file_name").join(known, "file_path").drop("file_path")
+    return files.select("file_path", "file_name").join(by_merge(known), "file_path").drop("file_path")
 
 
 def held_hashes(spark: SparkSession, store: str) -> DataFrame:

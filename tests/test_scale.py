@@ -17,6 +17,7 @@ from ledgerwise.operators.joins import not_in, present_in, salted_lookup
 from ledgerwise.operators.ranking import latest_cutoffs
 from ledgerwise.plans import file_queries, manifest_queries, registry
 from ledgerwise.plans import views as v
+from ledgerwise.sources import documents
 from ledgerwise.sources import files as fs
 
 
@@ -149,6 +150,21 @@ def test_headers_do_not_go_through_the_driver(spark, tmp_path):
     assert "Broadcast" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
 
 
+def test_kept_payloads_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    """Hashes are as many as documents: neither what is to be written nor what is known is broadcast."""
+    folder, plans, staged = tmp_path / "in", [], documents.staged
+    folder.mkdir()
+    for name, text in (("a.pdf", "one"), ("b.pdf", "one"), ("c.pdf", "two")):
+        (folder / name).write_text(text)
+    monkeypatch.setattr(documents, "staged", lambda df, label: plans.append(plan_of(df)) or staged(df, label))
+    for _ in range(2):
+        kept = documents.keep_payloads(spark, fs.list_files(spark, str(folder), "*.pdf"), f"{tmp_path}/store")
+        assert len({r["content_hash"] for r in kept.collect()}) == 2 and kept.count() == 3
+        plans.append(plan_of(kept))
+    assert documents.held_hashes(spark, f"{tmp_path}/store").count() == 2
+    assert not [p for p in plans if "Broadcast" in p] and sum("SortMergeJoin" in p for p in plans) == 4
+
+
 def broadcast_parts(plan: str) -> list[str]:
     """What lies below each broadcast of a plan: deeper lines, up to the next one that is not."""
     lines, parts = plan.split("\n"), []
@@ -175,7 +191,7 @@ def ledger_tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["missing_open", "mtd_by_concept", "open_period", "download_plan", "export_sets", "today_files", "load_rejects", "today_statements", "statement_scan"])
+@pytest.mark.parametrize("name", ["missing_open", "mtd_by_concept", "open_period", "download_plan", "export_sets", "today_files", "load_rejects", "today_statements", "statement_scan", "payload_store"])
 def test_a_whole_query_keeps_customers_off_the_driver(spark, ledger_tables, monkeypatch, name):
     """In what it returns and in what it writes on the way; the rows are those of its SQL."""
     plans = []
