@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwise.operators.joins import by_merge
 from ledgerwise.shared import staged
 
 
@@ -13,8 +14,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: rounds grow with the logarithm of the longest path, edges never grow in
     number, and a step only needs the smallest neighbour of each node, which is combined before the shuffle.  The join
-    back to a hub's edges is an inner merge join that adaptive execution splits.  Each round is a written table.  No
-    edges: no rows.  Nulls and loops are ignored.
+    back to a hub's edges is an inner merge join that adaptive execution splits, never a broadcast: nodes grow
+    with the edges.  Each round is a written table.  No edges: no rows.  Nulls and loops are ignored.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = staged(now, "edges")
@@ -42,11 +43,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Neighbours above a node are tied to the smallest of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(by_merge(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Neighbours below a node, and the node, are tied to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    below = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    below = edges.join(by_merge(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return below.union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ledgerwise.llm.common import per_batch
 from ledgerwise.llm.components import connected_components
+from ledgerwise.operators.joins import by_merge
 from ledgerwise.shared import staged
 
 SEED = 42
@@ -102,7 +103,8 @@ def links(prints: DataFrame, max_distance: int = 4, groups: int | None = None) -
     ``prints(fingerprint)`` holds distinct fingerprints.  Range join on the grid of segment counts: candidates share the
     cell of a layout, the Manhattan distance of the embeddings is the lower bound, the Hamming distance decides.  All of it
     runs inside the join, so no pair is written that is not a link.  More ``groups`` make cells finer and layouts more;
-    unless they are given, their number follows from that of the fingerprints.
+    unless they are given, their number follows from that of the fingerprints.  Neither side is broadcast: Catalyst takes
+    the exploded rows to be as small as the fingerprints they come from.
     """
     grid = layouts(max_distance, groups or groups_for(prints.count(), max_distance))
     width = max(len(others) for _, others in grid)
@@ -124,7 +126,7 @@ def links(prints: DataFrame, max_distance: int = 4, groups: int | None = None) -
     for k in range(width):
         mask = F.get(listed([others[k] if k < len(others) else 0 for _, others in grid]), F.col("l.layout"))
         near &= (mask == 0) | (codes.bitwiseAND(mask) != 0)
-    return left.join(right, near).select(F.col("l.fingerprint").alias("a"), F.col("r.fingerprint").alias("b"))
+    return left.join(by_merge(right), near).select(F.col("l.fingerprint").alias("a"), F.col("r.fingerprint").alias("b"))
 
 
 def near_duplicates(
@@ -134,14 +136,15 @@ def near_duplicates(
 
     Exact copies are one fingerprint before anything is joined.  Null and empty texts have fingerprint zero and are linked
     like any other.  Rows with one id share the row of the id's smallest component; a null id belongs to its text's
-    component and names none unless all of them are null.
+    component and names none unless all of them are null.  Fingerprints and components grow with ``docs`` and are never
+    broadcast.
     """
     prints = staged(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), "text"), words, keep=["doc_id"]), "prints")
     distinct = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = connected_components(links(distinct, max_distance, groups))
-    grouped = staged(found.join(distinct, found["node"] == distinct["fingerprint"]), "grouped")
+    grouped = staged(found.join(by_merge(distinct), F.col("node") == F.col("fingerprint")), "grouped")
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = grouped.join(smallest, "component").select("fingerprint", "component_id")
-    named = of_print.join(distinct, "fingerprint", "right")
+    of_print = grouped.join(by_merge(smallest), "component").select("fingerprint", "component_id")
+    named = by_merge(of_print).join(distinct, "fingerprint", "right")
     named = named.select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(by_merge(named), "fingerprint").select("doc_id", "fingerprint", "component_id")

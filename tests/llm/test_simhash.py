@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerwise.llm import simhash
+from ledgerwise import shared
+from ledgerwise.llm import components, simhash
 from ledgerwise.llm.components import connected_components
 
 
@@ -96,3 +97,23 @@ def test_groups_follow_the_number_of_fingerprints():
     for k in range(5, 12):
         groups = simhash.groups_for(10**k, 4)
         assert 10**k / 2 ** (48 * (groups - 4) / groups) < 2000
+
+
+def test_nothing_that_grows_with_the_documents_is_broadcast(spark, monkeypatch):
+    """Exploded fingerprints are many times what Catalyst takes them for, and files say little of the rows they hold."""
+    plans = []
+
+    def staged(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.staged(df, label)
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    monkeypatch.setattr(components, "staged", staged)
+    base = 0x0123456789ABCDEF
+    prints = {1: base, 2: base ^ 1, 3: base ^ 3, 4: base, 5: ~base, 6: 77, None: 77}
+    docs = spark.createDataFrame([(i, str(p)) for i, p in prints.items()], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, *_, **__: df.select("doc_id", F.col("text").cast("long").alias("fingerprint")))
+    found = simhash.near_duplicates(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (None, 6)}
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
