@@ -71,3 +71,18 @@ def test_contaminated_rows_without_id_or_with_a_clean_ones_id_go(spark, sf):
     rows = [(1, a), (1, f"{b} {item} {b}"), (None, f"{c} {item} {c}"), (None, c)]
     out = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, ROW), sf).collect()
     assert {(r["doc_id"], r["text"]) for r in out} == {(1, a), (None, c)}
+
+
+def test_keys_of_rows_are_broadcast_only_while_few(spark, sf, monkeypatch):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    a, b, c = _TEXTS[:3]
+    rows = [(1, a), (2, a), (None, f"{b} {item} {b}"), (2, f"{c} {item} {c}")]
+    docs = spark.createDataFrame(rows, ROW)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2 and out.count() == 3
+    for few, broadcast in ((1, False), (2, True)):
+        monkeypatch.setattr(corpus_pipeline, "FEW_KEYS", few, raising=False)
+        out = corpus_pipeline.decontamination_stage(spark, docs, sf)
+        assert ("Broadcast" in out._jdf.queryExecution().executedPlan().toString()) == broadcast
+        assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, a), (2, a)]
