@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from ledgerwise import shared
 from ledgerwise.llm import decontaminate
 from ledgerwise.llm.words import hashed_words
 
@@ -137,3 +138,48 @@ def test_document_frequencies_are_exact(real):
         counts[np.unique(decontaminate.buckets(hashes))] += 1
     want = np.log((1 + len(texts)) / (1 + counts)) + 0.05
     assert np.allclose(decontaminate.inverse_frequencies(docs), want, atol=1e-5)
+
+
+def test_the_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """More documents than the space was once fitted on, against singular vectors of the whole matrix."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"topic{i % 5}word{k}" for k in range(50)], k=64)) for i in range(6000)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (7, "")], "doc_id long, text string")
+    written = {}
+
+    def staged(df, label):
+        written[label] = shared.staged(df, label)
+        return written[label]
+
+    monkeypatch.setattr(decontaminate, "staged", staged)
+    idf = decontaminate.inverse_frequencies(docs)
+    vectors = decontaminate.latent_space(docs, idf, rank=5)
+    found = decontaminate.buckets(hashed_words(pa.array(texts))[0]).reshape(-1, 32)
+    rows = b"".join(sorted(bytes(r["passages"])[at : at + 64] for r in written["passages"].collect() for at in range(0, len(r["passages"]), 64)))
+    assert rows == b"".join(sorted(decontaminate._passages(x, 32).tobytes() for x in found))
+    matrix = np.zeros((len(found), decontaminate.BUCKETS), np.float32)
+    np.put_along_axis(matrix, found, idf[found], 1)
+    used = np.flatnonzero(matrix.any(0))
+    matrix = matrix[:, used] / np.linalg.norm(matrix, axis=1)[:, None]
+    _, turn = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
+    want = turn[:, -5:] / np.linalg.norm(matrix @ turn[:, -5:], axis=0)
+    got, want = (x / np.linalg.norm(x, axis=1)[:, None] for x in (vectors[used], want))
+    assert np.allclose(got @ got.T, want @ want.T, atol=0.05)
+
+
+def test_products_are_those_of_the_matrix():
+    """Words that repeat in a passage, a last passage that is not full, no words at all."""
+    rng = np.random.default_rng(6)
+    idf, basis = (rng.random(decontaminate.BUCKETS) + 0.1).astype(np.float32), rng.standard_normal((decontaminate.BUCKETS, 5))
+    for n in (0, 1, 31, 32, 4000, 50_021):
+        found = np.sort(rng.integers(0, decontaminate.BUCKETS, n) % rng.integers(1, decontaminate.BUCKETS, n))
+        rng.shuffle(found)
+        want = np.zeros(basis.shape)
+        for at in range(0, n, 32):
+            words = np.unique(found[at : at + 32])
+            row = idf[words] / np.linalg.norm(idf[words])
+            want[words] += np.outer(row, row @ basis[words])
+        back, rows = np.zeros(basis.shape, np.float32), decontaminate._with_zero((basis * idf[:, None]).astype(np.float32))
+        passages = decontaminate._passages(found, 32)
+        decontaminate._add_product(passages, rows, np.append(idf.astype(np.float64) ** 2, 0), back)
+        assert np.allclose(back * idf[:, None], want, atol=1e-4)
